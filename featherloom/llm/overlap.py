@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 from featherloom.llm.texts import WORD, fields, ident
 from featherloom.session import materialize
 
-#: Words a suffix must share with another: three, or one for texts so short that two steps may break every run of three.
+#: First words by which a suffix is entered; texts of up to SHORT + 1 words are also, or only, entered by single words.
 RUN, SHORT = 3, 12
-#: Two steps change at most so many runs of three words (two swaps: four each) or so many words.
-BROKEN = {RUN: 8, 1: 2}
+#: Two steps change at most so many runs (two swaps: four each), so many words, so many fields of a form.
+BROKEN_RUNS, BROKEN_WORDS, BROKEN_FIELDS = 8, 2, 2
+#: Forms of so many fields or more are entered by threes of fields, those of up to FEW + 1 by words.
+FEW = 5
 
 
 def canonical(text: str, form: bool) -> str:
@@ -77,7 +81,7 @@ def near(x: str, y: str, form: bool, steps: int = 2) -> bool:
     return cost(left, right, steps)
 
 
-_RECORDS = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("form", pa.bool_()), ("text", pa.int64()), ("wording", pa.binary()), ("content", pa.binary()), ("words", pa.string())])
+_RECORDS = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("form", pa.bool_()), ("words", pa.string())])
 
 
 def _read(form_source: str, train: str, held: tuple[str, ...]):
@@ -89,103 +93,158 @@ def _read(form_source: str, train: str, held: tuple[str, ...]):
                 if not text or (split != train and split not in held):
                     continue
                 form = source == form_source
-                if not (plain := canonical(text, form)):
-                    continue
-                kind = "f" if form else "t"
-                # the form's fields by content, so that it doesn't matter where a field has blanks
-                content = "\n".join(sorted(plain.replace(" ", "").split("\n"))) if form else plain.replace(" ", "")
-                wording = ident(kind + plain)
-                for column, value in zip(out, (row, split != train, form, int.from_bytes(wording[:8], "little", signed=True), wording, ident(kind + content), plain)):
-                    column.append(value)
+                if plain := canonical(text, form):
+                    for column, value in zip(out, (row, split != train, form, plain)):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _RECORDS)], schema=_RECORDS)
 
     return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[str] = Counter()
+class _Codes(dict):
+    """64-bit numbers of words and fields by content; kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        found = int.from_bytes(ident(word, 8), "little")
+        if len(self) < 1_000_000:
+            self[word] = found
+        return found
+
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_FORM_WORD, _FIELD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+
+def starts(forms: list[bool], texts: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the start, entry it belongs to) of every start of the texts; entry 4 r + kind is of text r.
+
+    Kinds: 0 runs of three words of a text, 1 words of a short text, 2 fields of a form, 3 words of a form of few fields.
+    """
+    numbers: list[np.ndarray] = [np.zeros(0, np.uint64)]
+    owners: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def flat(of: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(w) for _, w in of], np.int64)
+        ids = np.fromiter((codes[w] for _, ws in of for w in ws), np.uint64, int(sizes.sum()))
+        return ids, np.repeat(np.array([r for r, _ in of], np.int64), sizes), np.repeat(sizes, sizes)
+
+    ids, owner, size = flat([(r, t.split(" ")) for r, (f, t) in enumerate(zip(forms, texts)) if not f])
+    if len(ids) >= RUN:
+        runs = sum(ids[k : len(ids) - RUN + 1 + k] * _MIX[k] for k in range(RUN))
+        whole = (owner[: len(runs)] == owner[RUN - 1 :]) & (size[: len(runs)] >= SHORT)
+        numbers.append(runs[whole])
+        owners.append(4 * owner[: len(runs)][whole])
+    few = size <= SHORT + 1
+    numbers.append(ids[few] * _MIX[3])
+    owners.append(4 * owner[few] + 1)
+    split = [(r, t.split("\n")) for r, (f, t) in enumerate(zip(forms, texts)) if f]
+    ids, owner, _ = flat([(r, fs) for r, fs in split if len(fs) >= FEW])
+    numbers.append(ids * _FIELD)
+    owners.append(4 * owner + 2)
+    ids, owner, _ = flat([(r, " ".join(fs).split(" ")) for r, fs in split if len(fs) <= FEW + 1])
+    numbers.append(ids * _FORM_WORD)
+    owners.append(4 * owner + 3)
+    return np.concatenate(numbers), np.concatenate(owners)
+
+
+def _count_starts(chunk: int = 50_000, least: int = 3):
+    """Counts of starts that come ``least`` times or more within a chunk of records: those that are frequent anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, kept, records = _Codes(), [], 0
+
+        def out() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]), return_counts=True)
+            many = counts >= least
+            return pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(counts[many])], names=["start", "n"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            kept.append(starts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), codes)[0])
+            records += batch.num_rows
+            if records >= chunk:
+                yield out()
+                kept, records = [], 0
+        yield out()
 
-    for batch in batches:
-        for words in batch.column(0).to_pylist():
-            counts.update(words.split())
-        if len(counts) > 300_000:
-            yield out()
-            counts.clear()
-    yield out()
+    return run
 
 
-def starts(words: str, form: bool, weight: dict[str, int]) -> list[tuple[str, ...]]:
-    """The suffixes of a text that are entered, by their first words: the rarest, by a weight that is the same everywhere.
+def rarest(numbers: np.ndarray, owners: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, owner) of the starts that are entered.
 
-    Two texts within two steps have all but BROKEN of their distinct runs in common, so the rarest run that they share is
-    among the BROKEN + 1 rarest of either. Runs don't cross the fields of a form; a field shorter than a run is one run.
+    Starts are in one order everywhere: by the count of the frequent ones, then by number. Two texts within two steps have all but the broken
+    starts of their kind in common, so the first that they share is among the first broken + 1 of either; of fields, the first
+    three that they share are among the first broken + 3, and each three of those is one entry.
     """
-    parts = [p.split(" ") for p in words.split("\n")]
-    size = sum(map(len, parts))
-    of = weight.get
-    found: list[tuple[str, ...]] = []
-    for run in (RUN, 1):
-        if size < SHORT if run == RUN else size > SHORT + 1:
-            continue
-        runs = set()
-        for part in parts:
-            heavy = [of(w, 0) for w in part]
-            if run == 1:
-                runs.update((h, w) for h, w in zip(heavy, part))
-            elif len(part) < RUN:
-                runs.add((sum(heavy), *part))
-            else:
-                runs.update((x + y + z, a, b, c) for x, y, z, a, b, c in zip(heavy, heavy[1:], heavy[2:], part, part[1:], part[2:]))
-        found += sorted(runs)[: BROKEN[run] + 1]
-    return [(str(form), *x[1:]) for x in found]
-
-
-_ENTRIES = pa.schema([("start", pa.int64()), ("text", pa.int64()), ("size", pa.int32()), ("held", pa.bool_())])
+    at = np.minimum(np.searchsorted(frequent, numbers), max(len(frequent) - 1, 0))
+    weight = np.where(frequent[at] == numbers, counts[at], 0) if len(frequent) else np.zeros(len(numbers), np.int64)
+    order = np.lexsort((numbers, weight, owners))
+    numbers, owners = numbers[order], owners[order]
+    new = np.ones(len(numbers), bool)
+    new[1:] = (numbers[1:] != numbers[:-1]) | (owners[1:] != owners[:-1])
+    numbers, owners = numbers[new], owners[new]
+    rank = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    most = np.array([BROKEN_RUNS + 1, BROKEN_WORDS + 1, BROKEN_FIELDS + 3, BROKEN_WORDS + 1])
+    first = rank < most[owners % 4]
+    numbers, owners, rank = numbers[first], owners[first], rank[first]
+    fields = owners % 4 == 2
+    single = numbers[~fields], owners[~fields]
+    numbers, owners, rank = numbers[fields], owners[fields], rank[fields]
+    lists = [(numbers[rank == k], owners[rank == k]) for k in range(BROKEN_FIELDS + 3)]
+    entries = [single]
+    for i, j, k in combinations(range(BROKEN_FIELDS + 3), 3):
+        # owners that have a k-th field have those before
+        of = lists[k][1]
+        x, y = (lists[m][0][np.searchsorted(lists[m][1], of)] for m in (i, j))
+        three = np.sort(np.stack([x, y, lists[k][0]]), axis=0)
+        entries.append(((three * np.array(_MIX[:3])[:, None]).sum(axis=0, dtype=np.uint64), of))
+    return np.concatenate([x for x, _ in entries]), np.concatenate([x for _, x in entries])
 
 
 def _enter(sent, kept: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = sent.value
-        seen: set[tuple[int, bool]] = set()
+        frequent, counts = sent.value
+        codes, seen = _Codes(), set()
         for batch in batches:
-            out: list[list] = [[] for _ in _ENTRIES]
-            for held, form, text, words in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if (text, held) in seen:  # copies within a task are entered once
-                    continue
-                if len(seen) >= kept:
-                    seen.clear()
-                seen.add((text, held))
-                size = words.count(" ") + words.count("\n") + 1
-                for start in starts(words, form, weight):
-                    out[0].append(int.from_bytes(ident("\n".join(start), 8), "little", signed=True))
-                    out[1].append(text)
-                    out[2].append(size)
-                    out[3].append(held)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _ENTRIES)], schema=_ENTRIES)
+            forms, words, texts = (batch.column(k).to_pylist() for k in range(3))
+            if len(seen) >= kept:
+                seen.clear()
+            new = []  # copies within a task are entered once
+            for r, text in enumerate(texts):
+                if text not in seen:
+                    seen.add(text)
+                    new.append(r)
+            numbers, owners = rarest(*starts([forms[r] for r in new], [words[r] for r in new], codes), frequent, counts)
+            of = np.array([texts[r] for r in new], np.int64)[owners // 4] if new else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), pa.array(of)], names=["start", "text"])
 
     return run
 
 
 def _verify(steps: int):
+    """The pairs within so many steps whose contents differ; pairs of the same content are found by their contents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            form, x, y = (batch.column(k).to_pylist() for k in range(3))
-            keep = pa.array([near(a, b, f, steps) for f, a, b in zip(form, x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4)], names=["train", "held"]).filter(keep)
+            keep = []
+            for form, x, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                same = sorted(x.replace(" ", "").split("\n")) == sorted(y.replace(" ", "").split("\n"))
+                keep.append(not same and near(x, y, form, steps))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: str, form_source: str = "web_form", train: str = "train", held: tuple[str, ...] = ("test", "validation"), table_words: int = 50_000) -> DataFrame:
+def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: str, form_source: str = "web_form", train: str = "train", held: tuple[str, ...] = ("test", "validation"), table_starts: int = 200_000) -> DataFrame:
     """(train_id, held_id, same): each pair of a row of the training split and one of a held-out split whose contents are the same, or whose words become equal by at most two steps.
 
-    The texts are suffixes in a sparse suffix array: of each text those suffixes are entered whose first three words are
-    its rarest, nine of them, which two texts within two steps always share one of (see starts). The array is partitioned
-    by these first words; suffixes of both splits that share them are neighbours, and their texts candidates.
-    Each candidate's texts are read once more and compared exactly over their whole length.
+    The texts make up a sparse suffix array: of each text those suffixes are entered whose first three words are its
+    rarest, nine of them, which two texts within two steps always share one of (see rarest; short texts and forms are
+    entered by words and fields). The array is partitioned by these starts; suffixes of both splits under the same start are
+    neighbours, and their texts candidates. Each candidate's texts are read once more and compared exactly, over their whole length.
+
+    Which starts are rare is counted over all records; only the order of starts depends on it, no pair does. At most
+    table_starts counts are sent to the tasks: those that make up a table_starts-th of all or more.
 
     Contents are compared without blanks, case and punctuation, those of form_source by field in any order, and a form is never
     the same as another text. Splits are compared without case and outer blanks; rows of other or null splits, null texts
@@ -194,25 +253,33 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
     pairs are given for all rows, as wanted. Rows of equal ids are given once.
     """
     columns = [F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`").cast("string"), F.col(f"`{split}`").cast("string"), F.col(f"`{source}`").cast("string")]
-    schema = "id long, held boolean, form boolean, text long, wording binary, content binary, words string"
-    records = materialize(df.select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).mapInArrow(_read(form_source, train, held), schema))
-    counts = materialize(records.select("words").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least = max(2, -(-(counts.agg(F.sum("n")).first()[0] or 0) // table_words))
-    # at most table_words rows: the counts sum to table_words x least at most
-    weight = {w: int(16 * n) for w, n in counts.filter(F.col("n") >= least).select("word", F.log2("n")).collect()}
-    sent = df.sparkSession.sparkContext.broadcast(weight)
-    entries = records.select("held", "form", "text", "words").mapInArrow(_enter(sent), "start long, text long, size int, held boolean")
-    entries = entries.repartition("start").dropDuplicates(["start", "text", "held"])
-    x = entries.filter("NOT held").select("start", F.col("text").alias("x"), F.col("size").alias("m"))
-    y = entries.filter("held").select("start", F.col("text").alias("y"), F.col("size").alias("n"))
-    candidates = x.join(y, "start").filter("x <> y AND abs(m - n) <= 2").select("x", "y").distinct()
-    # one row per wording of a split; 64 bits of it lead to the text, all of it and the text decide
-    texts = records.groupBy("text", "wording", "content", "form", "words", "held").agg(F.count("*").alias("rows"))
-    first = texts.filter("NOT held").select(F.col("text").alias("x"), F.col("form").alias("form"), F.col("wording").alias("train"), F.col("content").alias("c"), F.col("words").alias("a"))
-    second = texts.filter("held").select(F.col("text").alias("y"), F.col("form").alias("form_y"), F.col("wording").alias("held"), F.col("content").alias("d"), F.col("words").alias("b"))
-    read = candidates.join(second, "y").join(first, "x").filter("form = form_y AND c <> d").select("form", "a", "b", "train", "held")
-    found = materialize(read.mapInArrow(_verify(2), "train binary, held binary"))
-    trained, tested = records.filter("NOT held"), records.filter("held")
+    records = materialize(df.select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).mapInArrow(_read(form_source, train, held), "id long, held boolean, form boolean, words string"))
+    counts = materialize(records.select("form", "words").mapInArrow(_count_starts(), "start long, n long").groupBy("start").agg(F.sum("n").alias("n")))
+    least = -(-(counts.agg(F.sum("n")).first()[0] or 0) // table_starts)
+    # at most table_starts rows: the counts sum to table_starts x least at most
+    frequent = counts.filter(F.col("n") >= least).toPandas()
+    starts_of, n = frequent["start"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
+    order = np.argsort(starts_of)
+    sent = df.sparkSession.sparkContext.broadcast((starts_of[order], n[order]))
+
+    # 64 bits of the wording lead to the text, which decides
+    number = F.xxhash64("words", "form")
+
+    def entered(rows: DataFrame, name: str) -> DataFrame:
+        of = rows.select("form", "words", number.alias("text")).mapInArrow(_enter(sent), "start long, text long")
+        return of.repartition("start").dropDuplicates(["start", "text"]).withColumnRenamed("text", name)
+
+    x, y = entered(records.filter("NOT held"), "x"), entered(records.filter("held"), "y")
+    candidates = x.join(y, "start").filter("x <> y").select("x", "y").distinct()
+    first = records.filter("NOT held").select(number.alias("x"), F.col("form").alias("form_x"), F.col("words").alias("a")).distinct()
+    second = records.filter("held").select(number.alias("y"), "form", F.col("words").alias("b")).distinct()
+    read = candidates.join(second, "y").join(first, "x").filter("form = form_x").select("form", "a", "b")
+    wording = F.unhex(F.md5(F.concat(F.col("form").cast("string"), F.col("words"))))
+    found = materialize(read.mapInArrow(_verify(2), "form boolean, a string, b string").select(*(F.unhex(F.md5(F.concat(F.col("form").cast("string"), F.col(c)))).alias(t) for c, t in (("a", "train"), ("b", "held")))))
+    fields_of = F.array_join(F.array_sort(F.split(F.translate("words", " ", ""), "\n")), "\n")
+    content = F.unhex(F.md5(F.concat(F.col("form").cast("string"), fields_of)))
+    keyed = records.select("id", "held", wording.alias("wording"), content.alias("content"))
+    trained, tested = keyed.filter("NOT held"), keyed.filter("held")
     near_rows = found.join(trained.select(F.col("wording").alias("train"), F.col("id").alias("train_id")), "train").join(tested.select(F.col("wording").alias("held"), F.col("id").alias("held_id")), "held")
     same_rows = trained.select("content", F.col("id").alias("train_id")).join(tested.select("content", F.col("id").alias("held_id")), "content")
     return same_rows.select("train_id", "held_id", F.lit(True).alias("same")).unionByName(near_rows.select("train_id", "held_id", F.lit(False).alias("same"))).filter("train_id <> held_id")
