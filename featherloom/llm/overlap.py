@@ -147,6 +147,15 @@ def starts(forms: list[bool], texts: list[str], codes: _Codes) -> tuple[np.ndarr
     return np.concatenate(numbers), np.concatenate(owners)
 
 
+def signatures(texts: list[str], codes: _Codes) -> np.ndarray:
+    """64 bits of each text, one for each of its words. Two steps take or add at most two words each way: four bits."""
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    ids = np.fromiter((codes[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
+    bits = np.uint64(1) << (ids >> np.uint64(58))
+    return np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes) if len(texts) else bits
+
+
 def _count_starts(chunk: int = 50_000, least: int = 3):
     """Counts of starts that come ``least`` times or more within a chunk of records: those that are frequent anywhere."""
 
@@ -214,9 +223,11 @@ def _enter(sent, kept: int = 500_000):
                 if text not in seen:
                     seen.add(text)
                     new.append(r)
-            numbers, owners = rarest(*starts([forms[r] for r in new], [words[r] for r in new], codes), frequent, counts)
-            of = np.array([texts[r] for r in new], np.int64)[owners // 4] if new else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.view(np.int64)), pa.array(of)], names=["start", "text"])
+            words = [words[r] for r in new]
+            numbers, owners = rarest(*starts([forms[r] for r in new], words, codes), frequent, counts)
+            of = owners // 4
+            columns = numbers.view(np.int64), np.array([texts[r] for r in new], np.int64)[of], signatures(words, codes).view(np.int64)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["start", "text", "bits"])
 
     return run
 
@@ -241,7 +252,7 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
     The texts make up a sparse suffix array: of each text those suffixes are entered whose first three words are its
     rarest, nine of them, which two texts within two steps always share one of (see rarest; short texts and forms are
     entered by words and fields). The array is partitioned by these starts; suffixes of both splits under the same start are
-    neighbours, and their texts candidates. Each candidate's texts are read once more and compared exactly, over their whole length.
+    neighbours, and their texts candidates if 64 bits of their words (see signatures) allow. Each candidate's texts are read once more and compared exactly, over their whole length.
 
     Which starts are rare is counted over all records; only the order of starts depends on it, no pair does. At most
     table_starts counts are sent to the tasks: those that make up a table_starts-th of all or more.
@@ -266,11 +277,12 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
     number = F.xxhash64("words", "form")
 
     def entered(rows: DataFrame, name: str) -> DataFrame:
-        of = rows.select("form", "words", number.alias("text")).mapInArrow(_enter(sent), "start long, text long")
-        return of.repartition("start").dropDuplicates(["start", "text"]).withColumnRenamed("text", name)
+        of = rows.select("form", "words", number.alias("text")).mapInArrow(_enter(sent), "start long, text long, bits long")
+        return of.repartition("start").dropDuplicates(["start", "text"]).select("start", F.col("text").alias(name), F.col("bits").alias(f"bits_{name}"))
 
     x, y = entered(records.filter("NOT held"), "x"), entered(records.filter("held"), "y")
-    candidates = x.join(y, "start").filter("x <> y").select("x", "y").distinct()
+    unlike = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y")))
+    candidates = x.join(y, "start").filter((F.col("x") != F.col("y")) & (unlike <= 4)).select("x", "y").distinct()
     first = records.filter("NOT held").select(number.alias("x"), F.col("form").alias("form_x"), F.col("words").alias("a")).distinct()
     second = records.filter("held").select(number.alias("y"), "form", F.col("words").alias("b")).distinct()
     read = candidates.join(second, "y").join(first, "x").filter("form = form_x").select("form", "a", "b")
