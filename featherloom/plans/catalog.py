@@ -1,11 +1,515 @@
-"""All queries of the core, by name."""
+"""All queries of the core, by name, and SQL that gives the same rows over the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from featherloom.functions.numeric import cleaned
+from featherloom.functions.text import QUESTION_WORDS, lexical_columns
+from featherloom.operators import buffer, encode, evaluate, metrics, report, select, split, stats, tfidf
+from featherloom.operators.order import value_ranks
+from featherloom.operators.program import FeatureProgram
+from featherloom.session import table
+
+LEX = ["n_chars", "n_tokens", "avg_word_len", "n_digits", "n_punct", "n_uppercase", "has_question_mark", "has_money_symbol", "has_number", "starts_with_qword", "qword_count", "type_token_ratio"]
+STOP = ["the", "and", "to", "my", "it", "is", "in", "of", "on", "for", "from", "with", "was", "an", "at", "by", "not"]
+FOLDS = 5
+
+_Q: dict = {}
+_S: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _S[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), 6) for c in columns})
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "features")
+
+
+def clean_sql(c: str) -> str:
+    return f"coalesce(CASE WHEN isnan({c}::DOUBLE) OR isinf({c}::DOUBLE) THEN NULL ELSE {c}::DOUBLE END, 0)"
+
+
+def long_sql(columns: list[str], where: str = "intent_id IS NOT NULL") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, {k} AS place, intent_id AS label, {clean_sql(c)} AS x FROM features WHERE {where}" for k, c in enumerate(columns))
+
+
+# -- text -------------------------------------------------------------------------------
+_WORDS = ", ".join(f"'{w}'" for w in QUESTION_WORDS)
+
+
+def lexical_sql(table_name: str, row: str, text: str, extra: str = "") -> str:
+    return rf"""WITH s AS (SELECT {row}, {extra} coalesce({text}, '') AS s FROM {table_name}),
+  t AS (SELECT *, list_filter(regexp_split_to_array(s, '[\s\p{{Z}}\x{{85}}\x0b\x1c-\x1f]+'), lambda x: x <> '') AS parts FROM s),
+  b AS (SELECT *, list_transform(parts, lambda x: lower(regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))) AS plain, greatest(len(parts), 1) AS n FROM t)
+SELECT {row}, {extra} greatest(length(s), 1)::BIGINT AS n_chars, n::BIGINT AS n_tokens, round(coalesce(list_sum(list_transform(parts, lambda x: length(x))), 0) / n::DOUBLE, 6) AS avg_word_len,
+  len(regexp_extract_all(s, '\p{{Nd}}'))::BIGINT AS n_digits, len(regexp_extract_all(s, '[[:punct:]]'))::BIGINT AS n_punct, len(regexp_extract_all(s, '\p{{Lu}}'))::BIGINT AS n_uppercase,
+  contains(s, '?')::BIGINT AS has_question_mark, regexp_matches(lower(s), '[$£€¥]|\bdollar|\beuro|\bpound|\bgbp|\busd|\beur')::BIGINT AS has_money_symbol, regexp_matches(s, '\p{{Nd}}')::BIGINT AS has_number,
+  coalesce(plain[1] IN ({_WORDS}), false)::BIGINT AS starts_with_qword, len(list_filter(plain, lambda x: x IN ({_WORDS})))::BIGINT AS qword_count, round(len(list_distinct(plain)) / n::DOUBLE, 6) AS type_token_ratio FROM b"""
+
+
+@query(lexical_sql("features", "row_id", "query"))
+def lexical_features(spark, d):
+    return r6(features(spark, d).select("row_id", *[c.alias(n) for n, c in lexical_columns(F.col("query")).items()]), "avg_word_len", "type_token_ratio")
+
+
+@query(lexical_sql("documents", "doc_id", "text"))
+def lexical_documents(spark, d):
+    return r6(table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in lexical_columns(F.col("text")).items()]), "avg_word_len", "type_token_ratio")
+
+
+def fisher_sql(long: str, k: int) -> str:
+    return f"""WITH x AS ({long}), m AS (SELECT feature, place, label, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM x GROUP BY ALL),
+  a AS (SELECT feature, sum(n * mean) / sum(n) AS mu FROM m GROUP BY feature),
+  s AS (SELECT feature, place, sum(CASE WHEN n >= 2 THEN n * (mean - mu) ** 2 ELSE 0 END) / (sum(CASE WHEN n >= 2 THEN n * var ELSE 0 END) + 1e-9) AS score FROM m JOIN a USING (feature) GROUP BY ALL)
+SELECT feature, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, place)::INTEGER AS rank FROM s ORDER BY rank LIMIT {k}"""
+
+
+def ranked(spark, scores: DataFrame, columns: list[str], k: int) -> DataFrame:
+    kept = select.top_k(scores, columns, k)
+    best = scores.filter(F.col("feature").isin(kept)).withColumn("rank", F.array_position(F.lit(kept), F.col("feature")).cast("int"))
+    return r6(best.select("feature", "score", "rank"), "score")
+
+
+@query(f"WITH lexical AS ({lexical_sql('features', 'row_id', 'query', 'intent_id,')}), features AS (SELECT * FROM lexical) " + fisher_sql(long_sql(LEX), 5))
+def lexical_fisher_topk(spark, d):
+    rows = features(spark, d).select("intent_id", *[c.alias(n) for n, c in lexical_columns(F.col("query")).items()])
+    rows = r6(rows, "avg_word_len", "type_token_ratio")
+    return ranked(spark, select.fisher_scores(select.moments(rows, LEX, "intent_id")), LEX, 5)
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+_TFIDF = rf"""
+  w AS (SELECT row_id, list_filter(regexp_extract_all(lower(coalesce(query, '')), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_]+'), lambda x: x NOT IN ({_STOP})) AS w FROM features),
+  g AS (SELECT row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS term FROM w),
+  v AS (SELECT term, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM g GROUP BY term ORDER BY occurrences DESC, term LIMIT 50)"""
+
+
+@query(f"WITH {_TFIDF} SELECT term, occurrences, records FROM v")
+def tfidf_vocabulary(spark, d):
+    return tfidf.fit_tfidf(features(spark, d), "row_id", "query", 50, STOP).vocabulary
+
+
+@query(f"""WITH {_TFIDF}, n AS (SELECT count(*) AS n FROM features),
+  r AS (SELECT row_id, term, count(*) * (ln((1 + max(n)) / (1 + max(records))::DOUBLE) + 1) AS raw FROM g JOIN v USING (term), n GROUP BY row_id, term)
+SELECT row_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY row_id)), 6) AS weight FROM r""")
+def tfidf_weights(spark, d):
+    rows = features(spark, d)
+    return r6(tfidf.fit_tfidf(rows, "row_id", "query", 50, STOP).weights(rows, "row_id", "query").withColumnRenamed("id", "row_id"), "weight")
+
+
+# -- encoding ------------------------------------------------------------------------------
+@query("""WITH codes AS (SELECT source, dense_rank() OVER (ORDER BY source) - 1 AS code FROM (SELECT DISTINCT source FROM features WHERE trim(lower(source_split)) = 'train' AND source IS NOT NULL)),
+  names AS (SELECT intent_name, dense_rank() OVER (ORDER BY intent_name) - 1 AS code FROM (SELECT DISTINCT intent_name FROM features WHERE trim(lower(source_split)) = 'train' AND intent_name IS NOT NULL))
+SELECT row_id, coalesce(c.code, -1)::DOUBLE AS source, coalesce(n.code, -1)::DOUBLE AS intent_name FROM features f LEFT JOIN codes c USING (source) LEFT JOIN names n USING (intent_name)""")
+def encode_train_test(spark, d):
+    rows = features(spark, d)
+    model = encode.fit_codes(rows.filter("trim(lower(source_split)) = 'train'"), ["source", "intent_name"])
+    return model.transform(rows.select("row_id", "source", "intent_name"))
+
+
+@query(f"""WITH firsts AS (SELECT intent_name, min(row_id) AS r FROM features WHERE intent_name IS NOT NULL GROUP BY intent_name), codes AS (SELECT intent_name, row_number() OVER (ORDER BY r) - 1 AS code FROM firsts)
+SELECT row_id, coalesce(code, -1)::DOUBLE AS intent_name, {clean_sql('n_chars')} AS n_chars, {clean_sql('avg_word_len')} AS avg_word_len FROM features LEFT JOIN codes USING (intent_name)""")
+def safe_numeric(spark, d):
+    return encode.safe_numeric(features(spark, d).select("row_id", "intent_name", "n_chars", "avg_word_len"), "row_id")
+
+
+@query("SELECT row_id, dense_rank() OVER (ORDER BY intent_name)::INTEGER - 1 AS label_code FROM features WHERE intent_name IS NOT NULL")
+def label_codes(spark, d):
+    return encode.label_codes(features(spark, d).filter("intent_name IS NOT NULL").select("row_id", "intent_name"), "intent_name").select("row_id", "label_code")
+
+
+def _scaled(kind: str):
+    def run(spark, d):
+        rows = table(spark, d, "orders")
+        return r6(encode.fit_scaler(rows, ["o_totalprice"], kind).transform(rows.select("o_orderkey", "o_totalprice")), "o_totalprice")
+
+    return run
+
+
+for _kind, _center, _width in (("standard", "avg(o_totalprice)", "stddev_pop(o_totalprice)"), ("minmax", "min(o_totalprice)", "max(o_totalprice) - min(o_totalprice)"), ("robust", "quantile_cont(o_totalprice, 0.5)", "quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)")):
+    _Q[f"scale_{_kind}"] = _scaled(_kind)
+    _S[f"scale_{_kind}"] = f"SELECT o_orderkey, round((o_totalprice - (SELECT {_center} FROM orders)) / (SELECT coalesce(nullif({_width}, 0), 1) FROM orders), 6) AS o_totalprice FROM orders"
+
+_PROFILE = ["query", "source", *LEX]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, " + ("true" if c in ("query", "source") else f"(SELECT count(*) = 0 FROM features WHERE {c} IS NOT NULL AND {c} NOT IN (0, 1))") + " AS categorical" for c in _PROFILE))
+def categorical_profile(spark, d):
+    return spark.createDataFrame(list(encode.categorical_columns(features(spark, d).select(*_PROFILE)).items()), "feature string, categorical boolean")
+
+
+# -- splits ------------------------------------------------------------------------------------
+@query("SELECT row_id, ((row_number() OVER (PARTITION BY intent_id ORDER BY md5('42:' || row_id), row_id) - 1) % 5)::INTEGER AS fold FROM features")
+def stratified_folds(spark, d):
+    return split.stratified_folds(features(spark, d).select("row_id", "intent_id"), "intent_id", "row_id", FOLDS).select("row_id", "fold")
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) - 1) % 5)::INTEGER AS fold FROM orders")
+def plain_folds(spark, d):
+    return split.kfold(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", FOLDS)
+
+
+@query("SELECT row_id, query FROM features ORDER BY md5('42:' || row_id), row_id LIMIT 4")
+def row_sample(spark, d):
+    return split.sample_rows(features(spark, d).select("row_id", "query"), "row_id", 4)
+
+
+# -- selection -------------------------------------------------------------------------------------
+@query(fisher_sql(long_sql(LEX), 6))
+def fisher_topk(spark, d):
+    return ranked(spark, select.fisher_scores(select.moments(features(spark, d), LEX, "intent_id")), LEX, 6)
+
+
+@query(f"""WITH x AS ({long_sql(LEX)}), m AS (SELECT feature, label, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM x GROUP BY ALL),
+  s AS (SELECT feature, sum(n) AS n, count(*) AS c, sum(n * mean) AS s, sum(n * mean * mean) AS s2, sum(n * var) AS w FROM m GROUP BY feature)
+SELECT feature, round(((s2 - s * s / n) / (c - 1)) / (w / (n - c)), 6) AS score FROM s""")
+def anova_scores(spark, d):
+    return r6(select.anova_scores(select.moments(features(spark, d), LEX, "intent_id")), "score")
+
+
+_ORDERS_X = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice) ** 2 / (1 - corr({c}, l_extendedprice) ** 2) * (count(*) - 2), 4) AS score FROM lineitem" for c in _ORDERS_X))
+def anova_regression(spark, d):
+    return select.regression_scores(table(spark, d, "lineitem"), _ORDERS_X, "l_extendedprice").withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH x AS ({long_sql(LEX, 'true')}) SELECT feature FROM x GROUP BY feature HAVING var_pop(x) > 0.05")
+def variance_keep(spark, d):
+    return spark.createDataFrame([(c,) for c in select.variance_threshold(features(spark, d), LEX, threshold=0.05)], "feature string")
+
+
+_MI = f"""x AS ({long_sql(LEX)}), e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM x GROUP BY feature),
+  b AS (SELECT feature, label, CASE WHEN hi > lo THEN least(floor((x - lo) * 16 / (hi - lo))::INTEGER, 15) ELSE 0 END AS bin FROM x JOIN e USING (feature)),
+  j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY ALL),
+  jb AS (SELECT feature, bin, sum(n) AS nb FROM j GROUP BY ALL), jl AS (SELECT feature, label, sum(n) AS nl FROM j GROUP BY ALL), ja AS (SELECT feature, sum(n) AS na FROM j GROUP BY ALL),
+  mi AS (SELECT feature, sum(n / na * ln(n * na / (nb * nl))) AS score FROM j JOIN jb USING (feature, bin) JOIN jl USING (feature, label) JOIN ja USING (feature) GROUP BY feature)"""
+
+
+@query(f"WITH {_MI} SELECT feature, round(score, 6) AS score FROM mi")
+def mutual_information(spark, d):
+    return r6(select.mutual_information(features(spark, d), LEX, "intent_id"), "score")
+
+
+@query(f"WITH {_MI}, k AS (SELECT feature FROM x GROUP BY feature HAVING var_pop(x) > 0.001) SELECT feature FROM mi JOIN k USING (feature) ORDER BY score DESC, feature LIMIT 4")
+def combined_select(spark, d):
+    return spark.createDataFrame([(c,) for c in select.combined(features(spark, d).filter("intent_id IS NOT NULL"), LEX, "intent_id", 4)], "feature string")
+
+
+_POLY = ["n_tokens", "n_digits", "n_punct"]
+_POLY_NAMES = select.polynomial_columns(_POLY)
+
+
+@query(f"""WITH x AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, intent_id AS label, {' * '.join(clean_sql(c) for c in of)} AS x FROM features WHERE intent_id IS NOT NULL" for n, of in _POLY_NAMES.items())}),
+  m AS (SELECT feature, label, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM x GROUP BY ALL),
+  s AS (SELECT feature, sum(n) AS n, count(*) AS c, sum(n * mean) AS s, sum(n * mean * mean) AS s2, sum(n * var) AS w FROM m GROUP BY feature)
+SELECT feature FROM s ORDER BY ((s2 - s * s / n) / (c - 1)) / (w / (n - c)) DESC LIMIT 4""")
+def polynomial_topk(spark, d):
+    return spark.createDataFrame([(c,) for c in select.polynomial(features(spark, d), _POLY, "intent_id", 4)[0]], "feature string")
+
+
+@query()
+def lasso_topk(spark, d):
+    rows = label_of_flag(spark, d)
+    return r6(select.lasso_scores(rows, LEX, "label", max_iter=20), "score")
+
+
+@query()
+def importance_topk(spark, d):
+    return r6(select.importance_scores(label_of_flag(spark, d), LEX, "label", trees=10, depth=4), "score")
+
+
+def label_of_flag(spark, d) -> DataFrame:
+    """Rows labelled 0 .. 7 by the place of their source among the sorted ones."""
+    rows = features(spark, d)
+    codes = encode.fit_codes(rows, ["source"]).transform(rows.select("row_id", "source")).withColumnRenamed("source", "label")
+    return rows.join(codes, "row_id")
+
+
+# -- programs ----------------------------------------------------------------------------------------
+def _program(name: str, line: str, sql: str, extra: str = "") -> None:
+    """A program of one new column ``y``, and its SQL over features with cleaned numbers."""
+
+    def run(spark, d):
+        source = f"def modify_features(df_input):\n    df = df_input.copy()\n{extra}    df['y'] = {line}\n    return df\n"
+        rows = features(spark, d).select("row_id", "n_chars", "n_tokens", "n_digits", "n_punct", "avg_word_len", "type_token_ratio", "intent_id", "source")
+        return FeatureProgram(source).apply(rows).select("row_id", F.round(cleaned(F.col("y")), 6).alias("y"))
+
+    _Q[f"program_{name}"] = run
+    finite = ", ".join(f"CASE WHEN isnan({c}::DOUBLE) OR isinf({c}::DOUBLE) THEN NULL ELSE {c}::DOUBLE END AS {c}" for c in ("n_chars", "n_tokens", "n_digits", "n_punct", "avg_word_len", "type_token_ratio"))
+    _S[f"program_{name}"] = f"WITH f AS (SELECT row_id, intent_id::DOUBLE AS intent_id, source, {finite} FROM features) SELECT f.row_id, round(coalesce({sql}, 0), 6) AS y FROM f" if not sql.startswith("FROM") else f"WITH f AS (SELECT row_id, intent_id::DOUBLE AS intent_id, source, {finite} FROM features) SELECT f.row_id, round(coalesce(g.y, 0), 6) AS y {sql}"
+
+
+_program("ratio", "df['n_digits'] / (df['n_tokens'] - 20)", "n_digits / nullif(n_tokens - 20, 0)")
+_program("row_sum", "df[['n_chars', 'n_tokens', 'avg_word_len']].sum(axis=1) / 3", "(coalesce(n_chars, 0) + coalesce(n_tokens, 0) + coalesce(avg_word_len, 0)) / 3")
+_program("row_std", "df[['n_tokens', 'n_digits', 'n_punct']].std(axis=1)", "(SELECT stddev_samp(x) FROM (SELECT unnest([n_tokens, n_digits, n_punct]) AS x))")
+_program("row_max", "df[['n_chars', 'avg_word_len']].max(axis=1)", "CASE WHEN n_chars IS NULL THEN avg_word_len WHEN avg_word_len IS NULL THEN n_chars ELSE greatest(n_chars, avg_word_len) END")
+_program("clip_where", "np.where(df['n_tokens'] >= 30, df['n_chars'].clip(50, 150), df['n_digits'] * 6.5)", "CASE WHEN n_tokens >= 30 THEN CASE WHEN n_chars IS NULL THEN NULL ELSE least(greatest(n_chars, 50), 150) END ELSE n_digits * 6.5 END")
+_program("log_sqrt", "np.log1p(df['n_chars'].abs() * 2) - np.sqrt(df['n_digits'].fillna(20) ** 2 + df['n_punct'] ** 2)", "ln(1 + abs(n_chars) * 2) - sqrt(coalesce(n_digits, 20) ** 2 + n_punct ** 2)")
+_program("sigmoid", "1 / (1 + np.exp(-(df['n_tokens'] - 30) / 5))", "1 / (1 + exp(-(n_tokens - 30) / 5))")
+_program("flag", "(df['n_chars'] > 180).astype(int) * df['n_punct']", "CASE WHEN n_chars > 180 THEN 1 ELSE 0 END * n_punct")
+_program("frequency", "df['n_tokens'].map(df['n_tokens'].value_counts()).fillna(7) - df['n_punct']", "coalesce((SELECT count(*) FROM f AS h WHERE h.n_tokens = f.n_tokens), 7) - n_punct")
+_program("rank", "df['n_chars'].rank(method='average')", "FROM f LEFT JOIN (SELECT row_id, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS y FROM f WHERE n_chars IS NOT NULL) g ON f.row_id = g.row_id")
+_program("standard_scaled", "(df['n_tokens'] - df['n_tokens'].mean()) / df['n_tokens'].std()", "(n_tokens - (SELECT avg(n_tokens) FROM f)) / (SELECT stddev_samp(n_tokens) FROM f)")
+_program("entropy_like", "-(df['type_token_ratio'] * np.log(df['type_token_ratio']))", "CASE WHEN type_token_ratio > 0 THEN -(type_token_ratio * ln(type_token_ratio)) END")
+_program("combine_frequency", "df['both'].map(df['both'].value_counts(normalize=True))", "FROM f LEFT JOIN (SELECT source, n_tokens, count(*) / (SELECT count(*) FROM f WHERE source IS NOT NULL AND n_tokens IS NOT NULL)::DOUBLE AS y FROM f WHERE source IS NOT NULL AND n_tokens IS NOT NULL GROUP BY ALL) g ON f.source = g.source AND f.n_tokens = g.n_tokens", "    df['both'] = df['source'].astype(str) + '_' + df['n_tokens'].astype(str)\n")
+for _how, _sql in (("mean", "avg(n_chars)"), ("std", "stddev_samp(n_chars)"), ("median", "quantile_cont(n_chars, 0.5)"), ("min", "min(n_chars)"), ("max", "max(n_chars)"), ("nunique", "count(DISTINCT n_chars)")):
+    _program(f"group_{_how}", f"df.groupby('source')['n_chars'].transform('{_how}')", f"FROM f LEFT JOIN (SELECT source, {_sql} AS y FROM f GROUP BY source) g ON f.source = g.source")
+_program("group_rank", "df.groupby('source')['n_chars'].rank()", "FROM f LEFT JOIN (SELECT row_id, rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0 AS y FROM f WHERE n_chars IS NOT NULL AND source IS NOT NULL) g ON f.row_id = g.row_id")
+
+
+# -- metrics -----------------------------------------------------------------------------------------------
+def predictions(spark, d) -> DataFrame:
+    """Orders judged by price: label is the status, predicted a cut of the price, p a score."""
+    rows = table(spark, d, "orders")
+    return rows.select(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("label"), F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_totalprice") > 100000, "O").otherwise("P").alias("predicted"), F.col("o_totalprice").alias("s"), (F.col("o_orderstatus") == "F").alias("positive"), (1 / (1 + F.exp(-(F.col("o_totalprice") - 200000) / 50000))).alias("p"))
+
+
+_PRED = "p AS (SELECT o_orderpriority AS method, o_orderstatus AS label, CASE WHEN o_totalprice > 200000 THEN 'F' WHEN o_totalprice > 100000 THEN 'O' ELSE 'P' END AS predicted, o_totalprice AS s, o_orderstatus = 'F' AS positive, 1 / (1 + exp(-(o_totalprice - 200000) / 50000)) AS p FROM orders)"
+
+
+@query(f"WITH {_PRED} SELECT method, round(avg((label = predicted)::INTEGER), 6) AS accuracy FROM p GROUP BY method")
+def metric_accuracy(spark, d):
+    return r6(metrics.accuracy(predictions(spark, d), ["method"]), "accuracy")
+
+
+@query(f"""WITH {_PRED}, c AS (SELECT method, label AS class FROM p UNION SELECT method, predicted FROM p),
+  f AS (SELECT c.method, class, count_if(label = class AND predicted = class) AS tp, count_if(label = class) AS t, count_if(predicted = class) AS q FROM c JOIN p USING (method) GROUP BY ALL)
+SELECT method, round(avg(CASE WHEN t + q > 0 THEN 2.0 * tp / (t + q) ELSE 0 END), 6) AS macro_f1 FROM f GROUP BY method""")
+def metric_macro_f1(spark, d):
+    return r6(metrics.macro_f1(predictions(spark, d), ["method"]), "macro_f1")
+
+
+@query(f"""WITH {_PRED}, r AS (SELECT method, positive, rank() OVER (PARTITION BY method ORDER BY s) + (count(*) OVER (PARTITION BY method, s) - 1) / 2.0 AS rk FROM p),
+  a AS (SELECT method, sum(rk) FILTER (positive) AS r, count_if(positive) AS np, count_if(NOT positive) AS nn FROM r GROUP BY method)
+SELECT method, round((r - np * (np + 1) / 2.0) / (np * nn), 6) AS auc FROM a""")
+def metric_auc(spark, d):
+    return r6(metrics.auc(predictions(spark, d), ["method"], "positive", "s"), "auc")
+
+
+@query(f"WITH {_PRED} SELECT method, round(avg(-ln(greatest(1e-15, least(1 - 1e-15, CASE WHEN positive THEN p ELSE 1 - p END)))), 6) AS log_loss FROM p GROUP BY method")
+def metric_log_loss(spark, d):
+    return r6(metrics.log_loss(predictions(spark, d).withColumn("own", F.when(F.col("positive"), F.col("p")).otherwise(1 - F.col("p"))), ["method"], "own"), "log_loss")
+
+
+_REG = "e AS (SELECT l_returnflag AS method, l_extendedprice AS y, l_quantity * 1500 AS p FROM lineitem)"
+
+
+def regressions(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 1500).alias("predicted"))
+
+
+@query(f"WITH {_REG} SELECT method, round(sqrt(avg((y - p) ** 2)), 4) AS rmse, round(avg(abs(y - p)), 4) AS mae, round(1 - sum((y - p) ** 2) / (count(*) * var_pop(y)), 6) AS r2 FROM e GROUP BY method")
+def metric_regression(spark, d):
+    return metrics.regression(regressions(spark, d), ["method"]).withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "r2": F.round("r2", 6)})
+
+
+@query(f"WITH {_REG} SELECT method, round(quantile_cont(abs(y - p), 0.5), 4) AS medae FROM e GROUP BY method")
+def metric_median_error(spark, d):
+    return metrics.median_absolute_error(regressions(spark, d), "method").withColumn("medae", F.round("medae", 4))
+
+
+def fold_scores(spark, d) -> DataFrame:
+    """Events as scores of methods on five folds."""
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("method"), (F.col("user_id") % 5).cast("int").alias("fold")).agg(F.avg("value").alias("value"))
+
+
+_FOLDS = "s AS (SELECT event_type AS method, (user_id % 5)::INTEGER AS fold, avg(value) AS value FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {_FOLDS} SELECT method, 'm' AS model, 'value' AS metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM s GROUP BY method")
+def fold_aggregate(spark, d):
+    return r6(metrics.aggregate_folds(fold_scores(spark, d).withColumns({"model": F.lit("m"), "metric": F.lit("value")})), "mean", "std")
+
+
+# -- statistics -----------------------------------------------------------------------------------------------
+_SUMMARY = "SELECT method, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max FROM s GROUP BY method"
+
+
+@query(f"WITH {_FOLDS} {_SUMMARY}")
+def summary_scores(spark, d):
+    return stats.summarize(fold_scores(spark, d))
+
+
+_DIFFS = """d AS (SELECT a.method AS method_a, b.method AS method_b, a.fold, a.value AS a, b.value AS b, a.value - b.value AS d FROM s a JOIN s b ON a.fold = b.fold WHERE {where}),
+  t AS (SELECT method_a, method_b, count(*)::INTEGER AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS delta, avg(d) / stddev_samp(d) AS cohen_d, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d GROUP BY ALL),
+  u AS (SELECT *, abs(t) / sqrt(1 + t * t / 4) AS u FROM t)"""
+_TEST = "round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(delta, 6) AS delta, round(cohen_d, 6) AS cohen_d, round(t, 6) AS t, round(2 * (1 - (0.5 + 0.375 * u * (1 - u * u / 12))), 6) AS p_t"
+_TEST_COLUMNS = ["mean_a", "mean_b", "delta", "cohen_d", "t", "p_t"]
+
+
+@query(f"WITH {_FOLDS}, {_DIFFS.format(where='a.method < b.method')} SELECT method_a, method_b, n, {_TEST} FROM u")
+def all_pairs(spark, d):
+    return r6(stats.all_pairs(fold_scores(spark, d)).select("method_a", "method_b", "n", *_TEST_COLUMNS), *_TEST_COLUMNS)
+
+
+@query(f"WITH {_FOLDS}, m AS (SELECT min(method) AS m FROM s), {_DIFFS.format(where='b.method = (SELECT m FROM m) AND a.method <> b.method')} SELECT method_a, method_b, n, {_TEST} FROM u")
+def vs_reference(spark, d):
+    scores = fold_scores(spark, d)
+    reference = scores.agg(F.min("method")).first()[0]
+    return r6(stats.against(scores, reference).select("method_a", "method_b", "n", *_TEST_COLUMNS), *_TEST_COLUMNS)
+
+
+@query(f"""WITH {_FOLDS}, m AS (SELECT min(method) AS m FROM s), d AS (SELECT a.method AS key, a.fold AS ord, a.value - b.value AS d FROM s a JOIN s b ON a.fold = b.fold WHERE b.method = (SELECT m FROM m) AND a.method <> b.method),
+  l AS (SELECT key, list(d ORDER BY ord) AS ds FROM d GROUP BY key), x AS (SELECT key, (ds[r % 5 + 1] + ds[r // 5 % 5 + 1] + ds[r // 25 % 5 + 1] + ds[r // 125 % 5 + 1] + ds[r // 625 % 5 + 1]) / 5 AS m FROM l, range(3125) t(r))
+SELECT key, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM x GROUP BY key""")
+def bootstrap_exact(spark, d):
+    scores = fold_scores(spark, d)
+    reference = scores.agg(F.min("method")).first()[0]
+    base = scores.filter(F.col("method") == reference).select("fold", F.col("value").alias("b"))
+    diffs = scores.filter(F.col("method") != reference).join(base, "fold").select(F.col("method").alias("key"), F.col("fold").alias("ord"), (F.col("value") - F.col("b")).alias("d"))
+    return r6(stats.exact_bootstrap(diffs), "ci_low", "ci_high")
+
+
+@query(f"""WITH {_FOLDS}, d AS (SELECT a.method AS method_a, b.method AS method_b, a.fold, a.value - b.value AS d FROM s a JOIN s b ON a.fold = b.fold WHERE a.method < b.method),
+  r AS (SELECT *, rank() OVER (PARTITION BY method_a, method_b ORDER BY abs(d)) AS rk FROM d),
+  w AS (SELECT method_a, method_b, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w FROM r GROUP BY ALL),
+  z AS (SELECT (m & 1) * 1 + (m // 2 & 1) * 2 + (m // 4 & 1) * 3 + (m // 8 & 1) * 4 + (m // 16 & 1) * 5 AS s FROM range(32) t(m))
+SELECT method_a, method_b, w::DOUBLE AS w, least(1.0, 2 * (SELECT count(*) FROM z WHERE s <= w) / 32.0) AS p_w FROM w""")
+def wilcoxon_exact(spark, d):
+    return stats.all_pairs(fold_scores(spark, d)).select("method_a", "method_b", "w", "p_w")
+
+
+# -- search ---------------------------------------------------------------------------------------------------------
+@query("""SELECT run_id, i, max(CASE WHEN NOT isnan(score) THEN score END) OVER w AS best_so_far, count(CASE WHEN NOT isnan(score) THEN 1 END) OVER w AS n_ok, count(*) OVER w - count(CASE WHEN NOT isnan(score) THEN 1 END) OVER w AS n_fail
+FROM curve WINDOW w AS (PARTITION BY run_id ORDER BY i ROWS UNBOUNDED PRECEDING)""")
+def best_so_far(spark, d):
+    return buffer.progress(table(spark, d, "curve"), "run_id", "i").select("run_id", "i", "best_so_far", "n_ok", "n_fail")
+
+
+_ONCE = "once AS (SELECT run_id, step, unnest(arg_min({'island': island, 'score': score, 'ok': ok}, received_at)) FROM run_log GROUP BY run_id, step)"
+
+
+@query("SELECT run_id, step, min(received_at) AS received_at FROM run_log GROUP BY run_id, step")
+def log_once(spark, d):
+    return once(spark, d).select("run_id", "step", "received_at")
+
+
+def once(spark, d) -> DataFrame:
+    return buffer.first_per_id(table(spark, d, "run_log"), ["run_id", "step"], ["received_at"])
+
+
+@query(f"WITH {_ONCE} SELECT run_id AS run, island, arg_min(step, (-score, step)) AS best, max(score) AS score FROM once WHERE island IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL")
+def island_best(spark, d):
+    rows = once(spark, d).filter("score IS NOT NULL AND island IS NOT NULL AND NOT isnan(score)")
+    best = rows.groupBy(F.col("run_id").alias("run"), "island").agg(F.max(F.struct("score", (-F.col("step")).alias("s"))).alias("b"))
+    return best.select("run", "island", (-F.col("b.s")).alias("best"), F.col("b.score").alias("score"))
+
+
+@query(f"""WITH {_ONCE}, c AS (SELECT island, score, count(*) AS members FROM once WHERE island IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+  n AS (SELECT island, sum(members) AS programs, max(score) AS top FROM c GROUP BY island),
+  e AS (SELECT island, score, members, exp((score - top) / greatest(0.001, 0.1 * (1 - (programs % 30000) / 30000.0))) AS e FROM c JOIN n USING (island))
+SELECT island, score, members, round(e / sum(e) OVER (PARTITION BY island), 6) AS p FROM e""")
+def cluster_softmax(spark, d):
+    rows = once(spark, d).filter("score IS NOT NULL AND island IS NOT NULL AND NOT isnan(score)").select("island", F.array("score").alias("signature"))
+    return r6(buffer.cluster_shares(rows).select("island", "score", "members", "p"), "p")
+
+
+@query(f"""WITH {_ONCE}, b AS (SELECT island, max(score) AS score FROM once WHERE island IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY island) SELECT island, row_number() OVER (ORDER BY score, island) <= (SELECT count(*) FROM b) // 2 AS reset FROM b""")
+def weakest_islands(spark, d):
+    rows = once(spark, d).withColumn("candidate", F.col("run_id") * 100_000_000 + F.col("step"))
+    return buffer.weakest(buffer.best_per_island(rows)).select("island", "reset")
+
+
+# -- reports -----------------------------------------------------------------------------------------------------------
+_PRICES = [("lab/kestrel-8b", 0.05, 0.08), ("lab/kestrel-8b-chat", 0.1, 0.3)]
+
+
+def costs(spark, d) -> DataFrame:
+    usage = table(spark, d, "best").select("run_id", "backbone", "model_id", "best_score", F.col("llm_stats.prompt_tokens").alias("prompt_tokens"), F.col("llm_stats.completion_tokens").alias("completion_tokens"), F.col("llm_stats.latency_s").alias("latency_s"))
+    return report.token_cost(usage, spark.createDataFrame(_PRICES, "model_id string, usd_in double, usd_out double"))
+
+
+_COST = "c AS (SELECT run_id, best_score, round(coalesce(llm_stats.prompt_tokens / 1e6 * i + llm_stats.completion_tokens / 1e6 * o, 0), 4) AS usd, CASE WHEN v.m IS NULL THEN 'unknown price' ELSE '' END AS notes FROM best LEFT JOIN (VALUES ('lab/kestrel-8b', 0.05, 0.08), ('lab/kestrel-8b-chat', 0.1, 0.3)) v(m, i, o) ON model_id = v.m)"
+
+
+@query(f"WITH {_COST} SELECT run_id, usd, notes FROM c")
+def cost_table(spark, d):
+    return costs(spark, d).select("run_id", "usd", "notes")
+
+
+@query("SELECT run_id, round(0.8 * coalesce(llm_stats.latency_s, 0) / 3600, 4) AS usd FROM best")
+def machine_cost(spark, d):
+    usage = table(spark, d, "best").select("run_id", F.col("llm_stats.latency_s").alias("latency_s"))
+    return report.machine_cost(usage, 0.8, "rented").select("run_id", "usd")
+
+
+@query(f"WITH {_COST} SELECT run_id, usd, round(best_score, 4) AS accuracy, CASE WHEN best_score IS NOT NULL AND usd > 0 THEN round(best_score / usd, 4) ELSE 'inf'::DOUBLE END AS acc_per_usd FROM c")
+def pareto_rank(spark, d):
+    paid = costs(spark, d)
+    return report.tradeoff(paid.select("run_id", "usd"), paid.select("run_id", F.col("best_score").alias("accuracy")), "run_id")
+
+
+@query("SELECT o_orderkey FROM orders a WHERE NOT EXISTS (SELECT 1 FROM (SELECT o_orderdate, max(o_totalprice) AS top FROM orders GROUP BY o_orderdate) b WHERE b.o_orderdate <= a.o_orderdate AND (b.top > a.o_totalprice OR b.top = a.o_totalprice AND b.o_orderdate < a.o_orderdate))")
+def pareto_frontier(spark, d):
+    return report.frontier(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderdate", "o_totalprice").select("o_orderkey")
+
+
+@query(r"""SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'tfidf_') THEN 'term weight' WHEN lower(p_name) LIKE '%ratio%' THEN 'ratio' WHEN lower(p_name) LIKE '%log%' THEN 'log scale' WHEN regexp_matches(lower(p_name), 'times|_x_|_mul_') THEN 'interaction' WHEN lower(p_name) LIKE '%diff%' THEN 'difference' WHEN regexp_matches(lower(p_name), 'ner|entity') THEN 'entities' WHEN regexp_matches(lower(p_name), 'question|qword') THEN 'question' WHEN regexp_matches(lower(p_name), 'length|n_tokens|n_chars') THEN 'length' ELSE 'other' END AS kind FROM part""")
+def rationale_rules(spark, d):
+    return table(spark, d, "part").select("p_partkey", report.rationale_kind(F.col("p_name")).alias("kind"))
+
+
+@query("SELECT event_type AS method, round(min(value), 6) AS low, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS high FROM (SELECT event_type, (user_id % 5)::INTEGER AS fold, avg(value) AS value FROM events GROUP BY ALL) GROUP BY event_type")
+def box_quartiles(spark, d):
+    return r6(report.quartiles(fold_scores(spark, d), "method", "value"), "low", "q1", "q2", "q3", "high")
+
+
+@query("SELECT family, dataset, round(avg(best_score), 6) AS score, count(*) AS runs FROM best GROUP BY ROLLUP (family, dataset)")
+def rollup_report(spark, d):
+    return r6(table(spark, d, "best").rollup("family", "dataset").agg(F.avg("best_score").alias("score"), F.count("*").alias("runs")), "score")
+
+
+@query("SELECT n_chars AS value, count(*) AS n, (sum(count(*)) OVER (ORDER BY n_chars) - count(*) + (count(*) + 1) / 2.0)::DOUBLE AS rank FROM features WHERE n_chars IS NOT NULL GROUP BY n_chars")
+def average_ranks(spark, d):
+    return value_ranks(features(spark, d), F.col("n_chars")).withColumn("rank", F.col("rank").cast("double"))
+
+
+@query()
+def feature_block(spark, d):
+    return report.feature_block(features(spark, d).select("row_id", "source", *LEX), "row_id")
+
+
+@query()
+def example_rows(spark, d):
+    return report.example_rows(features(spark, d).drop("asked_at", "loaded_at"), "row_id", "intent_id")
+
+
+# -- models ----------------------------------------------------------------------------------------------------------------
+def _cross_validated(model: str):
+    def run(spark, d):
+        rows = split.stratified_folds(label_of_flag(spark, d), "label", "row_id", 2)
+        return evaluate.cross_validate(rows, LEX[:6], "label", "row_id", {model: evaluate.classifiers(trees=5, depth=3, iterations=20)[model]})
+
+    return run
+
+
+_Q |= {"cv_logreg": _cross_validated("logreg"), "cv_forest": _cross_validated("rf")}
+
+
+@query()
+def cv_ridge(spark, d):
+    rows = split.kfold(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"), F.col("o_custkey").alias("customer")), "o_orderkey", 2)
+    return evaluate.cross_validate(rows, ["day", "customer"], "o_totalprice", "o_orderkey", {"ridge": evaluate.regressors()["ridge"]}, task="regression")
