@@ -33,8 +33,9 @@ def softmax(df: DataFrame, by: list[str], score: str, t: Column, name: str = "p"
 
 def first_per_id(df: DataFrame, ids: list[str], order: list) -> DataFrame:
     """Of rows delivered more than once, the first by order; one row an id and task is shuffled."""
-    key = F.struct(*order, *[F.col(f"`{c}`") for c in df.columns if c not in ids])
-    return df.groupBy(*ids).agg(F.min(key).alias("_row")).select(*ids, *[F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in ids])
+    rest = [c for c in df.columns if c not in ids]
+    key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{k}") for k, o in enumerate(order)], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    return df.groupBy(*ids).agg(F.min(key).alias("_first")).select(*ids, *[F.col(f"_first.row.`{c}`").alias(c) for c in rest])
 
 
 def clusters(candidates: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def ranked(spark, scores: DataFrame, columns: list[str], k: int) -> DataFrame:
     return r6(best.select("feature", "score", "rank"), "score")
 
 
-@query(f"WITH lexical AS ({lexical_sql('features', 'row_id', 'query', 'intent_id,')}), features AS (SELECT * FROM lexical) " + fisher_sql(long_sql(LEX), 5))
+@query(f"WITH lexical AS ({lexical_sql('features', 'row_id', 'query', 'intent_id,')}), " + fisher_sql(long_sql(LEX), 5).replace("FROM features", "FROM lexical").removeprefix("WITH "))
 def lexical_fisher_topk(spark, d):
     rows = features(spark, d).select("intent_id", *[c.alias(n) for n, c in lexical_columns(F.col("query")).items()])
     rows = r6(rows, "avg_word_len", "type_token_ratio")
