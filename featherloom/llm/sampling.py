@@ -95,7 +95,8 @@ def sample_by_targets(df: DataFrame, targets: DataFrame, id_col: str, key: str,
     listed = targets.select(F.col(f"`{key}`").cast("long"), F.coalesce(F.col(f"`{weight}`"), F.lit(0)).cast("long"), F.coalesce(F.col(f"`{least}`"), F.lit(0)).cast("long")).filter(F.col(f"`{key}`").isNotNull()).limit(max_targets + 1).collect()
     if len(listed) > max_targets:
         raise ValueError(f"more than {max_targets} targets; targets are to be a small table")
-    keyed = with_category(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{key}`"), F.col(f"`{name}`")), targets.select(key, name), key, name).filter("category IS NOT NULL").select("id", F.col("category").cast("long").alias("category"))
+    plain = targets.select(F.col(f"`{key}`").alias("k"), F.col(f"`{name}`").alias("name"))
+    keyed = with_category(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{key}`").alias("k"), F.col(f"`{name}`").alias("name")), plain, "k", "name").filter("category IS NOT NULL").select("id", F.col("category").cast("long").alias("category"))
     counts = {k: n for k, n in keyed.groupBy("category").count().collect()}  # at most one row a target
     rows = sum(counts.values())
     size = (2 * rows + one_in) // (2 * one_in)
