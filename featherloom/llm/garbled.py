@@ -20,6 +20,10 @@ SINGLE = ("cp1252", "cp1250", "cp1251", "cp1254", "iso8859_15", "iso8859_2", "ma
 #: A stretch of characters beyond ASCII; no encoding here changes ASCII.
 STRETCH = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
+#: The byte order mark, general punctuation, euro and trade mark, symbols, variation selectors and emoji. What their UTF-8 bytes
+#: look like in another reading is no clean text, so one of them tells a wrong reading even where the corpus never has it.
+#: Other characters of three bytes don't: a clean "é »" with its hard blank is one of them, and "уже" is by cp866.
+TELLING = re.compile("[\ufeff\u2000-\u206f\u20ac\u2122\u2600-\u27bf\ufe00-\ufe0f\U0001f000-\U0001faff]")
 
 
 def _table(encoding: str) -> dict[str, int]:
@@ -199,8 +203,13 @@ def _kept(memo: dict, key: tuple, make, most: int = 100_000):
 
 
 def _best_utf8(before: str, stretch: str, after: str, model: PairModel, depth: int = 3, gain: float = 2.0) -> str | None:
-    """The stretch as it was before one to ``depth`` wrong readings of UTF-8, if that is more probable by ``gain`` bits a pair, and consists of characters that the corpus knows or of three or more such sequences."""
+    """The stretch as it was before one to ``depth`` wrong readings of UTF-8.
+
+    That is the reading that is more probable by ``gain`` bits a pair and consists of characters that the corpus knows; where none is,
+    the shortest that has a telling character among known ones, and then one of three or more such sequences.
+    """
     best, least = None, model.bits(before + stretch + after) / (len(before + stretch + after) - 1 or 1) - gain
+    told = many = None
     for encoding in SINGLE:
         now = stretch
         for _ in range(depth):
@@ -210,9 +219,11 @@ def _best_utf8(before: str, stretch: str, after: str, model: PairModel, depth: i
             cost = model.bits(before + now + after) / (len(before + now + after) - 1 or 1)
             if cost < least and model.known(now):
                 best, least = now, cost
-            elif best is None and len(found) >= 3 and not model.known(now):
-                best = now
-    return best
+            elif TELLING.search("".join(found)) and model.known(TELLING.sub("", now)):
+                told = now if told is None or len(now) < len(told) else told
+            elif many is None and len(found) >= 3 and not model.known(now):
+                many = now
+    return next((x for x in (best, told, many) if x is not None), None)
 
 
 def _rereadings(before: str, stretch: str, after: str, model: PairModel) -> list[tuple[tuple[str, str], float, str]]:

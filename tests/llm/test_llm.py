@@ -266,6 +266,17 @@ def test_one_byte_readings(spark):
     assert {r.id: r.restored for r in garbled.garbled(df, "id", "text").collect()} == bad
 
 
+def test_misread_characters_that_the_corpus_never_has(spark):
+    texts = ["\ufeffWhere is my card?", "thanks a lot 🚀 see you", "pay it\u2003now"]
+    bad = {1000 + k: (t.encode("utf-8").decode(c), t) for k, (t, c) in enumerate((t, c) for t in texts for c in ("cp1252", "mac_roman", "cp437"))}
+    bad[2000] = ("ï»¿Where is my card?", texts[0])
+    bad[2001] = ("ï»¿".encode().decode("cp1252") + "Where is my card?", texts[0])
+    clean = ["voilà\u00a0» et touché\u00a0»", "уже она", "touché—“ non"]
+    rows = [*enumerate(CLEAN[:5] * 30), *((i, x) for i, (x, _) in bad.items()), *((3000 + k, t) for k, t in enumerate(clean))]
+    found = {r.id: r.restored for r in garbled.garbled(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert found == {i: text for i, (_, text) in bad.items()}
+
+
 def test_weights_and_scores_by_hand(spark):
     texts = ["red red blue", "blue green", "blue sky blue", "sky"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
