@@ -185,6 +185,18 @@ def test_programs_are_those_of_brute_force(spark):
     assert programs.aligned_share("a\nb\nc", "a\nc") == 0.8
 
 
+def test_programs_of_reordered_and_repeated_lines(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        lines = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(14)) for _ in range(12)]
+        texts += ["\n".join(lines), "\n".join(lines[::-1]), "\n".join(lines + lines[2:8] * 4)]
+    sets = [set(programs.runs(t)) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if programs.share(sets[a], sets[b]) >= 0.6}
+    got = programs.NearPrograms(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").row_pairs()
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 120
+
+
 def reference_encoding(name=RANKS):
     import tiktoken
 
