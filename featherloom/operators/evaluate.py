@@ -19,12 +19,13 @@ from featherloom.operators.encode import fit_scaler
 from featherloom.session import materialize
 
 
-def classifiers(trees: int = 120, depth: int = 6, iterations: int = 100, seed: int = 42) -> dict:
-    """Boosting by one-vs-rest gives no probabilities, so its area and loss are null; the others give all metrics."""
+def classifiers(classes: int = 2, depth: int = 6, seed: int = 42) -> dict:
+    """Each model has its own size, a smaller one from 50 classes. Boosting by one-vs-rest gives no probabilities, so its area and loss are null; the others give all metrics."""
+    many = classes >= 50
     return {
-        "gbt": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed), parallelism=4),
-        "logreg": lambda: LogisticRegression(family="multinomial", maxIter=iterations),
-        "rf": lambda: RandomForestClassifier(numTrees=trees, minInstancesPerNode=2, maxDepth=depth, seed=seed),
+        "gbt": lambda: OneVsRest(classifier=GBTClassifier(maxIter=120 if many else 200, maxDepth=depth, stepSize=0.1, seed=seed), parallelism=4),
+        "logreg": lambda: LogisticRegression(family="multinomial", maxIter=800 if many else 2000),
+        "rf": lambda: RandomForestClassifier(numTrees=150 if many else 300, minInstancesPerNode=2, maxDepth=depth, seed=seed),
     }
 
 

@@ -501,7 +501,8 @@ def example_rows(spark, d):
 def _cross_validated(model: str):
     def run(spark, d):
         rows = split.stratified_folds(label_of_flag(spark, d), "label", "row_id", 2)
-        return evaluate.cross_validate(rows, LEX[:6], "label", "row_id", {model: evaluate.classifiers(trees=5, depth=3, iterations=20)[model]})
+        classes = rows.agg(F.count_distinct("label")).first()[0]
+        return evaluate.cross_validate(rows, LEX[:6], "label", "row_id", {model: evaluate.classifiers(classes)[model]})
 
     return run
 

@@ -221,3 +221,11 @@ def test_streams(spark, sf_dir, tmp_path):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and (got[k][1] == want[k][1] or want[k][1] is None) for k in want)
     assert spark.table("window_stream").agg(F.sum("n")).first()[0] == rows.count()
     assert spark.table("once_stream").count() == rows.select("run_id", "step").distinct().count()
+
+
+def test_each_classifier_has_its_own_size(spark):
+    from featherloom.operators import evaluate
+
+    for classes, sizes in ((49, (200, 2000, 300)), (50, (120, 800, 150))):
+        made = {name: make() for name, make in evaluate.classifiers(classes).items()}
+        assert (made["gbt"].getClassifier().getMaxIter(), made["logreg"].getMaxIter(), made["rf"].getNumTrees()) == sizes
