@@ -233,12 +233,12 @@ def polynomial_topk(spark, d):
 @query()
 def lasso_topk(spark, d):
     rows = label_of_flag(spark, d)
-    return r6(select.lasso_scores(rows, LEX, "label", max_iter=20), "score")
+    return r6(select.lasso_scores(rows, LEX, "label"), "score")
 
 
 @query()
 def importance_topk(spark, d):
-    return r6(select.importance_scores(label_of_flag(spark, d), LEX, "label", trees=10, depth=4), "score")
+    return r6(select.importance_scores(label_of_flag(spark, d), LEX, "label"), "score")
 
 
 def label_of_flag(spark, d) -> DataFrame:
@@ -500,9 +500,9 @@ def example_rows(spark, d):
 # -- models ----------------------------------------------------------------------------------------------------------------
 def _cross_validated(model: str):
     def run(spark, d):
-        rows = split.stratified_folds(label_of_flag(spark, d), "label", "row_id", 2)
+        rows = split.stratified_folds(label_of_flag(spark, d), "label", "row_id", FOLDS)
         classes = rows.agg(F.count_distinct("label")).first()[0]
-        return evaluate.cross_validate(rows, LEX[:6], "label", "row_id", {model: evaluate.classifiers(classes)[model]})
+        return evaluate.cross_validate(rows, LEX, "label", "row_id", {model: evaluate.classifiers(classes)[model]})
 
     return run
 
@@ -512,5 +512,5 @@ _Q |= {"cv_logreg": _cross_validated("logreg"), "cv_forest": _cross_validated("r
 
 @query()
 def cv_ridge(spark, d):
-    rows = split.kfold(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"), F.col("o_custkey").alias("customer")), "o_orderkey", 2)
+    rows = split.kfold(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"), F.col("o_custkey").alias("customer")), "o_orderkey", FOLDS)
     return evaluate.cross_validate(rows, ["day", "customer"], "o_totalprice", "o_orderkey", {"ridge": evaluate.regressors()["ridge"]}, task="regression")
