@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,12 +83,18 @@ def suspect(stretch: str) -> bool:
     return False
 
 
+def pair_codes(pairs: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted numbers, counts) of the pairs, without those that touch a stretch left out."""
+    kept = sorted((ord(p[0]) << 21 | ord(p[1]), n) for p, n in pairs.items() if "\0" not in p)
+    return np.array([c for c, _ in kept], np.int64), np.array([n for _, n in kept], np.int64)
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of neighbouring characters, without pairs that touch a suspect stretch."""
     counts: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["pair", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair_codes(counts)], names=["code", "n"])
 
     def clean(match: re.Match) -> str:
         return "\0" if suspect(match[0]) else match[0]
@@ -111,34 +118,49 @@ class PairModel:
     do: a letter that always stands for another is bound to the neighbours of that other just as firmly.)
     """
 
-    def __init__(self, pairs: dict[str, int], least: float = 1e-4):
-        pairs = {p: n for p, n in pairs.items() if "\0" not in p}
-        self.n, self.total, self.least = pairs, max(1, sum(pairs.values())), least
-        self.left: Counter[str] = Counter()
-        self.right: Counter[str] = Counter()
-        for pair, n in pairs.items():
-            self.left[pair[0]] += n
-            self.right[pair[1]] += n
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, least: float = 1e-4):
+        """codes are the sorted numbers of the pairs (see pair_codes): 16 bytes a pair in all, so that every pair is kept."""
+        self.codes, self.counts, self.total, self.least = codes, counts, max(1, int(counts.sum())), least
+        self.left, self.right = (self._sums(part) for part in (codes >> 21, codes & 0x1FFFFF))
+        self.n: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.utf8: dict[tuple[str, str, str], str | None] = {}
         self.single: dict[tuple[str, str, str], list[tuple[tuple[str, str], float, str]]] = {}
 
+    def _sums(self, chars: np.ndarray) -> Counter[str]:
+        found, at = np.unique(chars, return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, at, self.counts)
+        return Counter(dict(zip(map(chr, found.tolist()), sums.tolist())))
+
+    def count(self, pair: str) -> int:
+        found = self.n.get(pair)
+        if found is None:
+            code = ord(pair[0]) << 21 | ord(pair[1])
+            at = int(np.searchsorted(self.codes, code))
+            if len(self.n) >= 300_000:
+                self.n.clear()
+            found = self.n[pair] = int(self.counts[at]) if at < len(self.codes) and self.codes[at] == code else 0
+        return found
+
     def improbable(self, pair: str) -> float:
         """How far the pair's weight lies under ``least``, in bits; pairs of ASCII characters, which no encoding changes, count against a run."""
         if pair.isascii():
             return -1.0
         found = self.scores.get(pair)
         if found is None:
-            n = self.n.get(pair, 0)
+            n = self.count(pair)
             weight = 0.0
             if n >= 3:  # what is seen once or twice says nothing
                 weight = max(0.0, n / self.total * math.log2(n * self.total / (self.left[pair[0]] * self.right[pair[1]])))
+            if len(self.scores) >= 300_000:
+                self.scores.clear()
             found = self.scores[pair] = max(-8.0, min(8.0, math.log2(self.least / max(weight, 1e-12))))
         return found
 
     def bits(self, text: str) -> float:
         """The surprise of the pairs of a text."""
-        return sum(math.log2(self.total / (self.n.get(a + b, 0) + 0.5)) for a, b in zip(text, text[1:]))
+        return sum(math.log2(self.total / (self.count(a + b) + 0.5)) for a, b in zip(text, text[1:]))
 
     def known(self, text: str, least: int = 3) -> bool:
         return all(self.left[c] + self.right[c] >= least for c in text)
@@ -299,7 +321,7 @@ def _restore(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not model:
-            model.append(PairModel(sent.value))
+            model.append(PairModel(*sent.value))
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -314,7 +336,15 @@ def _restore(sent):
     return run
 
 
-def garbled(df: DataFrame, id_col: str, text: str, table_pairs: int = 300_000) -> DataFrame:
+def pair_table(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted numbers, counts) of all pairs of neighbouring characters, however many; what the driver can't hold is an error."""
+    table = texts.mapInArrow(_count_pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    codes, counts = (table[c].to_numpy() for c in ("code", "n"))
+    order = np.argsort(codes)
+    return codes[order], counts[order]
+
+
+def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, restored, stretches, lost) of each text that has a stretch of wrongly decoded characters.
 
     The neighbouring characters of all texts are counted, without stretches that some inverse reading finds UTF-8 in, so that
@@ -322,11 +352,9 @@ def garbled(df: DataFrame, id_col: str, text: str, table_pairs: int = 300_000) -
     them (see PairModel, runs and restore). restored has what could be read back, stretches says how many were; lost
     counts replacement characters, whose originals are gone and which stay as they are.
 
-    The table of pairs sent to the tasks has the table_pairs most frequent ones at most. Null and empty texts have no rows; rows of equal
+    The table of all pairs is sent to the tasks, 16 bytes a pair. Null and empty texts have no rows; rows of equal
     ids are judged each by itself. Texts are whole in one task and nothing but counts is shuffled.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    counts = rows.select("text").mapInArrow(_count_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = {p: n for p, n in counts.orderBy(F.desc("n"), "pair").limit(table_pairs).collect()}
-    sent = df.sparkSession.sparkContext.broadcast(table)
+    sent = df.sparkSession.sparkContext.broadcast(pair_table(rows.select("text")))
     return rows.mapInArrow(_restore(sent), "id long, restored string, stretches long, lost long")

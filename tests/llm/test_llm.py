@@ -289,6 +289,16 @@ def test_misread_characters_that_the_corpus_never_has(spark):
     assert found == {i: text for i, (_, text) in bad.items()}
 
 
+def test_every_pair_of_characters_is_kept(spark):
+    import pandas as pd
+
+    texts = [chr(0x4E00 + k // 600) + chr(0x4E00 + k % 600) for k in range(320_000)] + ["né"] * 3
+    codes, counts = garbled.pair_table(spark.createDataFrame(pd.DataFrame({"text": texts})))
+    assert len(codes) == 320_001 and counts.sum() == 320_003
+    model = garbled.PairModel(codes, counts)
+    assert model.count("né") == 3 and model.known("né") and model.count("én") == 0
+
+
 def test_weights_and_scores_by_hand(spark):
     texts = ["red red blue", "blue green", "blue sky blue", "sky"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
