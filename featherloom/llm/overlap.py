@@ -246,7 +246,7 @@ def _verify(steps: int):
     return run
 
 
-def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: str, form_source: str = "web_form", train: str = "train", held: tuple[str, ...] = ("test", "validation"), table_starts: int = 200_000) -> DataFrame:
+def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: str, form_source: str = "web_form", train: str = "train", held: tuple[str, ...] = ("test", "validation"), table_starts: int = 200_000, short: bool = False) -> DataFrame:
     """(train_id, held_id, same): each pair of a row of the training split and one of a held-out split whose contents are the same, or whose words become equal by at most two steps.
 
     The texts make up a sparse suffix array: of each text those suffixes are entered whose first three words are its
@@ -259,7 +259,8 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
 
     Contents are compared without blanks, case and punctuation, those of form_source by field in any order, and a form is never
     the same as another text. Splits are compared without case and outer blanks; rows of other or null splits, null texts
-    and texts without a letter or digit are left out. Texts that share no word aren't near each other, however short.
+    and texts without a letter or digit are left out. Texts of one or two words that share none are within two steps all the same; they
+    are compared with ``short``, every short wording with every other, in blocks, and left out without it. Longer ones always share a word.
     Copies of a wording are entered once a task and once an array, so that pairs are sought between wordings; only the found
     pairs are given for all rows, as wanted. Rows of equal ids are given once.
     """
@@ -282,7 +283,13 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
 
     x, y = entered(records.filter("NOT held"), "x"), entered(records.filter("held"), "y")
     unlike = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y")))
-    candidates = x.join(y, "start").filter((F.col("x") != F.col("y")) & (unlike <= 4)).select("x", "y").distinct()
+    candidates = x.join(y, "start").filter((F.col("x") != F.col("y")) & (unlike <= 4)).select("x", "y")
+    if short:
+        few = records.filter(F.size(F.split("words", "[ \n]")) <= BROKEN_WORDS).select("form", "held", number.alias("t")).distinct()
+        block = few.filter("NOT held").select("form", F.col("t").alias("x"), F.pmod("t", F.lit(32)).cast("int").alias("block"))
+        every = few.filter("held").select("form", F.col("t").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("block"))
+        candidates = candidates.unionByName(block.join(every, ["form", "block"]).filter("x <> y").select("x", "y"))
+    candidates = candidates.distinct()
     first = records.filter("NOT held").select(number.alias("x"), F.col("form").alias("form_x"), F.col("words").alias("a")).distinct()
     second = records.filter("held").select(number.alias("y"), "form", F.col("words").alias("b")).distinct()
     read = candidates.join(second, "y").join(first, "x").filter("form = form_x").select("form", "a", "b")

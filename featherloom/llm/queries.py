@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.split_overlaps(table(spark, sf_dir, "features"), "row_id", "query", "source_split", "source")
+    return overlap.split_overlaps(table(spark, sf_dir, "features"), "row_id", "query", "source_split", "source", short=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

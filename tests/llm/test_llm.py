@@ -166,6 +166,12 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_short_texts_without_a_common_word(spark, tmp_path):
+    rows = [(1, "lost card", "train", "chat"), (2, "Refund?", "test", "chat"), (3, "new pin", "validation", "chat"), (4, "a new pin", "test", "chat"), (5, "x: y", "train", "web_form"), (6, "u: v", "test", "web_form"), (7, "b; c", "test", "web_form")]
+    spark.createDataFrame(rows, "row_id long, query string, source_split string, source string").write.parquet(f"{tmp_path}/features.parquet")
+    assert {tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (5, 6)}
+
+
 def test_programs_are_those_of_brute_force(spark):
     rng = random.Random(3)
     base = [[f"x{rng.randrange(300)} = y{rng.randrange(300)} + {rng.randrange(99)}" for _ in range(30)] for _ in range(15)]
