@@ -38,6 +38,12 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.join(held, "held_id").groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("held_rows"))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per held-out row its words, those in spans of eight or more that the training split has too, and the longest span."""
+    found = overlap.split_coverage(table(spark, sf_dir, "features"), "row_id", "query", "source_split", "source")
+    return found.withColumnRenamed("id", "row_id")
+
+
 def _sample(spark: SparkSession, sf_dir: str) -> sampling.Sample:
     return sampling.sample_by_targets(table(spark, sf_dir, "features"), table(spark, sf_dir, "intent_targets"), "row_id", "intent_id", "intent_name", "target_bp", "min_rows")
 
@@ -117,7 +123,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p3_found, p3_sample, p3_report, p4_found, p4_collapsed, p5_found, p5_groups, p6_found, p6_scores, p7_ids, p8_found, p8_coverage, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_counts, p2_coverage, p3_found, p3_sample, p3_report, p4_found, p4_collapsed, p5_found, p5_groups, p6_found, p6_scores, p7_ids, p8_found, p8_coverage, p9_found, p9_restored)}
 
 
 _TERMS = r"""
@@ -151,6 +157,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": f"WITH {_TERMS} SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size",
         "p1_found": f"WITH {_TERMS} SELECT term, {_MARK} AS mark FROM counts, size WHERE {_MARK} IS NOT NULL",
+        "p2_coverage": r"""WITH texts AS (SELECT row_id, trim(lower(source_split)) = 'train' AS train, CASE WHEN source = 'web_form' THEN regexp_split_to_array(lower(query), '[;|\n\r]') ELSE [lower(query)] END AS units
+    FROM features WHERE trim(lower(source_split)) IN ('train', 'test', 'validation') AND regexp_matches(query, '[\p{L}\p{N}]')),
+  units AS (SELECT row_id, train, unnest(range(1, len(units) + 1)) AS k, unnest(units) AS unit FROM texts),
+  sorted AS (SELECT row_id, train, row_number() OVER (PARTITION BY row_id ORDER BY array_to_string(w, ' '), k) AS k, w FROM (SELECT *, regexp_extract_all(unit, '[\p{L}\p{N}]+') AS w FROM units) WHERE len(w) > 0),
+  placed AS (SELECT *, (sum(len(w)) OVER (PARTITION BY row_id ORDER BY k) - len(w))::BIGINT AS before FROM sorted),
+  runs AS (SELECT row_id, train, before, unnest(range(1, len(w) - 6)) AS j, unnest(list_transform(range(1, len(w) - 6), lambda j: array_to_string(w[j:j + 7], ' '))) AS run FROM placed WHERE len(w) >= 8),
+  hit AS (SELECT DISTINCT row_id, unnest(range(before + j, before + j + 8)) AS spot FROM runs WHERE NOT train AND run IN (SELECT run FROM runs WHERE train)),
+  spans AS (SELECT row_id, count(*) AS n FROM (SELECT row_id, spot - row_number() OVER (PARTITION BY row_id ORDER BY spot) AS island FROM hit) GROUP BY row_id, island)
+SELECT row_id, words::INTEGER AS words, coalesce(covered, 0)::INTEGER AS covered, coalesce(longest, 0)::INTEGER AS longest
+FROM (SELECT row_id, sum(len(w)) AS words FROM placed WHERE NOT train GROUP BY row_id) LEFT JOIN (SELECT row_id, sum(n) AS covered, max(n) AS longest FROM spans GROUP BY row_id) USING (row_id)""",
         "p3_found": f"WITH {_INTENTS} SELECT t.intent_id FROM intent_targets t LEFT JOIN counted c USING (intent_id), total WHERE coalesce(c.available, 0) * 100000 < t.target_bp * r OR coalesce(c.available, 0) < t.min_rows",
         "p4_found": f"WITH {_CONTENT} SELECT first_row_id, row_id FROM contents c JOIN firsts f ON c.content = f.content AND c.intent_id IS NOT DISTINCT FROM f.intent_id WHERE row_id <> first_row_id",
         "p4_collapsed": f"WITH {_CONTENT} SELECT first_row_id AS row_id, copies FROM firsts",

@@ -166,6 +166,35 @@ def test_overlaps_are_those_of_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_overlaps_of_repeated_words_and_fields(spark):
+    rng = random.Random(8)
+    rows = [(0, "status yes;status yes;status yes;status yes;note no;note no;note no;note no", "train", "web_form"), (1, "status yes;status yes;status yes;status yes;note no;note no;note no;note off", "test", "web_form")]
+    for i in range(2, 500):
+        form = rng.random() < 0.6
+        kinds = [f"{rng.choice('ab')} {rng.choice('cdefgh')}" for _ in range(rng.randrange(1, 7))]
+        parts = [rng.choice(kinds) for _ in range(rng.choice([2, 4, 5, 6, 7, 8, 9, 12, 20]))]
+        rows.append((i, (";" if form else " ").join(parts), rng.choice(["train", "test"]), "web_form" if form else "chat"))
+    df = spark.createDataFrame(rows, "id long, text string, split string, source string")
+    want = set()
+    plain = {i: overlap.canonical(t, s == "web_form") for i, t, _, s in rows}
+    for i, _, p, s in rows:
+        for j, _, q, u in rows:
+            if p == "train" and q == "test" and s == u and overlap.near(plain[i], plain[j], s == "web_form"):
+                want.add((i, j))
+    for hot in (2, 200):
+        got = {(r.train_id, r.held_id) for r in overlap.split_overlaps(df, "id", "text", "split", "source", short=True, hot=hot).collect()}
+        assert {x for x in want - got} == set() and {x for x in got - want} == set()
+    assert (0, 1) in want and len(want) > 200
+
+
+def test_coverage_by_hand(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(0, " ".join(words[:20]), "train", "chat"), (1, " ".join(["x", *words[2:12], "y", *words[11:20], "w2"]), "test", "chat"), (2, "w1 w2", "test", "chat"), (3, None, "test", "chat"), (4, "b; " + " ".join(words[5:13]) + "|a", "validation", "web_form")]
+    df = spark.createDataFrame(rows, "id long, text string, split string, source string")
+    assert {tuple(r) for r in overlap.split_coverage(df, "id", "text", "split", "source").collect()} == {(1, 22, 19, 10), (2, 2, 0, 0), (4, 10, 8, 8)}
+    assert overlap.split_coverage(df.limit(0), "id", "text", "split", "source").count() == 0
+
+
 def test_short_texts_without_a_common_word(spark, tmp_path):
     rows = [(1, "lost card", "train", "chat"), (2, "Refund?", "test", "chat"), (3, "new pin", "validation", "chat"), (4, "a new pin", "test", "chat"), (5, "x: y", "train", "web_form"), (6, "u: v", "test", "web_form"), (7, "b; c", "test", "web_form")]
     spark.createDataFrame(rows, "row_id long, query string, source_split string, source string").write.parquet(f"{tmp_path}/features.parquet")
