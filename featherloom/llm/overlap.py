@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.llm.texts import WORD, fields, ident
+from featherloom.llm.texts import WORD, Codes, fields
 from featherloom.session import materialize
 
 #: First words by which a suffix is entered; texts of up to SHORT + 1 words are also, or only, entered by single words.
@@ -102,21 +102,11 @@ def _read(form_source: str, train: str, held: tuple[str, ...]):
     return run
 
 
-class _Codes(dict):
-    """64-bit numbers of words and fields by content; kept while they are few."""
-
-    def __missing__(self, word: str) -> int:
-        found = int.from_bytes(ident(word, 8), "little")
-        if len(self) < 1_000_000:
-            self[word] = found
-        return found
-
-
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _FORM_WORD, _FIELD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def starts(forms: list[bool], texts: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def starts(forms: list[bool], texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the start, entry it belongs to, place) of every start of the texts; entry 4 r + kind is of text r, place is -1 but for kind 0.
 
     Kinds: 0 runs of three words of a text, 1 words of a short text, 2 fields of a form, 3 words of a form of few distinct fields.
@@ -153,7 +143,7 @@ def starts(forms: list[bool], texts: list[str], codes: _Codes) -> tuple[np.ndarr
     return np.concatenate(numbers), np.concatenate(owners), np.concatenate(places)
 
 
-def signatures(texts: list[str], codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+def signatures(texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     """(32 bits, one for each word; number of words) of each text. Two steps take or add at most two words each way: four bits."""
     split = [t.replace("\n", " ").split(" ") for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
@@ -187,7 +177,7 @@ def _count_starts(chunk: int = 50_000, least: int = 3):
     """Counts of starts that come ``least`` times or more within a chunk of wordings: those that are frequent anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, kept, records = _Codes(), [], 0
+        codes, kept, records = Codes(), [], 0
 
         def out() -> pa.RecordBatch:
             found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *kept]), return_counts=True)
@@ -247,7 +237,7 @@ def _enter(sent, spread: int, hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = sent.value
-        codes = _Codes()
+        codes = Codes()
         for batch in batches:
             forms, words = (batch.column(k).to_pylist() for k in range(2))
             texts = batch.column(2).to_numpy()
@@ -350,7 +340,7 @@ def _suffixes(least: int):
     """(start, text, place) of every suffix of at least so many words; a suffix ends with its field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, powers = _Codes(), np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(least)], np.uint64)
+        codes, powers = Codes(), np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(least)], np.uint64)
         for batch in batches:
             words = [f.split(" ") for t in batch.column(0).to_pylist() for f in t.split("\n")]
             sizes = np.array([len(w) for w in words], np.int64)

@@ -26,3 +26,13 @@ def content(text: str) -> str:
 def fields(text: str) -> list[str]:
     """The raw fields of a form."""
     return FIELD_END.split(text)
+
+
+class Codes(dict):
+    """64-bit numbers of words and fields by content; kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        found = int.from_bytes(ident(word, 8), "little")
+        if len(self) < 1_000_000:
+            self[word] = found
+        return found

@@ -275,12 +275,52 @@ def test_tiles():
         assert len({x for i, _, n in tiles for x in range(i, i + n)}) == sum(n for *_, n in tiles)
 
 
-def test_leaks_in_blocks(spark):
+def test_tiles_of_repeats():
+    import time
+
+    began = time.time()
+    one, two = [1, 2] * 25_000, [2, 1] * 100
+    assert leaks.tile(one, two, 12) == [(1, 0, 200)]
+    assert leaks.tile(one, one, 12) == [(0, 0, 50_000)]
+    assert sum(n for *_, n in leaks.tile(one, [1, 2, 1] * 2_000, 3)) >= 3
+    assert time.time() - began < 5
+
+
+def old_tile(a, b, least):
+    """Greedy string tiling done plainly."""
+    open_a, open_b, tiles = [True] * len(a), [True] * len(b), []
+    while True:
+        best, found = least - 1, []
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and open_a[i + n] and open_b[j + n] and a[i + n] == b[j + n]:
+                    n += 1
+                if n > best:
+                    best, found = n, []
+                if n == best and n >= least:
+                    found.append((i, j))
+        if not found:
+            return tiles
+        for i, j in found:
+            if all(open_a[i : i + best]) and all(open_b[j : j + best]):
+                open_a[i : i + best] = open_b[j : j + best] = [False] * best
+                tiles.append((i, j, best))
+
+
+def test_tiles_are_those_done_plainly():
+    rng = random.Random(6)
+    for _ in range(150):
+        a, b = [[rng.randrange(4) for _ in range(rng.randrange(40))] for _ in range(2)]
+        assert leaks.tile(a, b, 3) == old_tile(a, b, 3)
+
+
+def test_leaks_by_seeds(spark):
     item = "One two three, four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, item.upper().replace(" ", "\n--")), (2, item[:60]), (3, None), (1, f"x {item} y")], "doc long, item string")
     items = spark.createDataFrame([(5, item), (6, None), (7, "short"), (8, f"zero {item}")], "item long, text string")
-    for size in (10, 10_000):
-        got = sorted((r.doc, r.item, r.longest) for r in leaks.leaked_items(docs, "doc", "item", items, "item", "text", block_bytes=size).collect())
+    for bits in (6, 27):  # a filter that lets everything through, and one that doesn't
+        got = sorted((r.doc, r.item, r.longest) for r in leaks.leaked_items(docs, "doc", "item", items, "item", "text", most_bits=bits).collect())
         assert got == [(1, 5, 13), (1, 5, 13), (1, 8, 13), (1, 8, 13)]
 
 
