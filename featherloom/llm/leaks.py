@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.llm.texts import WORD, Codes
+from featherloom.llm.texts import WORD, Codes, NumberFilter, shingles
 from featherloom.session import materialize
 
 #: Two moduli and bases of the running hash of a tiling.
@@ -111,63 +111,25 @@ def tile(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
     return tiles
 
 
-def _seed_numbers(texts: list[str | None], codes: Codes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit number, text) of each stretch of ``least`` words: a running hash of the words' codes, mixed."""
-    split = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    ids = np.fromiter((codes[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
-    of = np.repeat(np.arange(len(texts)), sizes)
-    count = max(0, len(ids) - least + 1)
-    numbers = np.zeros(count, np.uint64)
-    for k in range(least):
-        numbers *= np.uint64(0x9E3779B97F4A7C15)
-        numbers += ids[k : count + k]
-    numbers ^= numbers >> np.uint64(32)
-    numbers *= np.uint64(0xD6E8FEB86659FD93)
-    numbers ^= numbers >> np.uint64(32)
-    whole = of[:count] == of[least - 1 :] if count else np.zeros(0, bool)
-    return numbers[whole], of[:count][whole]
-
-
 def _seeds(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
-            numbers, of = _seed_numbers(batch.column(1).to_pylist(), codes, least)
+            numbers, of = shingles(list(map(words, batch.column(1).to_pylist())), codes, least)
             pairs = np.unique(np.stack([numbers.view(np.int64), of]), axis=1) if len(of) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), batch.column(0).take(pa.array(pairs[1]))], names=["seed", "item_key"])
 
     return run
 
 
-class SeedFilter:
-    """Which seeds an item may have: of each seed three bits of one 64-bit word are set. At most 2^most_bits bits, whatever the number of seeds; a fuller one lets more through and loses none."""
-
-    def __init__(self, seeds: DataFrame, most_bits: int = 27):
-        count = seeds.count()
-        self.words = 1 << max(6, min(most_bits, (16 * count).bit_length()) - 6)
-        bit = lambda shift: f"shiftleft(1L, CAST(shiftrightunsigned(seed, {shift}) & 63 AS INT))"
-        # at most one row a word
-        table = seeds.groupBy(F.expr(f"shiftrightunsigned(seed, 20) & {self.words - 1}L").alias("word")).agg(F.expr(f"bit_or({bit(0)} | {bit(6)} | {bit(12)})").alias("bits")).toArrow()
-        found = np.zeros(self.words, np.int64)
-        found[table["word"].to_numpy()] = table["bits"].to_numpy()
-        self.sent = seeds.sparkSession.sparkContext.broadcast(found.view(np.uint64))
-
-    @staticmethod
-    def passing(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-        one, six = np.uint64(1), np.uint64(63)
-        bits = one << (seeds & six) | one << (seeds >> np.uint64(6) & six) | one << (seeds >> np.uint64(12) & six)
-        return table[(seeds >> np.uint64(20) & np.uint64(len(table) - 1)).astype(np.int64)] & bits == bits
-
-
 def _hits(sent, least: int):
     """The texts with a seed that passes the filter, and these seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, codes = sent.value, Codes()
         for batch in batches:
-            numbers, of = _seed_numbers(batch.column(1).to_pylist(), codes, least)
-            hit = SeedFilter.passing(table, numbers)
+            numbers, of = shingles(list(map(words, batch.column(1).to_pylist())), codes, least)
+            hit = NumberFilter.passing(table, numbers)
             numbers, of = numbers[hit], of[hit]
             rows, first = np.unique(of, return_index=True)
             seeds = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array(numbers.view(np.int64)))
@@ -199,7 +161,7 @@ def _tile(least: int):
 def leaked_items(docs: DataFrame, doc_col: str, doc_text: str, items: DataFrame, item_col: str, item_text: str, least: int = 12, most_bits: int = 27) -> DataFrame:
     """(doc, item, longest, covered, item_words, tiles) of each document and item that share a stretch of ``least`` words.
 
-    Seeds are the stretches of ``least`` words, as running hashes. Those of the items make up a filter of bounded size (see SeedFilter), which every task gets;
+    Seeds are the stretches of ``least`` words, as running hashes. Those of the items make up a filter of bounded size (see NumberFilter), which every task gets;
     only the seeds of documents that pass it, and the texts of those documents, go on. They are joined with the seeds of the items by number, so neither
     documents nor items pass through the driver. Each pair of a document and an item is tiled greedily: longest is the longest tile, covered the
     words in tiles, which passages in another order share as well. Words are lower-cased runs of letters and digits; whatever stands between them doesn't count.
@@ -211,7 +173,7 @@ def leaked_items(docs: DataFrame, doc_col: str, doc_text: str, items: DataFrame,
     own = materialize(items.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{item_text}`").cast("string").alias("item_text")).filter("item_text <> ''").withColumn("item_key", number))
     seeds = materialize(own.select("item_key", "item_text").mapInArrow(_seeds(least), "seed long, item_key long"))
     rows = docs.select(F.col(f"`{doc_col}`").cast("long").alias("doc"), F.col(f"`{doc_text}`").cast("string").alias("text")).filter("text <> ''")
-    hit = materialize(rows.mapInArrow(_hits(SeedFilter(seeds, most_bits).sent, least), "doc long, text string, seeds array<long>").withColumn("doc_key", number))
+    hit = materialize(rows.mapInArrow(_hits(NumberFilter(seeds, "seed", most_bits).sent, least), "doc long, text string, seeds array<long>").withColumn("doc_key", number))
     pairs = hit.select("doc_key", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select("doc_key", "item_key").distinct()
     both = pairs.join(hit.select("doc_key", "doc", "text"), "doc_key").join(own, "item_key").select("doc", "text", "item", "item_text")
     return both.mapInArrow(_tile(least), "doc long, item long, longest long, covered long, item_words long, tiles long")
