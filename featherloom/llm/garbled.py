@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featherloom.session import materialize
-
 #: Encodings of one byte a character that a text may have been read with, or written in. Each also reads the bytes it
 #: leaves open, and each reads C1 controls, as control characters, as lenient readers do.
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp1254", "iso8859_15", "iso8859_2", "mac_roman", "cp437", "cp850", "cp866", "koi8_r")
+#: Further encodings that UTF-8 may have been read with: of one byte, and of one or two bytes a character.
+READ_AS = (*SINGLE, "cp1253", "cp1257")
+DOUBLE = ("gbk", "cp932", "big5", "cp949")
 #: A stretch of characters beyond ASCII; no encoding here changes ASCII.
 STRETCH = re.compile(r"[^\x00-\x7f]+")
 LOST = "�"
@@ -39,12 +40,25 @@ def _table(encoding: str) -> dict[str, int]:
     return found
 
 
-BYTES = {e: _table(e) for e in SINGLE}
-CHARS = {e: {b: c for c, b in reversed(t.items())} for e, t in BYTES.items()}
+BYTES = {e: _table(e) for e in READ_AS}
+CHARS = {e: {b: c for c, b in reversed(BYTES[e].items())} for e in SINGLE}
+#: What two-byte readings show: ideographs, kana and half-width forms.
+EASTERN = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
 
 
 def undo_utf8(stretch: str, read_as: str) -> tuple[str, list[str]]:
-    """The stretch with every valid UTF-8 sequence among its bytes as the character it stands for, and these characters."""
+    """The stretch with every valid UTF-8 sequence among its bytes as the character it stands for, and these characters.
+
+    A two-byte reading is undone where all bytes of the stretch are UTF-8, as it makes one character of the ends of two.
+    """
+    if read_as in DOUBLE:
+        if not EASTERN.search(stretch):
+            return stretch, []
+        try:
+            now = stretch.encode(read_as).decode("utf-8")
+        except UnicodeError:
+            return stretch, []
+        return now, [c for c in now if not c.isascii()]
     table = BYTES[read_as]
     raw = [table.get(c, -1) for c in stretch]
     out, k, found = [], 0, []
@@ -54,8 +68,8 @@ def undo_utf8(stretch: str, read_as: str) -> tuple[str, list[str]]:
         rest = raw[k + 1 : k + size]
         if size and len(rest) == size - 1 and all(0x80 <= b < 0xC0 for b in rest):
             try:
-                found.append(bytes(raw[k : k + size]).decode("utf-8"))
-                out.append(found[-1])
+                out.append(bytes(raw[k : k + size]).decode("utf-8"))
+                found.append(out[-1])
                 k += size
                 continue
             except UnicodeDecodeError:
@@ -65,49 +79,101 @@ def undo_utf8(stretch: str, read_as: str) -> tuple[str, list[str]]:
     return "".join(out), found
 
 
-def _usual(char: str) -> bool:
-    """Not a letter of the two-byte blocks that hardly any text uses, which neighbours of other scripts' bytes often make up."""
-    code = ord(char)
-    return not (0x180 <= code < 0x300 and not 0x218 <= code <= 0x21B) and not 0x530 <= code < 0x800
+class Chars:
+    """How often the corpus has each character, garbled or not: one number for each of the characters there are."""
+
+    def __init__(self, counts: np.ndarray, unusual: float = 1e-3):
+        """Usual characters are the most frequent ones beyond ASCII that make up all but the part ``unusual`` of those."""
+        self.counts = counts
+        by_count = np.sort(counts[128:])[::-1]
+        upto = np.cumsum(by_count)
+        self.usual = max(1, int(by_count[min(int(np.searchsorted(upto, (1 - unusual) * upto[-1])), len(upto) - 1)]))
+        self.suspect = lru_cache(maxsize=200_000)(self._suspect)
 
+    def _suspect(self, stretch: str) -> bool:
+        """Whether some inverse reading finds UTF-8 in the stretch: a usual character, a telling one, or three and more sequences.
 
-@lru_cache(maxsize=100_000)
-def suspect(stretch: str) -> bool:
-    """Whether some inverse reading finds UTF-8 in the stretch: a usual character, or three and more sequences."""
-    if LOST in stretch:
-        return True
-    for encoding in SINGLE if len(stretch) > 1 else ():
-        _, found = undo_utf8(stretch, encoding)
-        if len(found) >= 3 or any(map(_usual, found)):
+        (Neighbours of other scripts also make up UTF-8 sequences, but of characters that hardly any text has.)
+        """
+        if LOST in stretch:
             return True
-    return False
+        n = self.counts
+        for encoding in (*(READ_AS if len(stretch) > 1 else ()), *DOUBLE):
+            now = stretch
+            for _ in range(3):  # a text may have been misread more than once
+                now, found = undo_utf8(now, encoding)
+                if not found:
+                    break
+                if len(found) >= 3 and encoding not in DOUBLE or TELLING.search(now):
+                    return True
+                if encoding in DOUBLE:
+                    if all(n[ord(c)] >= max(self.usual, *(n[ord(x)] for x in stretch)) for c in found):
+                        return True
+                elif any(n[ord(c)] >= self.usual for c in found):
+                    return True
+        return False
+
+
+def char_counts(texts: DataFrame) -> np.ndarray:
+    """Occurrences of each code point: at most one row for each that there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            points = np.frombuffer("".join(filter(None, batch.column(0).to_pylist())).encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = np.bincount(points)
+            counts[: len(found)] += found
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(counts[seen])], names=["char", "n"])
+
+    table = texts.mapInArrow(run, "char long, n long").groupBy("char").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(0x110000, np.int64)
+    counts[table["char"].to_numpy()] = table["n"].to_numpy()
+    return counts
 
 
-def pair_codes(pairs: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted numbers, counts) of the pairs, without those that touch a stretch left out."""
-    kept = sorted((ord(p[0]) << 21 | ord(p[1]), n) for p, n in pairs.items() if "\0" not in p)
-    return np.array([c for c, _ in kept], np.int64), np.array([n for _, n in kept], np.int64)
+def _count_pairs(sent):
+    """Counts of neighbouring characters, numbered as left << 21 | right, without pairs that touch a suspect stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suspect = Chars(sent.value).suspect
+        plain = np.zeros(1 << 14, np.int64)  # both of ASCII
+        others: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([c for c, _ in others]), return_inverse=True)
+            counts = np.zeros(len(codes), np.int64)
+            np.add.at(counts, at, np.concatenate([n for _, n in others]))
+            return codes, counts
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring characters, without pairs that touch a suspect stretch."""
-    counts: Counter[str] = Counter()
+        def out(codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair_codes(counts)], names=["code", "n"])
+        def clean(match: re.Match) -> str:
+            return "\0" if suspect(match[0]) else match[0]
 
-    def clean(match: re.Match) -> str:
-        return "\0" if suspect(match[0]) else match[0]
+        for batch in batches:
+            texts = [STRETCH.sub(clean, t) for t in batch.column(0).to_pylist() if t]
+            points = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            left, right = points[:-1], points[1:]
+            whole = (left > 0) & (right > 0)
+            ascii_pair = (left | right) < 128
+            plain += np.bincount((left << 7 | right)[whole & ascii_pair], minlength=1 << 14)
+            others.append(np.unique((left << 21 | right)[whole & ~ascii_pair], return_counts=True))
+            held += len(others[-1][0])
+            if held > 2_000_000:
+                others[:] = [merged()]
+                held = len(others[0][0])
+                if held > 1_000_000:
+                    yield out(*others.pop())
+                    held = 0
+        if others:
+            yield out(*merged())
+        seen = np.flatnonzero(plain)
+        yield out(seen >> 7 << 21 | seen & 127, plain[seen])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                text = STRETCH.sub(clean, text)
-                counts.update(map("".join, zip(text, text[1:])))
-        if len(counts) > 500_000:
-            yield out()
-            counts.clear()
-    yield out()
+    return run
 
 
 class PairModel:
@@ -118,14 +184,27 @@ class PairModel:
     do: a letter that always stands for another is bound to the neighbours of that other just as firmly.)
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, least: float = 1e-4):
-        """codes are the sorted numbers of the pairs (see pair_codes): 16 bytes a pair in all, so that every pair is kept."""
-        self.codes, self.counts, self.total, self.least = codes, counts, max(1, int(counts.sum())), least
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, doubted: float = 0.115):
+        """codes are the sorted numbers of the pairs (see _count_pairs): 16 bytes a pair in all, so that every pair is kept.
+
+        A pair is improbable under a weight that is measured: the pairs beyond ASCII of smaller weights make up the part ``doubted`` of all such pairs, at any size and in any scripts. Pairs seen once or twice weigh nothing and are always improbable.
+        """
+        self.codes, self.counts, self.total = codes, counts, max(1, int(counts.sum()))
         self.left, self.right = (self._sums(part) for part in (codes >> 21, codes & 0x1FFFFF))
         self.n: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.utf8: dict[tuple[str, str, str], str | None] = {}
         self.single: dict[tuple[str, str, str], list[tuple[tuple[str, str], float, str]]] = {}
+        self.least = 1e-4  # of a corpus without such pairs
+        beyond = np.flatnonzero((codes >> 21 >= 128) | (codes & 0x1FFFFF >= 128))
+        if len(beyond):
+            sums = [np.array([of[chr(c)] for c in part[beyond]]) for of, part in ((self.left, codes >> 21), (self.right, codes & 0x1FFFFF))]
+            n = counts[beyond]
+            weights = np.where(n >= 3, np.maximum(0.0, n / self.total * np.log2(n * self.total / (sums[0] * sums[1]))), 0.0)
+            order = np.argsort(weights)
+            upto = np.cumsum(n[order])
+            some = weights[weights > 0]
+            self.least = max(float(weights[order][np.searchsorted(upto, doubted * upto[-1])]), float(some.min()) if len(some) else 1e-4)
 
     def _sums(self, chars: np.ndarray) -> Counter[str]:
         found, at = np.unique(chars, return_inverse=True)
@@ -144,7 +223,7 @@ class PairModel:
         return found
 
     def improbable(self, pair: str) -> float:
-        """How far the pair's weight lies under ``least``, in bits; pairs of ASCII characters, which no encoding changes, count against a run."""
+        """How far the pair's weight lies under the measured one, in bits; pairs of ASCII characters, which no encoding changes, count against a run."""
         if pair.isascii():
             return -1.0
         found = self.scores.get(pair)
@@ -170,41 +249,45 @@ def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
     """All maximal scoring segments of improbable pairs as (start, end) of characters, in linear time.
 
     Of the segments open so far, one that starts lower and ends lower than the new one is joined with it and all between; where
-    none starts lower, the open ones are final.
+    none starts lower, the open ones are final. Pairs of ASCII characters, which all score -1, are taken together.
     """
     done: list[tuple[int, int]] = []
     opened: list[tuple[int, int, float, float]] = []
-    total = 0.0
-    for k in range(len(text) - 1):
-        score = model.improbable(text[k : k + 2])
-        if score <= 0:
-            total += score
-            continue
-        start, end, low, high = k, k + 2, total, total + score
-        total = high
-        while True:
-            j = len(opened) - 1
-            while j >= 0 and opened[j][2] >= low:
-                j -= 1
-            if j < 0:
-                done += [x[:2] for x in opened]
-                opened = [(start, end, low, high)]
-                break
-            if opened[j][3] >= high:
-                opened.append((start, end, low, high))
-                break
-            start, low = opened[j][0], opened[j][2]
-            del opened[j:]
+    total, at, last = 0.0, 0, len(text) - 2
+    improbable = model.improbable
+    for match in STRETCH.finditer(text):
+        for k in range(max(match.start() - 1, 0), min(match.end() - 1, last) + 1):
+            total -= k - at
+            at = k + 1
+            score = improbable(text[k : k + 2])
+            if score <= 0:
+                total += score
+                continue
+            start, end, low, high = k, k + 2, total, total + score
+            total = high
+            while True:
+                j = len(opened) - 1
+                while j >= 0 and opened[j][2] >= low:
+                    j -= 1
+                if j < 0:
+                    done += [x[:2] for x in opened]
+                    opened = [(start, end, low, high)]
+                    break
+                if opened[j][3] >= high:
+                    opened.append((start, end, low, high))
+                    break
+                start, low = opened[j][0], opened[j][2]
+                del opened[j:]
     return done + [x[:2] for x in opened]
 
 
 def _within(text: str, model: PairModel) -> list[tuple[int, int]]:
     """The stretches beyond ASCII that an improbable run touches."""
-    inside = runs(text, model)
     if len(text) == 1 and not text.isascii():
         return [(0, 1)]
+    inside = runs(text, model)
     found, k = [], 0
-    for match in STRETCH.finditer(text):
+    for match in STRETCH.finditer(text) if inside else ():
         while k < len(inside) and inside[k][1] <= match.start():
             k += 1
         if k < len(inside) and inside[k][0] < match.end():
@@ -232,18 +315,20 @@ def _best_utf8(before: str, stretch: str, after: str, model: PairModel, depth: i
     """
     best, least = None, model.bits(before + stretch + after) / (len(before + stretch + after) - 1 or 1) - gain
     told = many = None
-    for encoding in SINGLE:
+    for encoding in (*READ_AS, *DOUBLE):
         now = stretch
         for _ in range(depth):
             now, found = undo_utf8(now, encoding)
             if not found:
                 break
+            if encoding in DOUBLE and not (TELLING.search(now) or len(found) > 2 or before.isalnum() or after.isalnum()):
+                continue  # an ideograph by itself may well be meant
             cost = model.bits(before + now + after) / (len(before + now + after) - 1 or 1)
             if cost < least and model.known(now):
                 best, least = now, cost
             elif TELLING.search("".join(found)) and model.known(TELLING.sub("", now)):
                 told = now if told is None or len(now) < len(told) else told
-            elif many is None and len(found) >= 3 and not model.known(now):
+            elif many is None and len(found) >= 3 and not model.known(now) and encoding not in DOUBLE:
                 many = now
     return next((x for x in (best, told, many) if x is not None), None)
 
@@ -261,7 +346,7 @@ def _rereadings(before: str, stretch: str, after: str, model: PairModel) -> list
     return found
 
 
-def restore(text: str, model: PairModel, enough: float = 10.0, clear: float = 4.0) -> tuple[str, int, int]:
+def restore(text: str, model: PairModel, chars: Chars, enough: float = 10.0, clear: float = 4.0) -> tuple[str, int, int]:
     """(text as it was before wrong readings, stretches restored, characters lost).
 
     Only stretches in improbable runs are looked at. A stretch is first read back as UTF-8, each by itself; what is left
@@ -286,7 +371,7 @@ def restore(text: str, model: PairModel, enough: float = 10.0, clear: float = 4.
         put(text[at:start])
         stretch, at = text[start:end], end
         now = None
-        if len(stretch) > 1 and suspect(stretch):
+        if chars.suspect(stretch):
             now = _kept(model.utf8, (text[start - 1 : start], stretch, text[end : end + 1]), lambda *key: _best_utf8(*key, model))
         if now is not None:
             fixed += 1
@@ -316,18 +401,13 @@ def restore(text: str, model: PairModel, enough: float = 10.0, clear: float = 4.
 _OUT = pa.schema([("id", pa.int64()), ("restored", pa.string()), ("stretches", pa.int64()), ("lost", pa.int64())])
 
 
-def _restore(sent):
-    model: list[PairModel] = []
-
+def _restore(sent, sent_chars):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not model:
-            model.append(PairModel(*sent.value))
+        model, chars = PairModel(*sent.value), Chars(sent_chars.value)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                now, fixed, lost = restore(text, model[0])
+                now, fixed, lost = restore(text, model, chars)
                 if fixed or lost:
                     for column, value in zip(out, (row, now, fixed, lost)):
                         column.append(value)
@@ -336,9 +416,10 @@ def _restore(sent):
     return run
 
 
-def pair_table(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def pair_table(texts: DataFrame, sent_chars=None) -> tuple[np.ndarray, np.ndarray]:
     """(sorted numbers, counts) of all pairs of neighbouring characters, however many; what the driver can't hold is an error."""
-    table = texts.mapInArrow(_count_pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    sent_chars = sent_chars or texts.sparkSession.sparkContext.broadcast(char_counts(texts))
+    table = texts.mapInArrow(_count_pairs(sent_chars), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     codes, counts = (table[c].to_numpy() for c in ("code", "n"))
     order = np.argsort(codes)
     return codes[order], counts[order]
@@ -347,14 +428,18 @@ def pair_table(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, restored, stretches, lost) of each text that has a stretch of wrongly decoded characters.
 
-    The neighbouring characters of all texts are counted, without stretches that some inverse reading finds UTF-8 in, so that
+    The characters of all texts are counted, then neighbouring ones, without stretches that some inverse reading finds UTF-8 in (see Chars), so that
     garbled text doesn't vouch for itself. Each text's improbable runs are isolated and inverse readings tested inside
     them (see PairModel, runs and restore). restored has what could be read back, stretches says how many were; lost
     counts replacement characters, whose originals are gone and which stay as they are.
 
-    The table of all pairs is sent to the tasks, 16 bytes a pair. Null and empty texts have no rows; rows of equal
+    The counts of all code points (9 MB) and the table of all pairs, 16 bytes a pair, are sent to the tasks. Null and empty texts have no rows; rows of equal
     ids are judged each by itself. Texts are whole in one task and nothing but counts is shuffled.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sent = df.sparkSession.sparkContext.broadcast(pair_table(rows.select("text")))
-    return rows.mapInArrow(_restore(sent), "id long, restored string, stretches long, lost long")
+    send = df.sparkSession.sparkContext.broadcast
+    sent_chars = send(char_counts(rows.select("text")))
+    sent = send(pair_table(rows.select("text"), sent_chars))
+    # ASCII reads the same in all encodings here
+    beyond = rows.filter(F.octet_length("text") != F.length("text"))
+    return beyond.mapInArrow(_restore(sent, sent_chars), "id long, restored string, stretches long, lost long")

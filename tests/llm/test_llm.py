@@ -220,6 +220,30 @@ def test_programs_are_those_of_brute_force(spark):
     assert programs.aligned_share("a\nb\nc", "a\nc") == 0.8
 
 
+def test_sketch_of_long_and_short_texts():
+    import numpy as np
+
+    sketch = programs.Sketch(64, 4, 16, 3, 7)
+    rng = np.random.default_rng(1)
+    many = rng.integers(0, 2**63, 300_000, dtype=np.uint64)
+    for numbers in (many[:1], many[:2], np.repeat(many[:2], 50), many):
+        keys, bits = sketch.of(numbers)
+        again = sketch.of(numbers, room=1000 if len(numbers) < 1000 else 1_000_000)
+        assert len(keys) == 80 and len(bits) == 4 and (keys == again[0]).all() and (bits == again[1]).all()
+    one, other = sketch.of(many[:100])[0], sketch.of(many[:100][::-1])[0]
+    assert (one[:64] == other[:64]).all() and (one[64:] != other[64:]).any()
+
+
+def test_alignment_bounds_common_runs():
+    rng = random.Random(4)
+    for _ in range(100):
+        lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(12)]
+        other = [x for x in lines if rng.random() < 0.8]
+        a, b = "\n".join(lines), "\n".join(other)
+        assert programs.bounded_by_alignment(a, b) <= len(set(programs.runs(a)) & set(programs.runs(b)))
+    assert programs.bounded_by_alignment("a b c d\nx", "y\n a b c d") == 2 and programs.bounded_by_alignment("", "a b c") == 0
+
+
 def test_programs_of_reordered_and_repeated_lines(spark):
     rng = random.Random(11)
     texts = []
@@ -353,6 +377,22 @@ def test_one_byte_readings(spark):
     assert {r.id: r.restored for r in garbled.garbled(df, "id", "text").collect()} == bad
 
 
+@pytest.mark.parametrize("codec", ["gbk", "cp932", "big5", "cp1253"])
+def test_readings_of_two_bytes(spark, codec):
+    texts = ["the café in Köln", "El niño pasó por la montaña", "ask for £1390 now"]
+    rows = [(i, t) for i, t in enumerate((CLEAN + texts) * 30)]
+    bad = {}
+    for k, text in enumerate(texts):
+        try:
+            bad[1000 + k] = (text.encode("utf-8").decode(codec), text)
+        except UnicodeDecodeError:
+            continue
+    clean = ["問い合わせ 茅台 每", "где моя карта", "Ωραία η κάρτα"]
+    df = spark.createDataFrame(rows + [(i, x) for i, (x, _) in bad.items()] + [(2000 + k, t) for k, t in enumerate(clean)], "id long, text string")
+    found = {r.id: r.restored for r in garbled.garbled(df, "id", "text").collect()}
+    assert found == {i: text for i, (_, text) in bad.items()} and bad
+
+
 def test_misread_characters_that_the_corpus_never_has(spark):
     texts = ["\ufeffWhere is my card?", "thanks a lot 🚀 see you", "pay it\u2003now"]
     bad = {1000 + k: (t.encode("utf-8").decode(c), t) for k, (t, c) in enumerate((t, c) for t in texts for c in ("cp1252", "mac_roman", "cp437"))}
