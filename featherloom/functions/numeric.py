@@ -27,11 +27,6 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def residual(x: Column) -> Column:
-    """The part after the point: x - floor(x)."""
-    return x - F.floor(x)
-
-
 def _count(cs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cs])
 
@@ -68,3 +63,35 @@ def row_entropy(cs: list[Column]) -> Column:
     total = row_sum(cs)
     part = [F.when((c > 0) & (total > 0), -divide(c, total) * F.log(divide(c, total))).otherwise(0.0) for c in cs]
     return reduce(lambda a, b: a + b, part)
+
+
+def row_product(cs: list[Column]) -> Column:
+    return reduce(lambda a, b: a * b, [F.coalesce(c.cast("double"), F.lit(1.0)) for c in cs])
+
+
+def row_median(cs: list[Column]) -> Column:
+    """The median of what isn't null."""
+    held = F.array_sort(F.array_compact(F.array(*[c.cast("double") for c in cs])))
+    n = F.size(held)
+    low, high = (F.get(held, F.floor((n + k) / 2 - 1).cast("int")) for k in (1, 2))
+    return (low + high) / 2
+
+
+def _row_moments(cs: list[Column], power: int) -> Column:
+    mean = row_mean(cs)
+    return divide(reduce(lambda a, b: a + b, [F.coalesce(F.pow(c - mean, F.lit(float(power))), F.lit(0.0)) for c in cs]), _count(cs))
+
+
+def row_skew(cs: list[Column], sample: bool = True) -> Column:
+    """Skewness of what isn't null, corrected for a sample or of the population; null of fewer than three or of equal values."""
+    n = _count(cs).cast("double")
+    own = divide(_row_moments(cs, 3), F.nullif(F.pow(_row_moments(cs, 2), F.lit(1.5)), F.lit(0.0)))
+    return F.when(n > 2, own * F.sqrt(n * (n - 1)) / (n - 2)) if sample else own
+
+
+def row_kurtosis(cs: list[Column], sample: bool = True) -> Column:
+    """Excess kurtosis of what isn't null, corrected for a sample or of the population; null of fewer than four or of equal values."""
+    n = _count(cs).cast("double")
+    squares = _row_moments(cs, 2)
+    own = divide(_row_moments(cs, 4), F.nullif(squares * squares, F.lit(0.0))) - 3
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * own + 6)) if sample else own

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The words that make a question.
@@ -11,6 +11,7 @@ QUESTION_WORDS = ("what", "when", "where", "who", "whom", "whose", "why", "how",
 MONEY = r"[$£€¥]|\bdollar|\beuro|\bpound|\bgbp|\busd|\beur"
 
 LEXICAL = ("n_chars", "n_tokens", "avg_word_len", "n_digits", "n_punct", "n_uppercase", "has_question_mark", "has_money_symbol", "has_number", "starts_with_qword", "qword_count", "type_token_ratio")
+#: The names of the entity counts.
 ENTITIES = ("ner_count", "ner_money", "ner_date", "ner_gpe", "ner_org")
 
 
@@ -28,7 +29,10 @@ def lexical_columns(text: Column) -> dict[str, Column]:
     """The twelve lexical features; null counts as an empty text, for which the lengths are 1 and the rest 0."""
     s = F.coalesce(text.cast("string"), F.lit(""))
     parts = tokens(s)
-    plain = F.transform(parts, bare)
+    return _features(s, parts, F.transform(parts, bare))
+
+
+def _features(s: Column, parts: Column, plain: Column) -> dict[str, Column]:
     count = F.greatest(F.size(parts), F.lit(1))
     long = lambda c: c.cast("long")
     return {
@@ -47,6 +51,16 @@ def lexical_columns(text: Column) -> dict[str, Column]:
     }
 
 
+def with_lexical(df: DataFrame, text: str, *kept: str) -> DataFrame:
+    """The kept columns and the twelve features of a text: its parts and bare tokens are made once, as columns that the features read."""
+    s, parts, plain = (f"_{x}_of_text" for x in ("s", "parts", "plain"))
+    keep = [F.col(f"`{c}`") for c in kept]
+    staged = df.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(s))
+    staged = staged.select("*", tokens(F.col(s)).alias(parts))
+    staged = staged.select("*", F.transform(parts, bare).alias(plain))
+    return staged.select(*keep, *[c.alias(n) for n, c in _features(F.col(s), F.col(parts), F.col(plain)).items()])
+
+
 def entity_columns(text: Column, rules: bool = False) -> dict[str, Column]:
     """Entity counts. Without a recognizer they are 0; ``rules`` counts amounts of money and dates by pattern, which is not the same as a model's entities."""
     s = F.coalesce(text.cast("string"), F.lit(""))
@@ -59,7 +73,7 @@ def entity_columns(text: Column, rules: bool = False) -> dict[str, Column]:
 
 
 def description(column: str, known: dict[str, str] | None = None) -> str:
-    """A feature in words: the known text, for tf-idf columns their term, otherwise the name."""
-    if known and column in known:
-        return known[column]
-    return f"tf-idf weight for term '{column[6:]}'" if column.startswith("tfidf_") else column
+    """A feature in words: the known text, for term weights their term, otherwise the name."""
+    kind, _, term = column.partition("_")
+    told = {"tfidf": f"how much '{term}' stands out in the text"}
+    return (known or {}).get(column) or told.get(kind if term else "", column)

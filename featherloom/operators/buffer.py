@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from featherloom.operators.order import running
+
 
 @dataclass(frozen=True)
 class BufferConfig:
@@ -61,20 +63,40 @@ def member_shares(members: DataFrame, by: list[str], length: str = "length") ->
     return softmax(scaled, by, "_neg", F.lit(1.0)).drop("_neg")
 
 
+def uniform(*tags: Column | str) -> Column:
+    """A number in [0, 1) by a digest of the tags: the same everywhere and at every time."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[F.lit(t) if isinstance(t, str) else t.cast("string") for t in tags])), 1, 12)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
 def draw(shares: DataFrame, by: list[str], order: list[str], k: int, seed: int = 42, replace: bool = True) -> DataFrame:
     """k draws of each group by share, as (by, draw, order columns): with replacement by inverse distribution, without by the largest
     keys u^(1/p). Clusters of an island are few, as their scores are discrete."""
-    uniform = lambda *tag: F.pmod(F.xxhash64(F.lit(seed), *tag), F.lit(1 << 53)) / F.lit(float(1 << 53))
     if not replace:
-        key = F.log(F.greatest(uniform(*order), F.lit(1e-300))) / F.greatest(F.col("p"), F.lit(1e-300))
+        key = F.log(F.greatest(uniform(str(seed), *map(F.col, by + order)), F.lit(1e-300))) / F.greatest(F.col("p"), F.lit(1e-300))
         return shares.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(key), *order))).filter(F.col("draw") <= k).select(*by, "draw", *order)
     upto = F.sum("p").over(Window.partitionBy(*by).orderBy(*order))
     last = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])) == 1
     spans = shares.withColumn("_to", F.when(last, F.lit(2.0)).otherwise(upto)).withColumn("_from", upto - F.col("p"))
-    drawn = spans.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_u", uniform("draw", *by))
+    drawn = spans.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_u", uniform(str(seed), F.col("draw"), *map(F.col, by)))
     return drawn.filter((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).select(*by, "draw", *order)
 
 
+def draw_parents(candidates: DataFrame, config: BufferConfig = BufferConfig(), seed: int = 42) -> DataFrame:
+    """(island, turn, candidate, score): the parents of a prompt of each island.
+
+    As many clusters as it has, functions_per_prompt at most, are drawn by their shares with replacement, and of each cluster drawn one member by its length. candidates:
+    (island, candidate, signature array<double>, length).
+    """
+    shares = cluster_shares(candidates.select("island", "signature"), config)
+    size = shares.groupBy("island").agg(F.count("*").alias("_clusters"))
+    drawn = draw(shares, ["island"], ["signature"], config.functions_per_prompt, seed).join(size, "island").filter("draw <= _clusters").drop("_clusters")
+    scored = drawn.join(shares.select("island", "signature", "score"), ["island", "signature"]).withColumnRenamed("draw", "turn")
+    members = member_shares(candidates.select("island", "signature", "candidate", "length").join(scored, ["island", "signature"]), ["island", "turn"])
+    picked = draw(members, ["island", "turn"], ["candidate"], 1, seed).select("island", "turn", "candidate")
+    return picked.join(scored.select("island", "turn", "score"), ["island", "turn"])
+
+
 def best_per_island(candidates: DataFrame, program: str = "candidate", score: str = "score") -> DataFrame:
     """(island, best, score); of equal scores the smallest program id, as the first to reach it keeps its place."""
     scored = candidates.filter(F.col("island").isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
@@ -83,7 +105,7 @@ def best_per_island(candidates: DataFrame, program: str = "candidate", score: st
 
 def weakest(best: DataFrame, seed: int = 42) -> DataFrame:
     """best with reset: the lower half of the islands by best score, rounded down; near ties by a noise of 1e-6. There are few islands."""
-    noise = F.pmod(F.xxhash64(F.lit(seed), "island"), F.lit(1000)) * 1e-9
+    noise = uniform(str(seed), F.col("island")) * 1e-6
     place = F.row_number().over(Window.orderBy(F.col("score") + noise, "island"))
     n = best.count()
     return best.withColumn("reset", place <= n // 2)
@@ -98,7 +120,7 @@ def reset(candidates: DataFrame, seed: int = 42) -> DataFrame:
     count = kept.count()
     if not count:
         return candidates
-    seeded = gone.withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "island"), F.lit(count)).cast("int")).join(F.broadcast(founders), "_k").select(F.col("island").alias("_to"), "best")
+    seeded = gone.withColumn("_k", F.floor(uniform(f"{seed}:founder", F.col("island")) * count).cast("int")).join(F.broadcast(founders), "_k").select(F.col("island").alias("_to"), "best")
     survivors = candidates.join(F.broadcast(gone), "island", "left_anti")
     moved = candidates.join(F.broadcast(seeded), F.col("candidate") == F.col("best")).withColumn("island", F.col("_to")).select(*candidates.columns).dropDuplicates(["island", "candidate"])
     return survivors.unionByName(moved)
@@ -107,12 +129,11 @@ def reset(candidates: DataFrame, seed: int = 42) -> DataFrame:
 def progress(events: DataFrame, run: str, order: str, score: str = "score", sample_s: str | None = None, eval_s: str | None = None) -> DataFrame:
     """Per event of a run: the best score so far, the counts of scored and failed candidates, the times so far. A NaN score counts as failed.
 
-    A run is one search and ends; runs are the partitions of the window.
+    See order.running: a run that holds most events is spread over tasks.
     """
-    value = F.when(F.col(score).isNotNull() & ~F.isnan(score), F.col(score))
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = events.withColumn("best_so_far", F.max(value).over(w)).withColumn("n_ok", F.count(value).over(w)).withColumn("n_fail", F.count("*").over(w) - F.count(value).over(w))
+    scored = F.col(score).isNotNull() & ~F.isnan(score)
+    made = {"best_so_far": ("max", F.when(scored, F.col(score))), "n_ok": ("sum", scored.cast("long")), "n_fail": ("sum", (~scored).cast("long"))}
     for name, column in (("t_sample_so_far", sample_s), ("t_eval_so_far", eval_s)):
         if column:
-            out = out.withColumn(name, F.sum(F.coalesce(F.col(column), F.lit(0.0))).over(w))
-    return out
+            made[name] = ("sum", F.coalesce(F.col(column), F.lit(0.0)))
+    return running(events, run, order, made)

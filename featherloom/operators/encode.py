@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featherloom.functions.numeric import cleaned, divide, finite
-from featherloom.operators.order import ordinal_codes
+from featherloom.functions.numeric import cleaned, finite
+from featherloom.operators.order import grouped_quantiles, long_values, ordinal_codes
 
 #: A table of codes of up to this many values is broadcast; a larger one is joined by value.
 BROADCAST_VALUES = 100_000
@@ -80,11 +80,15 @@ class Scaler:
 
 
 def fit_scaler(train: DataFrame, columns: list[str], kind: str = "standard") -> Scaler:
-    """standard: mean and population deviation; minmax: minimum and range; robust: median and the range of the middle half."""
+    """standard: mean and population deviation; minmax: minimum and range; robust: median and the range of the middle half, from counts ordered over range partitions."""
+    if kind == "robust":
+        long = long_values(train, {c: finite(F.col(f"`{c}`")) for c in columns})
+        found = {r["key"]: (r["q2"], r["q3"] - r["q1"]) for r in grouped_quantiles(long, F.col("key"), F.col("value"), {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}  # a row a column
+        return Scaler({c: found.get(c, (None, None)) for c in columns})
     aggregates = []
     for k, c in enumerate(columns):
         x = finite(F.col(f"`{c}`"))
-        pair = {"standard": (F.avg(x), F.stddev_pop(x)), "minmax": (F.min(x), F.max(x) - F.min(x)), "robust": (F.percentile(x, F.lit(0.5)), F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25)))}[kind]
+        pair = {"standard": (F.avg(x), F.stddev_pop(x)), "minmax": (F.min(x), F.max(x) - F.min(x))}[kind]
         aggregates += [pair[0].alias(f"a{k}"), pair[1].alias(f"b{k}")]
     row = train.agg(*aggregates).first()
     return Scaler({c: (row[f"a{k}"], row[f"b{k}"]) for k, c in enumerate(columns)})
@@ -94,5 +98,3 @@ def aligned_columns(train: DataFrame, test: DataFrame) -> list[str]:
     """The columns of both, in the order of train."""
     return [c for c in train.columns if c in set(test.columns)]
 
-
-__all__ = ["CodeModel", "Scaler", "aligned_columns", "categorical_columns", "cleaned", "divide", "encode_categoricals", "fit_codes", "fit_scaler", "label_codes", "safe_numeric"]

@@ -10,33 +10,46 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.functions.numeric import cleaned
 from featherloom.operators import metrics
 from featherloom.operators.encode import fit_scaler
+from featherloom.operators.order import ordinal_codes
+from featherloom.operators.split import kfold, stratified_folds
 from featherloom.session import materialize
 
 
 def classifiers(classes: int = 2, depth: int = 6, seed: int = 42) -> dict:
-    """Each model has its own size, a smaller one from 50 classes. Boosting by one-vs-rest gives no probabilities, so its area and loss are null; the others give all metrics."""
+    """Name -> function of the number of training rows that makes a model. Each has its own size, a smaller one from 50 classes. Boosting is one-vs-rest; see probabilities."""
     many = classes >= 50
     return {
-        "gbt": lambda: OneVsRest(classifier=GBTClassifier(maxIter=120 if many else 200, maxDepth=depth, stepSize=0.1, seed=seed), parallelism=4),
-        "logreg": lambda: LogisticRegression(family="multinomial", maxIter=800 if many else 2000),
-        "rf": lambda: RandomForestClassifier(numTrees=150 if many else 300, minInstancesPerNode=2, maxDepth=depth, seed=seed),
+        "gbt": lambda rows=None: OneVsRest(classifier=GBTClassifier(maxIter=120 if many else 200, maxDepth=depth, stepSize=0.1, seed=seed), parallelism=4),
+        "logreg": lambda rows=None: LogisticRegression(family="multinomial", maxIter=800 if many else 2000),
+        "rf": lambda rows=None: RandomForestClassifier(numTrees=150 if many else 300, minInstancesPerNode=2, maxDepth=depth, seed=seed, maxMemoryInMB=1024),
     }
 
 
 def regressors(trees: int = 300, depth: int = 6, seed: int = 42) -> dict:
+    """The same for numbers. The ridge's penalty of 1 on the sum of squares is 1 / rows on their mean, which is what is minimised here."""
     return {
-        "gbt": lambda: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
-        "ridge": lambda: LinearRegression(elasticNetParam=0.0, regParam=1e-3),
-        "rf": lambda: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed),
+        "gbt": lambda rows=None: GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
+        "ridge": lambda rows=None: LinearRegression(elasticNetParam=0.0, regParam=1.0 / max(rows or 1000, 1), standardization=False),
+        "rf": lambda rows=None: RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024),
     }
 
 
+def probabilities(found: DataFrame) -> Column:
+    """The probabilities of a fitted model's classes; of boosting by one-vs-rest, each class's 1 / (1 + exp(-2 margin)), which is what its loss makes of a margin, divided by their sum."""
+    if "probability" in found.columns:
+        return vector_to_array("probability")
+    if "rawPrediction" not in found.columns:
+        return F.lit(None).cast("array<double>")
+    own = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+    return F.transform(own, lambda p: p / F.aggregate(own, F.lit(0.0), lambda s, x: s + x))
+
+
 #: (train, features) -> (function on a frame, features it gives); fitted on the training rows alone.
 Builder = Callable[[DataFrame, list[str], str], tuple[Callable[[DataFrame], DataFrame], list[str]]]
 
@@ -72,8 +85,9 @@ def cross_validate(df: DataFrame, features: list[str], label: str, row_id: str,
         def ready(part: DataFrame) -> DataFrame:
             return vector.transform(part.select(row_id, F.col(label).alias("label"), *[cleaned(F.col(f"`{c}`")).alias(n) for c, n in renamed.items()]))
 
-        found = models[name]().fit(ready(train)).transform(ready(test))
-        probability = vector_to_array("probability") if "probability" in found.columns else F.lit(None).cast("array<double>")
+        fitted = ready(train)
+        found = models[name](fitted.count() if name == "ridge" else None).fit(fitted).transform(ready(test))
+        probability = probabilities(found)
         tags = (F.lit(method).alias("method"), F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.lit(len(features)).alias("n_in"), F.lit(len(kept)).alias("n_out"))
         return found.select(*tags, "label", F.col("prediction").alias("predicted"), probability.alias("probability"))
 
@@ -94,21 +108,36 @@ def cross_validate(df: DataFrame, features: list[str], label: str, row_id: str,
     return reduce(DataFrame.unionByName, long)
 
 
+def proxy_score(df: DataFrame, features: list[str], label: str, row_id: str, task: str = "classification", folds: int = 2, trees: int = 60, depth: int = 6, seed: int = 42) -> float | None:
+    """What a search goes by: the mean accuracy of a small forest over few folds, or minus its mean rmse; null of an empty table. Rows without a label are left out."""
+    rows = df.filter(F.col(f"`{label}`").isNotNull())
+    if task == "classification":
+        codes = ordinal_codes(rows, label).select(F.col("value").alias("_value"), F.col("code").cast("double").alias("target"))
+        rows = rows.join(codes, F.col(f"`{label}`") == F.col("_value")).drop("_value")
+        dealt = stratified_folds(rows, "target", row_id, folds, seed)
+        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+    else:
+        dealt = rows.withColumn("target", F.col(f"`{label}`").cast("double")).join(kfold(rows.select(row_id), row_id, folds, seed), row_id)
+        model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
+    found = cross_validate(dealt, features, "target", row_id, {"rf": lambda rows=None: model}, task=task, folds=list(range(folds)))
+    return metrics.primary_score(found, "rf", task).first()["score"] if dealt.limit(1).count() else None
+
+
 def permutation_importance(predict: Callable[[DataFrame], DataFrame], df: DataFrame, features: list[str], label: str, row_id: str, seed: int = 42) -> DataFrame:
     """(feature, drop): how far accuracy falls when a feature's values are dealt to other rows.
 
-    Values are dealt by matching places in two digest orders, over range partitions; predict gives df with ``predicted``.
+    The rows are numbered twice, in two digest orders over range partitions, once for all features: the row at a place of the one gets the values of the row at
+    that place of the other. predict gives df with ``predicted``.
     """
     from featherloom.operators.order import running_total
 
     def score(frame: DataFrame) -> float:
         return predict(frame).agg(F.avg((F.col(label) == F.col("predicted")).cast("double"))).first()[0] or 0.0
 
-    whole, found = score(df), []
-    for name in features:
-        digest = lambda salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}{name}"), F.col(row_id).cast("string")))
-        places = running_total(df.select(row_id, digest("a").alias("_a")), ["_a", row_id], name="_at").select(F.col(row_id).alias("_row"), "_at")
-        values = running_total(df.select(row_id, digest("b").alias("_b"), F.col(f"`{name}`").alias("_dealt")), ["_b", row_id], name="_at").select("_at", "_dealt")
-        dealt = df.join(places.join(values, "_at"), F.col(row_id) == F.col("_row")).drop("_row", "_at").withColumn(name, F.col("_dealt")).drop("_dealt")
-        found.append((name, whole - score(dealt)))
+    digest = lambda salt: F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col(row_id).cast("string")))
+    places = running_total(df.select(row_id, digest("a").alias("_a")), ["_a", row_id], name="_at").select(F.col(row_id).alias("_row"), "_at")
+    values = running_total(df.select(row_id, digest("b").alias("_b"), *[F.col(f"`{c}`").alias(f"_dealt{k}") for k, c in enumerate(features)]), ["_b", row_id], name="_at").drop(row_id, "_b")
+    dealt = materialize(df.join(places.join(values, "_at"), F.col(row_id) == F.col("_row")).drop("_row", "_at"))
+    whole = score(df)
+    found = [(name, whole - score(dealt.withColumn(name, F.col(f"_dealt{k}")).select(*[F.col(f"`{c}`") for c in df.columns]))) for k, name in enumerate(features)]
     return df.sparkSession.createDataFrame(found, "feature string, drop double")

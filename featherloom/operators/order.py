@@ -38,8 +38,8 @@ def value_ranks(df: DataFrame, value: Column) -> DataFrame:
     return running_total(counts, ["value"], "n").select("value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def grouped_quantile(df: DataFrame, key: Column, value: Column, q: float = 0.5, name: str = "quantile") -> DataFrame:
-    """(key, quantile): the linearly interpolated quantile of the non-null values of each key.
+def grouped_quantiles(df: DataFrame, key: Column, value: Column, quantiles: dict[str, float]) -> DataFrame:
+    """(key, one column a quantile): linearly interpolated quantiles of the non-null values of each key.
 
     Values are counted per key and ordered by key and value over range partitions, so that a key with a third of all rows is
     spread over many tasks; no buffer holds the values of a key.
@@ -47,9 +47,61 @@ def grouped_quantile(df: DataFrame, key: Column, value: Column, q: float = 0.5,
     counts = df.select(key.alias("key"), value.cast("double").alias("value")).filter("key IS NOT NULL AND value IS NOT NULL").groupBy("key", "value").agg(F.count("*").alias("n"))
     placed = running_total(counts, ["key", "value"], "n")
     of_key = placed.groupBy("key").agg(F.min("before").alias("first"), F.sum("n").alias("size"))
-    at = (F.col("size") - 1) * F.lit(float(q))
-    picked = placed.join(of_key, "key").withColumn("at", at).withColumn("from", F.col("before") - F.col("first"))
-    low, high = F.floor("at"), F.ceil("at")
+    picked = placed.join(of_key, "key").withColumn("from", F.col("before") - F.col("first"))
     inside = lambda k: (F.col("from") <= k) & (k < F.col("from") + F.col("n"))
-    found = picked.filter(inside(low) | inside(high)).groupBy("key").agg(F.min(F.when(inside(low), F.col("value"))).alias("low"), F.max(F.when(inside(high), F.col("value"))).alias("high"), F.first("at").alias("at"))
-    return found.select("key", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(name))
+    ends = []
+    for name, q in quantiles.items():
+        at = (F.col("size") - 1) * F.lit(float(q))
+        ends += [F.min(F.when(inside(F.floor(at)), F.col("value"))).alias(f"{name}_low"), F.max(F.when(inside(F.ceil(at)), F.col("value"))).alias(f"{name}_high")]
+    found = picked.groupBy("key").agg(F.first("size").alias("size"), *ends)
+
+    def between(name: str, q: float) -> Column:
+        at = (F.col("size") - 1) * F.lit(float(q))
+        return (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (at - F.floor(at))).alias(name)
+
+    return found.select("key", *[between(n, q) for n, q in quantiles.items()])
+
+
+def grouped_quantile(df: DataFrame, key: Column, value: Column, q: float = 0.5, name: str = "quantile") -> DataFrame:
+    """(key, quantile): one quantile of each key, see grouped_quantiles."""
+    return grouped_quantiles(df, key, value, {name: q})
+
+
+def long_values(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(key, value): the columns under each other, by name."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), c.cast("double").alias("value")) for n, c in columns.items()])).alias("x")).select("x.key", "x.value")
+
+
+def cut_points(df: DataFrame, columns: dict[str, Column], parts: int) -> dict[str, list[float]]:
+    """Of each column the distinct values at the places k n / parts of its sorted non-null values, k = 1 .. parts - 1: at most parts - 1 numbers a column reach the driver."""
+    counts = long_values(df, columns).filter("value IS NOT NULL").groupBy("key", "value").agg(F.count("*").alias("n"))
+    placed = running_total(counts, ["key", "value"], "n")
+    of_key = placed.groupBy("key").agg(F.min("before").alias("first"), F.sum("n").alias("size"))
+    start = F.col("before") - F.col("first")
+    # the number of places at or before the end of a value's rows that aren't before their start
+    upto = lambda c: F.floor((c * parts - 1) / F.col("size"))
+    picked = placed.join(F.broadcast(of_key), "key").withColumn("_from", F.greatest(upto(start), F.lit(0))).withColumn("_to", F.least(upto(start + F.col("n")), F.lit(parts - 1)))
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    for key, value in picked.filter("_to > _from").select("key", "value").orderBy("key", "value").collect():
+        out[key].append(value)
+    return out
+
+
+def running(df: DataFrame, group: str, order: str, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with a column for each of aggregates, name -> ("sum" or "max", value): the aggregate of the group's rows up to this one, by order.
+
+    Rows are range-partitioned by group and order; each part of a group is aggregated by itself and gets what came before it, so that a group with a third of all rows
+    isn't one task's. Rows of equal order are taken in any order.
+    """
+    how = {"sum": F.sum, "max": F.max}
+    values = {f"_v{k}": c for k, (_, c) in enumerate(aggregates.values())}
+    parts = materialize(df.withColumns(values).repartitionByRange(F.col(f"`{group}`"), F.col(f"`{order}`")).withColumn("_part", F.spark_partition_id()))
+    kinds = [(f"_v{k}", name, how[kind], kind) for k, (name, (kind, _)) in enumerate(aggregates.items())]
+    of_part = parts.groupBy("_part", F.col(f"`{group}`").alias("_group")).agg(*[f(v).alias(v) for v, _, f, _ in kinds])
+    earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    before = of_part.select("_part", "_group", *[f(v).over(earlier).alias(f"_b{v}") for v, _, f, _ in kinds])
+    inside = Window.partitionBy("_part", F.col(f"`{group}`")).orderBy(F.col(f"`{order}`")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = parts.withColumns({f"_i{v}": f(v).over(inside) for v, _, f, _ in kinds}).join(before.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col(f"`{group}`").eqNullSafe(F.col("_group")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = {name: F.greatest(f"_i{v}", f"_b{v}") if kind == "max" else zero(f"_i{v}") + zero(f"_b{v}") for v, name, _, kind in kinds}
+    return joined.withColumns(out).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(n) for n in out])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from featherloom.operators.encode import categorical_columns
-from featherloom.operators.split import sample_rows
+from featherloom.functions.numeric import finite
+from featherloom.functions.text import description
+from featherloom.operators.split import sample_rows, top_per_group
 
 
 def token_cost(usage: DataFrame, prices: DataFrame, key: str = "model_id") -> DataFrame:
@@ -49,6 +52,7 @@ def frontier(df: DataFrame, cost: str, gain: str) -> DataFrame:
 
 def rationale_kind(feature: Column) -> Column:
     """What a feature's name says of it; the first rule that fits holds."""
+    # fixed values: the parts of names, and their order
     s = F.lower(feature)
     has = lambda *parts: s.rlike("|".join(parts))
     return (
@@ -73,39 +77,48 @@ def backend(model_id: Column, hosted_prefixes: list[str], hosted: str = "hosted"
 
 
 def feature_block(df: DataFrame, row_id: str, descriptions: dict[str, str] | None = None, values: int = 8) -> DataFrame:
-    """(place, feature, line): a line on each column: the first distinct values, in the order of row_id, of a categorical one, the range of a number.
+    """(place, feature, line): a line on each column: the first distinct values, in the order of row_id, of a categorical one, the least and greatest of a number.
 
-    Per column, one aggregation finds the first row of each value and keeps the first few.
+    One aggregation over all categorical columns finds the first row of each value, of which the first few a column are kept; another gives the ends of all numbers.
     """
     columns = [c for c in df.columns if c != row_id]
     kinds = categorical_columns(df.select(*[F.col(f"`{c}`") for c in columns]))
-    numbers = [c for c in columns if not kinds[c]]
-    ends = df.agg(*[x for k, c in enumerate(numbers) for x in (F.min(f"`{c}`").alias(f"a{k}"), F.max(f"`{c}`").alias(f"b{k}"))]).first() if numbers else None
-    lines = []
-    for place, c in enumerate(columns):
-        text = (descriptions or {}).get(c, c.replace("_", " "))
-        if kinds[c]:
-            first = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.min(row_id).alias("r")).orderBy("r", "v").limit(values).collect()  # a few values
-            lines.append((place, c, f"- {c}: {text} (categorical, values in [{', '.join(r.v for r in first)}])"))
-        else:
-            k = numbers.index(c)
-            lines.append((place, c, f"- {c}: {text} (numerical, range [{ends[f'a{k}']}, {ends[f'b{k}']}])"))
-    return df.sparkSession.createDataFrame(lines, "place int, feature string, line string")
+    named = lambda c: f"{c} ({description(c, descriptions)})"
+    parts = []
+    if texts := [(k, c) for k, c in enumerate(columns) if kinds[c]]:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("feature"), F.lit(named(c)).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for k, c in texts]))
+        seen = df.select(F.col(f"`{row_id}`").alias("_row"), each.alias("x")).select("_row", "x.*").filter("value IS NOT NULL").groupBy("place", "feature", "name", "value").agg(F.min("_row").alias("first"))
+        some = top_per_group(seen, "place", ["first", "value"], values).groupBy("place", "feature", "name").agg(F.array_sort(F.collect_list(F.struct("first", "value"))).alias("found"))  # a few values
+        known = df.sparkSession.createDataFrame([(k, c, named(c)) for k, c in texts], "place int, feature string, name string")
+        listed = F.concat_ws(" / ", F.transform(F.coalesce("found", F.array()), lambda x: x["value"]))
+        parts.append(known.join(some.select("place", "found"), "place", "left").select("place", "feature", F.concat("name", F.lit(": one of "), listed).alias("line")))
+    if numbers := [(k, c) for k, c in enumerate(columns) if not kinds[c]]:
+        ends = df.agg(*[x for k, c in numbers for x in (F.min(f"`{c}`").alias(f"a{k}"), F.max(f"`{c}`").alias(f"b{k}"))])
+        shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+        rows = [F.struct(F.lit(k).alias("place"), F.lit(c).alias("feature"), F.concat(F.lit(f"{named(c)}: from "), shown(f"a{k}"), F.lit(" to "), shown(f"b{k}")).alias("line")) for k, c in numbers]
+        parts.append(ends.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def telling_columns(df: DataFrame, without: list[str], most: int = 20) -> list[str]:
+    """The columns shown of a wide table: all if ``most`` suffice, else those that aren't term weights, numbers of the greatest sample variance first and then the rest as they stand."""
+    left = [c for c in df.columns if c not in without]
+    if len(left) > most:
+        left = [c for c in left if not c.startswith("tfidf_")]
+    if len(left) <= most:
+        return left
+    kinds = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema}
+    spread = df.agg(*[(F.var_samp(finite(F.col(f"`{c}`"))) if kinds[c] else F.lit(None).cast("double")).alias(f"v{k}") for k, c in enumerate(left)]).first()
+    order = sorted(range(len(left)), key=lambda k: (not kinds[left[k]], -(spread[f"v{k}"] or 0.0), k))
+    return [left[k] for k in order[:most]]
 
 
 def example_rows(df: DataFrame, row_id: str, label: str, n: int = 4, most: int = 20, seed: int = 42) -> DataFrame:
-    """(row_id, text): n rows in words. Of more than ``most`` columns, tf-idf ones are left out, then the numbers of the greatest variance kept, then others."""
-    columns = [c for c in df.columns if c not in (row_id, label)]
-    if len(columns) > most:
-        columns = [c for c in columns if not c.startswith("tfidf_")]
-        if len(columns) > most:
-            numeric = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, T.NumericType)]
-            row = df.agg(*[F.var_samp(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias(str(k)) for k, c in enumerate(numeric)]).first()
-            top = sorted(numeric, key=lambda c: (-(row[str(numeric.index(c))] or 0.0), columns.index(c)))[:most]
-            columns = top + [c for c in columns if c not in top][: most - len(top)]
-    shown = lambda c: F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("nan"))
-    parts = [F.concat(F.lit(f"{'If ' if k == 0 else ''}{c} is "), shown(c)) for k, c in enumerate(columns)] + [F.concat(F.lit("Then Result is "), shown(label), F.lit("."))]
-    return sample_rows(df, row_id, n, seed).select(F.col(row_id), F.concat_ws(", ", *parts).alias("text"))
+    """(row_id, text): n rows in words, each as its values by name and the label they lead to. Missing values are left out."""
+    columns = telling_columns(df, [row_id, label], most)
+    value = lambda c: F.trim(F.col(f"`{c}`").cast("string"))
+    said = F.concat_ws("; ", *[F.concat(F.lit(f"{c} = "), value(c)) for c in columns])
+    return sample_rows(df, row_id, n, seed).select(F.col(f"`{row_id}`"), F.concat(said, F.lit(" -> "), F.coalesce(value(label), F.lit("unknown"))).alias("text"))
 
 
 def quartiles(folds: DataFrame, by: str, value: str) -> DataFrame:
@@ -136,3 +149,18 @@ def to_latex(df: DataFrame, most: int = 10_000, digits: int = 4) -> str:
 
 def run_index(entries: dict) -> str:
     return json.dumps(entries, indent=2, sort_keys=True)
+
+
+def merged_scores(*scores: DataFrame) -> DataFrame:
+    """(method, fold, value) of several tables under each other; a method's scores are those of the last table that has it, as a whole."""
+    placed = reduce(DataFrame.unionByName, [df.select("method", "fold", "value", F.lit(k).alias("_table")) for k, df in enumerate(scores)])
+    last = placed.groupBy("method").agg(F.max("_table").alias("_last"))
+    return placed.join(F.broadcast(last), "method").filter("_table = _last").select("method", "fold", "value")  # methods are few
+
+
+def call_stats(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Requests, failures, tokens and seconds of calls of a model, from rows (prompt_tokens, completion_tokens, latency_s, ok); missing numbers count as 0, and only calls that are ok as requests."""
+    zero = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    both = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
+    done = F.coalesce("ok", F.lit(False))
+    return calls.groupBy(*by).agg(zero("prompt_tokens").alias("prompt_tokens"), zero("completion_tokens").alias("completion_tokens"), F.sum(both).alias("total_tokens"), F.count_if(done).alias("requests"), F.count_if(~done).alias("failures"), zero("latency_s").alias("latency_s"))

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from featherloom.functions.numeric import cleaned
+from featherloom.operators.order import cut_points
 
 #: Aggregates of one pass; more would make generated code too long.
 WIDTH = 200
@@ -27,7 +29,9 @@ def moments(df: DataFrame, features: list[str], label: str) -> DataFrame:
     parts = []
     for at in range(0, len(features), WIDTH // 2):
         some = features[at : at + WIDTH // 2]
-        grouped = rows.groupBy(_q(label).alias("label")).agg(F.count("*").alias("n"), *[F.struct(F.avg(cleaned(_q(c))).alias("mean"), F.var_pop(cleaned(_q(c))).alias("var")).alias(f"f{k}") for k, c in enumerate(some)])
+        # cleaned once, before both moments
+        narrow = rows.select(_q(label).alias("label"), *[cleaned(_q(c)).alias(f"x{k}") for k, c in enumerate(some)])
+        grouped = narrow.groupBy("label").agg(F.count("*").alias("n"), *[F.struct(F.avg(f"x{k}").alias("mean"), F.var_pop(f"x{k}").alias("var")).alias(f"f{k}") for k in range(len(some))])
         long = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"f{k}.mean").alias("mean"), F.col(f"f{k}.var").alias("var")) for k, c in enumerate(some)]))
         parts.append(grouped.select("label", "n", long.alias("f")).select("f.feature", "label", "n", "f.mean", "f.var"))
     return reduce(DataFrame.unionByName, parts)
@@ -68,18 +72,18 @@ def variances(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 16) -> DataFrame:
-    """(feature, score): plug-in mutual information of the label and the feature cut into bins of equal width, in nats.
+    """(feature, score): plug-in mutual information of the label and the feature cut into bins of equal numbers of rows, in nats.
 
-    An estimate of its own kind: the usual nearest-neighbour estimate isn't a grouped aggregation. Rows become bin numbers
-    before they are counted, so that the shuffle holds at most bins x labels counts a feature and task.
+    An estimate of its own kind: the usual nearest-neighbour estimate isn't a grouped aggregation. Bins begin at the values at the places k n / bins, so equal values share
+    one and an outlier doesn't fill the others. Rows become bin numbers before they are counted, so that the shuffle holds at most bins x labels counts a feature and task.
     """
     rows = df.filter(_q(label).isNotNull())
-    ends = rows.agg(*[x for k, c in enumerate(features) for x in (F.min(cleaned(_q(c))).alias(f"a{k}"), F.max(cleaned(_q(c))).alias(f"b{k}"))])
-    wide = rows.select(_q(label).alias("label"), *[cleaned(_q(c)).alias(f"x{k}") for k, c in enumerate(features)]).crossJoin(F.broadcast(ends))  # one row
+    cuts = cut_points(rows, {c: cleaned(_q(c)) for c in features}, bins)
+    wide = rows.select(_q(label).alias("label"), *[cleaned(_q(c)).alias(f"x{k}") for k, c in enumerate(features)])
 
     def binned(k: int):
-        low, high, x = F.col(f"a{k}"), F.col(f"b{k}"), F.col(f"x{k}")
-        return F.when(high > low, F.least(F.floor((x - low) * F.lit(bins) / (high - low)).cast("int"), F.lit(bins - 1))).otherwise(0)
+        points = cuts[features[k]]
+        return reduce(lambda a, b: a + b, [(F.col(f"x{k}") >= p).cast("int") for p in points], F.lit(0))
 
     long = wide.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), binned(k).alias("bin")) for k, c in enumerate(features)])).alias("f")).select("f.feature", "f.bin", "label")
     joint = long.groupBy("feature", "bin", "label").agg(F.count("*").alias("n"))
@@ -95,6 +99,12 @@ def ordered(scores: DataFrame, features: list[str]) -> DataFrame:
     return scores.withColumn("place", F.array_position(F.lit(list(features)), F.col("feature")).cast("int") - 1)
 
 
+def ranking(scores: DataFrame, features: list[str], k: int) -> DataFrame:
+    """(feature, score, rank) of the k best, ranked as by top_k, without a job on the driver. There is one row a feature."""
+    best = Window.orderBy(F.desc_nulls_last(F.nanvl("score", F.lit(None).cast("double"))), "place")
+    return ordered(scores, features).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("feature", "score", "rank")
+
+
 def top_k(scores: DataFrame, features: list[str], k: int, by_score: bool = True) -> list[str]:
     """The k features of the highest scores, null and NaN last, ties in the order of the columns; in the order of the scores or of the columns."""
     best = ordered(scores, features).orderBy(F.desc_nulls_last(F.nanvl("score", F.lit(None).cast("double"))), "place").limit(k).collect()  # k rows
@@ -194,6 +204,16 @@ def importance(df: DataFrame, features: list[str], label: str, k: int = 30, **op
     return top_k(importance_scores(df, features, label, **options), features, k)
 
 
+def anova_regression(df: DataFrame, features: list[str], target: str, k: int = 30) -> list[str]:
+    return anova_f(df, features, target, k, "regression")
+
+
+def binned_target(df: DataFrame, target: str, bins: int = 10) -> DataFrame:
+    """df with ``_target_bin``, the place of a numeric target among bins of equal numbers of rows: the class label of selectors that need one."""
+    points = cut_points(df, {target: cleaned(_q(target))}, bins)[target]
+    return df.withColumn("_target_bin", reduce(lambda a, b: a + b, [(cleaned(_q(target)) >= p).cast("int") for p in points], F.lit(0)))
+
+
 #: Name -> function of (df, features, label, k) that gives the features kept.
 SELECTORS = {
     "fisher": fisher,
@@ -205,3 +225,15 @@ SELECTORS = {
     "polynomial": lambda df, features, label, k=30: polynomial(df, features, label, k)[0],
     "combined": combined,
 }
+
+#: The same for numeric targets.
+REGRESSION_SELECTORS = {
+    "fisher": lambda df, features, target, k=30: fisher(binned_target(df, target), features, "_target_bin", k),
+    "anova_f": anova_regression,
+    "mutual_info": lambda df, features, target, k=30: mutual_info(binned_target(df, target), features, "_target_bin", k),
+    "lasso_l1": lambda df, features, target, k=30, **o: lasso_l1(df, features, target, k, task="regression", **o),
+    "variance_thresh": SELECTORS["variance_thresh"],
+    "importance": lambda df, features, target, k=30, **o: importance(df, features, target, k, task="regression", **o),
+    "polynomial": lambda df, features, target, k=30: anova_regression(with_products(df, polynomial_columns(features)), list(polynomial_columns(features)), target, k),
+    "combined": lambda df, features, target, k=30: mutual_info(binned_target(df, target), variance_threshold(df, features), "_target_bin", k),
+}

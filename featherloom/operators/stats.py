@@ -67,6 +67,18 @@ def wilcoxon_p(d: list[float]) -> tuple[float, float]:
     return w, min(1.0, math.erfc(abs(z) / math.sqrt(2)))
 
 
+#: Modulus and constants of the resampling generator: all products fit in 64 bits.
+PRIME, STEPS = 2_147_483_647, (1_013_904_223, 16_807, 69_621)
+
+
+def resampled(r, i, n: int, seed: int, div):
+    """The place, of n, that resample r takes at i: r, i and seed are mixed to a residue that is squared and shifted three times. r and i are integers, arrays or columns; div divides them."""
+    x = (r * 48_271 + i * 69_621 + seed * 16_807 + 12_345) % PRIME
+    for step in STEPS:
+        x = (x * x + step) % PRIME
+    return div(x * n, PRIME)
+
+
 def bootstrap_bounds(d: list[float], resamples: int = 5000, seed: int = 42) -> tuple[float, float]:
     """The 2.5 and 97.5 percentiles of the mean of resamples: all n^n of them up to EXACT pairs, else so many at random."""
     import itertools
@@ -78,7 +90,8 @@ def bootstrap_bounds(d: list[float], resamples: int = 5000, seed: int = 42) -> t
     if len(d) <= EXACT:
         means = np.array([sum(x) for x in itertools.product(d, repeat=len(d))]) / len(d)
     else:
-        means = np.random.default_rng(seed).choice(np.array(d), (resamples, len(d))).mean(axis=1)
+        r, i = np.arange(resamples, dtype=np.int64)[:, None], np.arange(len(d), dtype=np.int64)[None, :]
+        means = np.array(d)[resampled(r, i, len(d), seed, lambda x, m: x // m)].mean(axis=1)
     low, high = np.percentile(means, [2.5, 97.5])
     return float(low), float(high)
 
@@ -122,11 +135,14 @@ def _compare(pairs: DataFrame, tests: int, alpha: float) -> DataFrame:
     return pairs.mapInPandas(run, _PAIR)
 
 
-def all_pairs(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Every two methods of (method, fold, value), the earlier in alphabetical order first."""
-    a, b = scores.select(F.col("method").alias("method_a"), "fold", F.col("value").alias("a")), scores.select(F.col("method").alias("method_b"), "fold", F.col("value").alias("b"))
-    joined = a.join(b, "fold").filter("method_a < method_b").groupBy("method_a", "method_b").agg(F.collect_list(F.struct("fold", "a", "b")).alias("scores"))  # one element a fold
-    n = scores.select("method").distinct().count()
+def all_pairs(scores: DataFrame, alpha: float = 0.05, order: str | None = None) -> DataFrame:
+    """Every two methods of (method, fold, value), the earlier one first: by the least value of the column ``order``, ties and without it by name. delta is the first's less the second's."""
+    of = scores.groupBy("method").agg(*([F.min(f"`{order}`").alias("_place")] if order else []), F.count("*").alias("_rows")).select("method", F.struct(*([F.col("_place")] if order else []), F.col("method").alias("_name")).alias("_place"))
+    placed = scores.select("method", "fold", "value").join(F.broadcast(of), "method")  # methods are few
+    a = placed.select(F.col("method").alias("method_a"), "fold", F.col("value").alias("a"), F.col("_place").alias("_a"))
+    b = placed.select(F.col("method").alias("method_b"), "fold", F.col("value").alias("b"), F.col("_place").alias("_b"))
+    joined = a.join(b, "fold").filter(F.col("_a") < F.col("_b")).groupBy("method_a", "method_b").agg(F.collect_list(F.struct("fold", "a", "b")).alias("scores"))  # one element a fold
+    n = of.count()
     return _compare(joined, n * (n - 1) // 2, alpha)
 
 
@@ -146,10 +162,18 @@ def summarize(scores: DataFrame, higher_is_better: bool = True) -> DataFrame:
     return table.orderBy(F.desc("mean") if higher_is_better else F.asc("mean"), "method")
 
 
-def exact_bootstrap(differences: DataFrame) -> DataFrame:
-    """(key, ci_low, ci_high) of (key, ord, d), up to EXACT differences a key, ord 0 .. n - 1: all n^n resamples by the digits of a range, in SQL."""
-    sized = differences.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "d"))), lambda x: x["d"]).alias("ds")).filter(F.col("n") <= EXACT)
-    each = sized.select("key", "n", "ds", F.explode(F.sequence(F.lit(0), F.pow("n", "n").cast("int") - 1)).alias("r"))
-    digits = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("ds", (F.floor(F.col("r") / F.pow(F.col("n"), i)) % F.col("n")).cast("int") + 1))
-    means = each.select("key", (F.aggregate(digits, F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("m"))
+def exact_bootstrap(differences: DataFrame, resamples: int = 5000, seed: int = 42) -> DataFrame:
+    """(key, ci_low, ci_high) of (key, ord, d): the 2.5 and 97.5 percentiles of the mean over resamples of a key's differences, in SQL.
+
+    Up to EXACT differences all n^n resamples are enumerated, by the digits of a range; of more, ``resamples`` are drawn by resampled, the same as in bootstrap_bounds. ord gives
+    the order of a key's differences. A key has as many differences as there are folds, few. Every key with a difference has a row; null differences are left out.
+    """
+    sized = differences.filter("d IS NOT NULL").groupBy("key").agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "d"))), lambda x: x["d"]).alias("ds"))
+    all_of_them = F.col("n") <= EXACT
+    count = F.when(all_of_them, F.pow("n", F.least("n", F.lit(EXACT))).cast("long")).otherwise(F.lit(resamples).cast("long"))
+    each = sized.select("key", "n", "ds", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("r"))
+    digit = lambda i: F.floor(F.col("r") / F.pow(F.col("n"), i)) % F.col("n")
+    drawn = lambda i: resampled(F.col("r"), i.cast("long"), F.col("n").cast("long"), seed, lambda x, m: F.floor(x / F.lit(m)))
+    picked = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("ds", F.when(all_of_them, digit(i)).otherwise(drawn(i)).cast("int") + 1))
+    means = each.select("key", (F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / F.col("n")).alias("m"))
     return means.groupBy("key").agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Up to so many terms a row is weighed where it is read; more are joined.
+LOCAL_TERMS = 200
+
 
 def grams(text: Column, stop_words: list[str]) -> Column:
     """Lower-cased tokens of two or more word characters that aren't stop words, and the pairs of neighbours among those left."""
@@ -17,36 +21,60 @@ def grams(text: Column, stop_words: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class TfidfModel:
-    """``vocabulary``: (term, occurrences, records) of the kept terms; ``n``: the rows it was fitted on."""
+    """``terms``: (term, occurrences, records) of the kept terms, at most max_features; ``n``: the rows it was fitted on."""
 
-    vocabulary: DataFrame
+    terms: list[tuple[str, int, int]]
     n: int
     stop_words: tuple[str, ...]
 
+    def vocabulary(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.terms, "term string, occurrences long, records long")
+
+    def idf(self) -> dict[str, float]:
+        return {t: math.log((1 + self.n) / (1 + r)) + 1 for t, _, r in self.terms}
+
     def weights(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
         """(id, term, weight): tf x (ln((1 + n) / (1 + records)) + 1), of length 1 per row. Rows without a kept term have none.
 
-        The vocabulary has at most max_features rows and is broadcast; only kept terms are shuffled, by row.
+        A row is weighed by itself, without a shuffle; of a vocabulary beyond LOCAL_TERMS the kept terms are counted by row and term, and a row's terms, one struct each,
+        gathered once. Rows with the same id are rows of their own in the first case and one in the second.
         """
-        terms = df.select(F.col(f"`{id_col}`").alias("id"), F.explode(grams(F.col(f"`{text}`"), list(self.stop_words))).alias("term"))
-        idf = self.vocabulary.select("term", (F.log((1 + F.lit(self.n)) / (1 + F.col("records"))) + 1).alias("idf"))
-        counted = terms.join(F.broadcast(idf), "term").groupBy("id", "term").agg((F.count("*") * F.max("idf")).alias("raw"))
-        norm = counted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        return counted.join(norm, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+        idf = self.idf()
+        if not idf:
+            return df.select(F.col(f"`{id_col}`").alias("id"), F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
+        if len(idf) <= LOCAL_TERMS:
+            found = df.select(F.col(f"`{id_col}`").alias("id"), F.filter(grams(F.col(f"`{text}`"), list(self.stop_words)), lambda x: x.isin(*idf)).alias("kept")).filter(F.size("kept") > 0)
+            table = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+            counted = F.transform(F.array_distinct("kept"), lambda t: F.struct(t.alias("term"), (F.size(F.filter("kept", lambda x: x == t)) * F.element_at(table, t)).alias("raw")))
+            rows = found.select("id", counted.alias("terms"))
+        else:
+            listed = F.broadcast(df.sparkSession.createDataFrame(list(idf.items()), "term string, idf double"))
+            terms = df.select(F.col(f"`{id_col}`").alias("id"), F.explode(grams(F.col(f"`{text}`"), list(self.stop_words))).alias("term"))
+            counted = terms.join(listed, "term").groupBy("id", "term").agg((F.count("*") * F.max("idf")).alias("raw"))
+            rows = counted.groupBy("id").agg(F.collect_list(F.struct("term", "raw")).alias("terms"))  # at most one struct a kept term
+        norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, x: s + x["raw"] * x["raw"]))
+        return rows.select("id", norm.alias("norm"), F.explode("terms").alias("t")).select("id", F.col("t.term").alias("term"), (F.col("t.raw") / F.col("norm")).alias("weight"))
 
     def wide(self, df: DataFrame, id_col: str, text: str) -> DataFrame:
-        """df with a column tfidf_<term> for each kept term, in alphabetical order, 0 where a row lacks it."""
-        names = sorted(r.term for r in self.vocabulary.select("term").collect())  # at most max_features
+        """(id, tfidf_<term> ...): a column for each kept term in alphabetical order, 0 where the row lacks it; every row of df is kept."""
+        names = sorted(t for t, _, _ in self.terms)
         weights = self.weights(df, id_col, text)
-        columns = weights.groupBy("id").agg(*[F.sum(F.when(F.col("term") == t, F.col("weight"))).alias(f"tfidf_{t}") for t in names]) if names else weights.select("id").distinct()
-        joined = df.join(columns.withColumnRenamed("id", "_id"), F.col(f"`{id_col}`") == F.col("_id"), "left").drop("_id")
-        return joined.fillna(0.0, [f"tfidf_{t}" for t in names]) if names else joined
+        pivoted = weights.groupBy("id").agg(*[F.sum(F.when(F.col("term") == t, F.col("weight"))).alias(f"tfidf_{t}") for t in names]) if names else weights.select("id").distinct()
+        every = df.select(F.col(f"`{id_col}`").alias("id")).distinct()
+        return every.join(pivoted, "id", "left").select("id", *[F.coalesce(F.col(f"`tfidf_{t}`"), F.lit(0.0)).alias(f"tfidf_{t}") for t in names])
 
 
 def fit_tfidf(df: DataFrame, id_col: str, text: str, max_features: int = 50, stop_words: list[str] | None = None) -> TfidfModel:
-    """The max_features terms of most occurrences in df, ties in alphabetical order. Fit on the training rows alone to keep held-out rows out."""
+    """The max_features terms of most occurrences in df, ties in alphabetical order. Fit on the training rows alone to keep held-out rows out.
+
+    One pass: the terms of a row are sorted, so that each knows whether it is the row's first of its kind, and counted with partial sums a task.
+    """
     stop = list(stop_words or [])
-    found = df.select(F.col(f"`{id_col}`").alias("id"), grams(F.col(f"`{text}`"), stop).alias("terms"))
-    occurrences = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("occurrences")).orderBy(F.desc("occurrences"), "term").limit(max_features)
-    records = found.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(occurrences), "term").groupBy("term").agg(F.max("occurrences").alias("occurrences"), F.count("*").alias("records"))
-    return TfidfModel(records, df.count(), tuple(stop))
+    ordered = df.select(F.array_sort(grams(F.col(f"`{text}`"), stop)).alias("terms"))
+    marked = F.transform("terms", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("terms", i - 1))).cast("int").alias("first")))
+    # a row of no term counts the rows
+    each = ordered.select(F.explode(F.concat(marked, F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first"))))).alias("t")).select("t.*")
+    counts = each.groupBy("term").agg(F.count("*").alias("occurrences"), F.sum("first").alias("records"))
+    best = counts.orderBy(F.col("term").isNotNull(), F.desc("occurrences"), "term").limit(max_features + 1).collect()
+    n = next((r.occurrences for r in best if r.term is None), 0)
+    return TfidfModel([tuple(r) for r in best if r.term is not None], n, tuple(stop))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featherloom.functions.numeric import cleaned
-from featherloom.functions.text import QUESTION_WORDS, lexical_columns
+from featherloom.functions.text import QUESTION_WORDS, entity_columns, with_lexical
 from featherloom.operators import buffer, encode, evaluate, metrics, report, select, split, stats, tfidf
 from featherloom.operators.order import value_ranks
 from featherloom.operators.program import FeatureProgram
-from featherloom.session import table
+from featherloom.session import scratch, table
+from featherloom.sources import io
 
 LEX = ["n_chars", "n_tokens", "avg_word_len", "n_digits", "n_punct", "n_uppercase", "has_question_mark", "has_money_symbol", "has_number", "starts_with_qword", "qword_count", "type_token_ratio"]
 STOP = ["the", "and", "to", "my", "it", "is", "in", "of", "on", "for", "from", "with", "was", "an", "at", "by", "not"]
@@ -70,12 +71,12 @@ SELECT {row}, {extra} greatest(length(s), 1)::BIGINT AS n_chars, n::BIGINT AS n_
 
 @query(lexical_sql("features", "row_id", "query"))
 def lexical_features(spark, d):
-    return r6(features(spark, d).select("row_id", *[c.alias(n) for n, c in lexical_columns(F.col("query")).items()]), "avg_word_len", "type_token_ratio")
+    return r6(with_lexical(features(spark, d), "query", "row_id"), "avg_word_len", "type_token_ratio")
 
 
 @query(lexical_sql("documents", "doc_id", "text"))
 def lexical_documents(spark, d):
-    return r6(table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in lexical_columns(F.col("text")).items()]), "avg_word_len", "type_token_ratio")
+    return r6(with_lexical(table(spark, d, "documents"), "text", "doc_id"), "avg_word_len", "type_token_ratio")
 
 
 def fisher_sql(long: str, k: int) -> str:
@@ -86,15 +87,12 @@ SELECT feature, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC
 
 
 def ranked(spark, scores: DataFrame, columns: list[str], k: int) -> DataFrame:
-    kept = select.top_k(scores, columns, k)
-    best = scores.filter(F.col("feature").isin(kept)).withColumn("rank", F.array_position(F.lit(kept), F.col("feature")).cast("int"))
-    return r6(best.select("feature", "score", "rank"), "score")
+    return r6(select.ranking(scores, columns, k), "score")
 
 
 @query(f"WITH lexical AS ({lexical_sql('features', 'row_id', 'query', 'intent_id,')}), " + fisher_sql(long_sql(LEX), 5).replace("FROM features", "FROM lexical").removeprefix("WITH "))
 def lexical_fisher_topk(spark, d):
-    rows = features(spark, d).select("intent_id", *[c.alias(n) for n, c in lexical_columns(F.col("query")).items()])
-    rows = r6(rows, "avg_word_len", "type_token_ratio")
+    rows = r6(with_lexical(features(spark, d), "query", "intent_id"), "avg_word_len", "type_token_ratio")
     return ranked(spark, select.fisher_scores(select.moments(rows, LEX, "intent_id")), LEX, 5)
 
 
@@ -107,7 +105,7 @@ _TFIDF = rf"""
 
 @query(f"WITH {_TFIDF} SELECT term, occurrences, records FROM v")
 def tfidf_vocabulary(spark, d):
-    return tfidf.fit_tfidf(features(spark, d), "row_id", "query", 50, STOP).vocabulary
+    return tfidf.fit_tfidf(features(spark, d), "row_id", "query", 50, STOP).vocabulary(spark)
 
 
 @query(f"""WITH {_TFIDF}, n AS (SELECT count(*) AS n FROM features),
@@ -201,8 +199,10 @@ def variance_keep(spark, d):
     return spark.createDataFrame([(c,) for c in select.variance_threshold(features(spark, d), LEX, threshold=0.05)], "feature string")
 
 
-_MI = f"""x AS ({long_sql(LEX)}), e AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM x GROUP BY feature),
-  b AS (SELECT feature, label, CASE WHEN hi > lo THEN least(floor((x - lo) * 16 / (hi - lo))::INTEGER, 15) ELSE 0 END AS bin FROM x JOIN e USING (feature)),
+_MI = f"""x AS ({long_sql(LEX)}), o AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) - 1 AS spot, count(*) OVER (PARTITION BY feature) AS size FROM x),
+  cut AS (SELECT DISTINCT feature, x AS c FROM o, range(1, 16) k(k) WHERE spot = k * size // 16),
+  cuts AS (SELECT feature, list(c) AS cs FROM cut GROUP BY feature),
+  b AS (SELECT feature, label, len(list_filter(cs, lambda c: x >= c)) AS bin FROM x JOIN cuts USING (feature)),
   j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY ALL),
   jb AS (SELECT feature, bin, sum(n) AS nb FROM j GROUP BY ALL), jl AS (SELECT feature, label, sum(n) AS nl FROM j GROUP BY ALL), ja AS (SELECT feature, sum(n) AS na FROM j GROUP BY ALL),
   mi AS (SELECT feature, sum(n / na * ln(n * na / (nb * nl))) AS score FROM j JOIN jb USING (feature, bin) JOIN jl USING (feature, label) JOIN ja USING (feature) GROUP BY feature)"""
@@ -275,6 +275,25 @@ _program("rank", "df['n_chars'].rank(method='average')", "FROM f LEFT JOIN (SELE
 _program("standard_scaled", "(df['n_tokens'] - df['n_tokens'].mean()) / df['n_tokens'].std()", "(n_tokens - (SELECT avg(n_tokens) FROM f)) / (SELECT stddev_samp(n_tokens) FROM f)")
 _program("entropy_like", "-(df['type_token_ratio'] * np.log(df['type_token_ratio']))", "CASE WHEN type_token_ratio > 0 THEN -(type_token_ratio * ln(type_token_ratio)) END")
 _program("combine_frequency", "df['both'].map(df['both'].value_counts(normalize=True))", "FROM f LEFT JOIN (SELECT source, n_tokens, count(*) / (SELECT count(*) FROM f WHERE source IS NOT NULL AND n_tokens IS NOT NULL)::DOUBLE AS y FROM f WHERE source IS NOT NULL AND n_tokens IS NOT NULL GROUP BY ALL) g ON f.source = g.source AND f.n_tokens = g.n_tokens", "    df['both'] = df['source'].astype(str) + '_' + df['n_tokens'].astype(str)\n")
+_program("minmax", "MinMaxScaler().fit_transform(df[['n_tokens']])", "(n_tokens - (SELECT min(n_tokens) FROM f)) / (SELECT max(n_tokens) - min(n_tokens) FROM f)")
+_program("zscore", "StandardScaler().fit_transform(df[['n_digits', 'n_punct']])[:, 1]", "(n_punct - (SELECT avg(n_punct) FROM f)) / (SELECT stddev_pop(n_punct) FROM f)")
+_program("robust", "RobustScaler().fit_transform(df[['n_tokens']])", "(n_tokens - (SELECT quantile_cont(n_tokens, 0.5) FROM f)) / (SELECT quantile_cont(n_tokens, 0.75) - quantile_cont(n_tokens, 0.25) FROM f)")
+_program("entropy", "entropy(df[['n_tokens', 'n_digits', 'n_punct']], axis=1)", "(SELECT sum(CASE WHEN x > 0 THEN -(x / t) * ln(x / t) ELSE 0 END) FROM (SELECT unnest([n_tokens, n_digits, n_punct]) AS x, coalesce(n_tokens, 0) + coalesce(n_digits, 0) + coalesce(n_punct, 0) AS t))")
+_program("row_skew", "skew(df[['n_tokens', 'n_digits', 'n_punct', 'type_token_ratio']], axis=1)", "(SELECT CASE WHEN var_pop(x) > 0 THEN sum((x - m) ** 3) / count(x) / var_pop(x) ** 1.5 END FROM (SELECT x, avg(x) OVER () AS m FROM (SELECT unnest([n_tokens, n_digits, n_punct, type_token_ratio]) AS x)))")
+_program("row_mean", "df[['n_chars', 'n_tokens', 'avg_word_len']].mean(axis=1)", "(SELECT avg(x) FROM (SELECT unnest([n_chars, n_tokens, avg_word_len]) AS x))")
+_program("lambda", "df['n_tokens'].apply(lambda t: t * 2 if t > 30 else t - 1)", "CASE WHEN n_tokens > 30 THEN n_tokens * 2 ELSE n_tokens - 1 END")
+_program("group_map", "df['source'].map(df.groupby('source')['n_digits'].mean()) - df['n_digits']", "(SELECT avg(n_digits) FROM f AS h WHERE h.source = f.source) - n_digits")
+_program("dict_map", "df['source'].map({'email': 2, 'web_form': 3.5, 'kiosk': -1})", "CASE source WHEN 'email' THEN 2 WHEN 'web_form' THEN 3.5 WHEN 'kiosk' THEN -1 END")
+_program("isin", "df['source'].isin(['email', 'social']) * df['n_tokens']", "CASE WHEN source IN ('email', 'social') THEN 1 ELSE 0 END * n_tokens")
+_program("quantile", "(df['n_tokens'] > df['n_tokens'].quantile(0.75)) | (df['n_digits'] < np.percentile(df['n_digits'], 25))", "CASE WHEN coalesce(n_tokens > (SELECT quantile_cont(n_tokens, 0.75) FROM f), false) OR coalesce(n_digits < (SELECT quantile_cont(n_digits, 0.25) FROM f), false) THEN 1 ELSE 0 END")
+_program("loop", "df['total'] * 1", "coalesce(n_tokens, 0) ** 2 + coalesce(n_digits, 0) ** 2 + coalesce(n_punct, 0) ** 2", "    df['total'] = 0\n    for c in ['n_tokens', 'n_digits', 'n_punct']:\n        df['total'] += df[c].fillna(0) ** 2\n")
+_program("minimum", "np.minimum(df['n_tokens'], df['n_digits'] * 4) - np.maximum(df['n_punct'], 3)", "least(n_tokens, n_digits * 4) - greatest(n_punct, 3)")
+_program("residual", "df['avg_word_len'] - np.floor(df['avg_word_len'])", "avg_word_len - floor(avg_word_len)")
+_program("modulo", "(df['n_chars'] % 7).round()", "n_chars - 7 * floor(n_chars / 7)")
+_program("remap", "df['kept']", "CASE WHEN n_tokens > 30 THEN -1 ELSE n_digits END", "    df['kept'] = df['n_digits']\n    df.loc[df['n_tokens'] > 30, 'kept'] = -1\n")
+_program("column_skew", "df['n_tokens'].skew() + df['n_punct'].kurt() + df['n_tokens'] * 0", "(SELECT skewness(n_tokens) FROM f) + (SELECT kurtosis(n_punct) FROM f) + n_tokens * 0")
+_program("dense_rank", "df['n_chars'].rank(method='dense')", "FROM f LEFT JOIN (SELECT row_id, dense_rank() OVER (ORDER BY n_chars) AS y FROM f WHERE n_chars IS NOT NULL) g ON f.row_id = g.row_id")
+_program("group_zscore", "df.groupby('source')['n_tokens'].transform(lambda x: (x - x.mean()) / x.std())", "FROM f LEFT JOIN (SELECT row_id, (n_tokens - avg(n_tokens) OVER w) / stddev_samp(n_tokens) OVER w AS y FROM f WHERE source IS NOT NULL WINDOW w AS (PARTITION BY source)) g ON f.row_id = g.row_id")
 for _how, _sql in (("mean", "avg(n_chars)"), ("std", "stddev_samp(n_chars)"), ("median", "quantile_cont(n_chars, 0.5)"), ("min", "min(n_chars)"), ("max", "max(n_chars)"), ("nunique", "count(DISTINCT n_chars)")):
     _program(f"group_{_how}", f"df.groupby('source')['n_chars'].transform('{_how}')", f"FROM f LEFT JOIN (SELECT source, {_sql} AS y FROM f GROUP BY source) g ON f.source = g.source")
 _program("group_rank", "df.groupby('source')['n_chars'].rank()", "FROM f LEFT JOIN (SELECT row_id, rank() OVER (PARTITION BY source ORDER BY n_chars) + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2.0 AS y FROM f WHERE n_chars IS NOT NULL AND source IS NOT NULL) g ON f.row_id = g.row_id")
@@ -309,6 +328,19 @@ def metric_auc(spark, d):
     return r6(metrics.auc(predictions(spark, d), ["method"], "positive", "s"), "auc")
 
 
+_CLASSES = ["F", "O", "P"]
+
+
+@query(f"""WITH {_PRED}, c AS (SELECT method, k, label = ['F', 'O', 'P'][k] AS positive, [p, s % 1000, 1 - p][k] AS s FROM p, range(1, 4) t(k)),
+  r AS (SELECT method, k, positive, rank() OVER (PARTITION BY method, k ORDER BY s) + (count(*) OVER (PARTITION BY method, k, s) - 1) / 2.0 AS rk FROM c),
+  a AS (SELECT method, k, sum(rk) FILTER (positive) AS r, count_if(positive) AS np, count_if(NOT positive) AS nn FROM r GROUP BY method, k)
+SELECT method, round(avg((r - np * (np + 1) / 2.0) / (np * nn)), 6) AS auc FROM a GROUP BY method""")
+def metric_auc_ovr(spark, d):
+    rows = predictions(spark, d)
+    rows = rows.select("method", F.array_position(F.lit(_CLASSES), F.col("label")).cast("int").alias("label"), F.array("p", F.col("s") % 1000, 1 - F.col("p")).alias("probability"))
+    return r6(metrics.auc_one_vs_rest(rows, ["method"], [1, 2, 3]), "auc")
+
+
 @query(f"WITH {_PRED} SELECT method, round(avg(-ln(greatest(1e-15, least(1 - 1e-15, CASE WHEN positive THEN p ELSE 1 - p END)))), 6) AS log_loss FROM p GROUP BY method")
 def metric_log_loss(spark, d):
     return r6(metrics.log_loss(predictions(spark, d).withColumn("own", F.when(F.col("positive"), F.col("p")).otherwise(1 - F.col("p"))), ["method"], "own"), "log_loss")
@@ -331,9 +363,9 @@ def metric_median_error(spark, d):
     return metrics.median_absolute_error(regressions(spark, d), "method").withColumn("medae", F.round("medae", 4))
 
 
-def fold_scores(spark, d) -> DataFrame:
-    """Events as scores of methods on five folds."""
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("method"), (F.col("user_id") % 5).cast("int").alias("fold")).agg(F.avg("value").alias("value"))
+def fold_scores(spark, d, folds: int = 5) -> DataFrame:
+    """Events as scores of methods on folds; first is the place of a method's first event."""
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("method"), (F.col("user_id") % folds).cast("int").alias("fold")).agg(F.avg("value").alias("value"), F.min("event_id").alias("first"))
 
 
 _FOLDS = "s AS (SELECT event_type AS method, (user_id % 5)::INTEGER AS fold, avg(value) AS value FROM events GROUP BY ALL)"
@@ -365,6 +397,11 @@ def all_pairs(spark, d):
     return r6(stats.all_pairs(fold_scores(spark, d)).select("method_a", "method_b", "n", *_TEST_COLUMNS), *_TEST_COLUMNS)
 
 
+@query(f"WITH {_FOLDS}, o AS (SELECT event_type AS m, min(event_id) AS first FROM events GROUP BY event_type), {_DIFFS.format(where='(SELECT first FROM o WHERE m = a.method) < (SELECT first FROM o WHERE m = b.method)')} SELECT method_a, method_b, n, {_TEST} FROM u")
+def all_pairs_in_order(spark, d):
+    return r6(stats.all_pairs(fold_scores(spark, d), order="first").select("method_a", "method_b", "n", *_TEST_COLUMNS), *_TEST_COLUMNS)
+
+
 @query(f"WITH {_FOLDS}, m AS (SELECT min(method) AS m FROM s), {_DIFFS.format(where='b.method = (SELECT m FROM m) AND a.method <> b.method')} SELECT method_a, method_b, n, {_TEST} FROM u")
 def vs_reference(spark, d):
     scores = fold_scores(spark, d)
@@ -383,6 +420,35 @@ def bootstrap_exact(spark, d):
     return r6(stats.exact_bootstrap(diffs), "ci_low", "ci_high")
 
 
+@query("""WITH s AS (SELECT event_type AS key, (user_id % 10)::INTEGER AS ord, avg(value) AS d FROM events GROUP BY ALL),
+  l AS (SELECT key, count(*) AS n, list(d ORDER BY ord) AS ds FROM s GROUP BY key),
+  x0 AS (SELECT key, n, ds, r, i, (r * 48271 + i * 69621 + 42 * 16807 + 12345) % 2147483647 AS x FROM l, range(5000) r(r), range(10) i(i) WHERE i < n),
+  x1 AS (SELECT * REPLACE ((x * x + 1013904223) % 2147483647 AS x) FROM x0), x2 AS (SELECT * REPLACE ((x * x + 16807) % 2147483647 AS x) FROM x1), x3 AS (SELECT * REPLACE ((x * x + 69621) % 2147483647 AS x) FROM x2),
+  means AS (SELECT key, r, avg(ds[x * n // 2147483647 + 1]) AS m FROM x3 GROUP BY key, r)
+SELECT key, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM means GROUP BY key""")
+def bootstrap_resampled(spark, d):
+    return r6(stats.exact_bootstrap(fold_scores(spark, d, 10).select(F.col("method").alias("key"), F.col("fold").alias("ord"), F.col("value").alias("d"))), "ci_low", "ci_high")
+
+
+@query("SELECT event_id, CASE WHEN p < 1e-4 THEN '<1e-4' WHEN p < 1e-3 THEN printf('%.1e', p) ELSE printf('%.3f', p) END AS p FROM (SELECT event_id, value / 99991.0 / (1 + event_id % 7 * 40) AS p FROM events)")
+def format_p(spark, d):
+    return table(spark, d, "events").select("event_id", stats.format_p(F.col("value") / 99991.0 / (1 + F.col("event_id") % 7 * 40)).alias("p"))
+
+
+@query(f"WITH {_FOLDS}, t AS (SELECT method, fold, value, 0 AS k FROM s UNION ALL SELECT 'click', fold, value + 1, 1 FROM s WHERE method = 'error' UNION ALL SELECT 'new', fold, value, 1 FROM s WHERE method = 'error') SELECT method, fold, round(value, 6) AS value FROM t WHERE k = (SELECT max(k) FROM t u WHERE u.method = t.method)")
+def merged_scores(spark, d):
+    first = fold_scores(spark, d)
+    other = first.filter("method = 'error'")
+    second = other.select(F.lit("click").alias("method"), "fold", (F.col("value") + 1).alias("value")).unionByName(other.select(F.lit("new").alias("method"), "fold", "value"))
+    return r6(report.merged_scores(first, second), "value")
+
+
+@query(f"WITH {_FOLDS} SELECT method, round(-avg(CASE WHEN fold < 3 THEN value END), 6) AS score FROM s GROUP BY method")
+def primary_score(spark, d):
+    folds = fold_scores(spark, d).withColumns({"model": F.when(F.col("fold") < 3, "gbt").otherwise("rf"), "metric": F.lit("rmse")})
+    return r6(metrics.primary_score(folds, "gbt", "regression"), "score")
+
+
 @query(f"""WITH {_FOLDS}, d AS (SELECT a.method AS method_a, b.method AS method_b, a.fold, a.value - b.value AS d FROM s a JOIN s b ON a.fold = b.fold WHERE a.method < b.method),
   r AS (SELECT *, rank() OVER (PARTITION BY method_a, method_b ORDER BY abs(d)) AS rk FROM d),
   w AS (SELECT method_a, method_b, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w FROM r GROUP BY ALL),
@@ -427,6 +493,40 @@ def cluster_softmax(spark, d):
     return r6(buffer.cluster_shares(rows).select("island", "score", "members", "p"), "p")
 
 
+_UNIFORM = "('0x' || substr(md5({}), 1, 12))::BIGINT / 281474976710656.0"
+
+
+@query(f"""WITH {_ONCE}, c AS (SELECT island, score, count(*) AS members FROM once WHERE island IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+  n AS (SELECT island, sum(members) AS programs, max(score) AS top FROM c GROUP BY island),
+  e AS (SELECT island, score, exp((score - top) / greatest(0.001, 0.1 * (1 - (programs % 30000) / 30000.0))) AS e FROM c JOIN n USING (island)),
+  p AS (SELECT island, score, e / sum(e) OVER (PARTITION BY island) AS p FROM e),
+  t AS (SELECT island, score, sum(p) OVER (PARTITION BY island ORDER BY score) - p AS a, CASE WHEN score = max(score) OVER (PARTITION BY island) THEN 2.0 ELSE sum(p) OVER (PARTITION BY island ORDER BY score) END AS b FROM p),
+  u AS (SELECT island, draw, {_UNIFORM.format("'42:' || draw || ':' || island")} AS u FROM (SELECT DISTINCT island FROM p), range(1, 21) d(draw))
+SELECT t.island, draw::INTEGER AS draw, score FROM t JOIN u ON t.island = u.island AND u >= a AND u < b""")
+def buffer_draw(spark, d):
+    rows = once(spark, d).filter("score IS NOT NULL AND island IS NOT NULL AND NOT isnan(score)").select("island", F.array("score").alias("signature"))
+    return buffer.draw(buffer.cluster_shares(rows), ["island"], ["score"], 20)
+
+
+@query("""WITH m AS (SELECT program_id, run_id, score, length(function) AS n FROM sample WHERE function IS NOT NULL AND score IS NOT NULL),
+  e AS (SELECT *, exp(-(n - min(n) OVER w) / (max(n) OVER w + 1e-6)) AS e FROM m WINDOW w AS (PARTITION BY run_id, round(score, 1)))
+SELECT program_id, round(e / sum(e) OVER (PARTITION BY run_id, round(score, 1)), 6) AS p FROM e""")
+def member_shares(spark, d):
+    rows = table(spark, d, "sample").filter("function IS NOT NULL AND score IS NOT NULL").select("program_id", "run_id", F.round("score", 1).alias("cluster"), F.length("function").alias("length"))
+    return r6(buffer.member_shares(rows, ["run_id", "cluster"]).select("program_id", "p"), "p")
+
+
+@query(f"""WITH {_ONCE}, c AS (SELECT run_id * 100000000 + step AS candidate, island, score FROM once),
+  b AS (SELECT island, max(score) AS score, arg_min(candidate, (-score, candidate)) AS best FROM c WHERE island IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY island),
+  o AS (SELECT *, row_number() OVER (ORDER BY score + {_UNIFORM.format("'42:' || island")} * 1e-6, island) <= (SELECT count(*) FROM b) // 2 AS reset FROM b),
+  k AS (SELECT best, row_number() OVER (ORDER BY island) - 1 AS k FROM o WHERE NOT reset),
+  f AS (SELECT island, floor({_UNIFORM.format("'42:founder:' || island")} * (SELECT count(*) FROM k)) AS k FROM o WHERE reset)
+SELECT island, candidate FROM c WHERE island IS NULL OR island NOT IN (SELECT island FROM f) UNION ALL SELECT island, best FROM f JOIN k USING (k)""")
+def buffer_reset(spark, d):
+    rows = once(spark, d).withColumn("candidate", F.col("run_id") * 100_000_000 + F.col("step"))
+    return buffer.reset(rows.select("island", "candidate", "score")).select("island", "candidate")
+
+
 @query(f"""WITH {_ONCE}, b AS (SELECT island, max(score) AS score FROM once WHERE island IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY island) SELECT island, row_number() OVER (ORDER BY score, island) <= (SELECT count(*) FROM b) // 2 AS reset FROM b""")
 def weakest_islands(spark, d):
     rows = once(spark, d).withColumn("candidate", F.col("run_id") * 100_000_000 + F.col("step"))
@@ -487,6 +587,95 @@ def average_ranks(spark, d):
     return value_ranks(features(spark, d), F.col("n_chars")).withColumn("rank", F.col("rank").cast("double"))
 
 
+@query("SELECT run_id, CASE WHEN starts_with(model_id, 'lab/') THEN 'hosted' ELSE 'own' END AS backend FROM best")
+def backend(spark, d):
+    return table(spark, d, "best").select("run_id", report.backend(F.col("model_id"), ["lab/"]).alias("backend"))
+
+
+@query("""SELECT family, sum(coalesce(llm_stats.prompt_tokens, 0))::BIGINT AS prompt_tokens, sum(coalesce(llm_stats.completion_tokens, 0))::BIGINT AS completion_tokens,
+  sum(coalesce(llm_stats.prompt_tokens, 0) + coalesce(llm_stats.completion_tokens, 0))::BIGINT AS total_tokens, count_if(llm_stats.requests > 0)::BIGINT AS requests, count_if(NOT coalesce(llm_stats.requests > 0, false))::BIGINT AS failures, round(sum(coalesce(llm_stats.latency_s, 0)), 4) AS latency_s FROM best GROUP BY family""")
+def call_stats(spark, d):
+    calls = table(spark, d, "best").select("family", "llm_stats.prompt_tokens", "llm_stats.completion_tokens", "llm_stats.latency_s", (F.col("llm_stats.requests") > 0).alias("ok"))
+    return report.call_stats(calls, ["family"]).withColumn("latency_s", F.round("latency_s", 4))
+
+
+# -- sources and sinks: what is written is read again -----------------------------------------------------------------
+@query("SELECT n_nationkey, n_name, n_regionkey, (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS row_id FROM nation")
+def source_csv(spark, d):
+    path = scratch(spark)
+    io.write_csv(table(spark, d, "nation").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey"), path)
+    return io.read_csv(spark, path, "nation").df
+
+
+@query("SELECT row_id, n_chars, \"tfidf_virtual card\", intent_id FROM features")
+def source_parquet(spark, d):
+    path = scratch(spark)
+    io.write_table(features(spark, d), path)
+    return io.read_parquet(spark, path, {"feature_columns": ["n_chars", "tfidf_virtual card"], "label_column": "intent_id"}, "features").df
+
+
+@query("SELECT step, island, score, ok, eval_s, false AS last FROM run_log UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, true")
+def source_log(spark, d):
+    path = scratch(spark)
+    io.append_log(table(spark, d, "run_log").select("step", "island", "score", "ok", "eval_s"), path)
+    spark.createDataFrame([("",), ("  ",), ('{"step": 1, "score"',), ("broken",)], "value string").write.mode("append").text(path)
+    io.append_summary(spark, {"best_score": 0.5}, path)
+    return io.read_log(spark, path).select("step", "island", "score", "ok", "eval_s", F.coalesce("__summary__", F.lit(False)).alias("last"))
+
+
+@query("SELECT run_id, backbone, best_score FROM best WHERE dataset = (SELECT min(dataset) FROM best) AND length(trim(best_program)) > 0")
+def source_runs(spark, d):
+    path = scratch(spark)
+    rows = table(spark, d, "best")
+    rows.withColumn("run", F.col("run_id")).write.partitionBy("run").json(path)
+    return io.read_runs(spark, f"{path}/*/*.json", rows.agg(F.min("dataset")).first()[0]).select("run_id", "backbone", "best_score")
+
+
+@query(f"WITH {_FOLDS} SELECT method, 'm' AS model, fold, 'mean' AS metric, round(value, 6) AS value FROM s")
+def source_results(spark, d):
+    path = scratch(spark)
+    io.write_results(fold_scores(spark, d).select("method", F.lit("m").alias("model"), "fold", F.lit("mean").alias("metric"), "value"), path)
+    return r6(io.folds_from_results(spark, path), "value")
+
+
+@query("SELECT sample_order, function, score FROM sample")
+def source_candidates(spark, d):
+    path = scratch(spark)
+    io.write_candidates(table(spark, d, "sample"), path)
+    return io.read_candidates(spark, path)
+
+
+@query("SELECT row_id, lower(trim(source_split)) AS source_split, query, intent_id, CASE WHEN intent_id BETWEEN 0 AND 9 THEN 'name ' || intent_id END AS intent_name FROM features WHERE lower(trim(source_split)) IN ('train', 'test')")
+def source_splits(spark, d):
+    rows = features(spark, d).select("row_id", F.lower(F.trim("source_split")).alias("split"), F.col("query").alias("text"), F.col("intent_id").alias("label"))
+    return io.union_splits({n: rows.filter(F.col("split") == n).drop("split") for n in ("train", "test")}, [f"name {k}" for k in range(10)]).select("row_id", "source_split", "query", "intent_id", "intent_name")
+
+
+@query("SELECT s_suppkey, ((row_number() OVER (ORDER BY md5('42:' || s_suppkey), s_suppkey) - 1) % 5)::INTEGER AS fold FROM supplier")
+def source_split_indexes(spark, d):
+    path = scratch(spark)
+    rows = table(spark, d, "supplier").select("s_suppkey")
+    io.write_split_indexes(split.kfold(rows, "s_suppkey", FOLDS), "s_suppkey", path)
+    return io.with_split_indexes(rows, "s_suppkey", io.read_split_indexes(spark, path))
+
+
+_ENTITY = {"ner_money": r"(?i)[$£€¥]\s?\d[\d.,]*|\d[\d.,]*\s?(?:eur|usd|gbp|dollars|euros|pounds)\b", "ner_date": r"(?i)\b\d{1,2} (?:january|february|march|april|may|june|july|august|september|october|november|december)\b|\b\d{4}-\d{2}-\d{2}\b"}
+
+
+@query("SELECT row_id, " + ", ".join(f"len(regexp_extract_all(coalesce(query, ''), '{p}'))::BIGINT AS {n}" for n, p in _ENTITY.items()) + " FROM features")
+def entity_rules(spark, d):
+    made = entity_columns(F.col("query"), rules=True)
+    return features(spark, d).select("row_id", *[made[n].alias(n) for n in _ENTITY])
+
+
+@query(f"""WITH train AS (SELECT * FROM features WHERE trim(lower(source_split)) = 'train'), codes AS (SELECT source, dense_rank() OVER (ORDER BY source) - 1 AS code FROM (SELECT DISTINCT source FROM train WHERE source IS NOT NULL))
+SELECT row_id::DOUBLE AS row_id, coalesce(code, -1)::DOUBLE AS source, CASE WHEN isnan(avg_word_len) OR isinf(avg_word_len) THEN NULL ELSE avg_word_len END AS avg_word_len FROM features LEFT JOIN codes USING (source) WHERE trim(lower(source_split)) = 'test'""")
+def encode_frames(spark, d):
+    rows = features(spark, d).withColumn("split", F.trim(F.lower("source_split")))
+    train, test = (rows.filter(F.col("split") == n).select("row_id", "source", "avg_word_len") for n in ("train", "test"))
+    return encode.encode_categoricals(train, test)[1]
+
+
 @query()
 def feature_block(spark, d):
     return report.feature_block(features(spark, d).select("row_id", "source", *LEX), "row_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,18 +58,39 @@ def _remove(spark: SparkSession, root: str) -> None:
 _roots: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder. The application's folder goes when the driver ends."""
+    root = f"{shared_dir(spark)}/featherloom-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     This cuts the lineage at data that survive the loss of executors. Later readers get column pruning and
-    statistics. The application's folder goes when the driver ends.
+    statistics. The table is needed as long as frames made from it are; see release.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/featherloom-{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{uuid.uuid4().hex}"
+    path = scratch(spark)
+    _written.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def release(spark: SparkSession):
+    """Removes, at its end, all tables that were materialised within: for sessions of many queries, each read to its end inside."""
+    at = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[at:]:
+            _remove(spark, path)
+        del _written[at:]

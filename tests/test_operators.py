@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from featherloom.functions.text import lexical_columns
-from featherloom.operators import buffer, encode, report, select, split, stats
-from featherloom.operators.order import grouped_quantile, running_total, value_ranks
-from featherloom.operators.program import FeatureProgram, UnsupportedProgram, calls_ancestor, canonical, strip_to_body, trim_body
-from featherloom.operators.search import Mutation, Replay, Search
+from featherloom.operators import budget, buffer, encode, prompt, report, select, split, stats
+from featherloom.operators.order import cut_points, grouped_quantile, running, running_total, value_ranks
+from featherloom.operators.program import FeatureProgram, Spec, UnsupportedProgram, called_names, calls_ancestor, canonical, rename_calls, spec_of, strip_to_body, trim_body
+from featherloom.operators.search import Mutation, Replay, Search, make_source
 from featherloom.sources import io
 
 HEAD = "def modify_features(df_input):\n    df = df_input.copy()\n"
@@ -24,12 +24,60 @@ def test_program_adds_columns(spark):
     assert out[0].x_sq == 1.0 and out[1].x_plus_y == pytest.approx(4.3)
 
 
+SHAPES = {
+    "df['z'] = StandardScaler().fit_transform(df[['x']])": lambda f: (f.x - f.x.mean()) / f.x.std(ddof=0),
+    "scaler = MinMaxScaler()\n    df['z'] = scaler.fit_transform(df[['x']]).flatten()": lambda f: (f.x - f.x.min()) / (f.x.max() - f.x.min()),
+    "df['z'] = RobustScaler().fit_transform(df[['x', 'y']])[:, 1]": lambda f: (f.y - f.y.median()) / (f.y.quantile(0.75) - f.y.quantile(0.25)),
+    "df['z'] = minmax_scale(df['y'])": lambda f: (f.y - f.y.min()) / (f.y.max() - f.y.min()),
+    "df['z'] = entropy(df[['x', 'y']], axis=1)": lambda f: f[["x", "y"]].apply(lambda r: -sum(v / r.sum() * math.log(v / r.sum()) for v in r if v > 0), axis=1),
+    "df['z'] = df[['x', 'y', 'w']].skew(axis=1)": lambda f: f[["x", "y", "w"]].skew(axis=1),
+    "df['z'] = df[['x', 'y', 'w', 'v']].kurtosis(axis=1)": lambda f: f[["x", "y", "w", "v"]].kurt(axis=1),
+    "df['z'] = df[['x', 'y', 'w']].median(axis=1)": lambda f: f[["x", "y", "w"]].median(axis=1),
+    "df['z'] = df['x'].skew() + df['y'].kurt()": lambda f: f.x * 0 + f.x.skew() + f.y.kurt(),
+    "df['z'] = df['x'].apply(lambda v: v * 2 if v > 3 else -v)": lambda f: f.x.map(lambda v: v * 2 if v > 3 else -v),
+    "df['z'] = df.apply(lambda r: r['x'] - r['y'] / 2, axis=1)": lambda f: f.x - f.y / 2,
+    "df['z'] = df[['x', 'y']].apply(lambda r: r.max() - r['x'], axis=1)": lambda f: f[["x", "y"]].max(axis=1) - f.x,
+    "df['z'] = df['g'].map(df.groupby('g')['x'].mean())": lambda f: f.groupby("g").x.transform("mean"),
+    "df['z'] = df['g'].map({'a': 1.5, 'b': 2})": lambda f: f.g.map({"a": 1.5, "b": 2}),
+    "df['z'] = df['g'].isin(['a', 'c']).astype(int)": lambda f: f.g.isin(["a", "c"]).astype(float),
+    "df['z'] = (df['x'] > df['x'].quantile(0.7)) & (0 < df['y'])": lambda f: ((f.x > f.x.quantile(0.7)) & (f.y > 0)).astype(float),
+    "df['z'] = df['x'] - np.percentile(df['x'], 30)": lambda f: f.x - f.x.quantile(0.3),
+    "df['z'] = 0\n    for c in ['x', 'y']:\n        df['z'] += df[c] ** 2": lambda f: f.x**2 + f.y**2,
+    "for a, b in [('x', 'y')]:\n        df[f'{a}_over_{b}'] = df[a] / df[b]\n    df['z'] = df['x_over_y']": lambda f: f.x / f.y,
+    "num = df.select_dtypes(include=[np.number]).columns.tolist()\n    df['z'] = df[num[:2]].sum(axis=1)": lambda f: f.x + f.y,
+    "df['z'] = df['x']\n    df.loc[df['y'] > 2, 'z'] = -1": lambda f: f.x.where(f.y <= 2, -1),
+    "df['z'] = df.groupby('g')['x'].transform(lambda s: (s - s.mean()) / s.max())": lambda f: f.groupby("g").x.transform(lambda s: (s - s.mean()) / s.max()),
+    "df['z'] = df['x'].rank(method='dense') + df['y'].rank(method='min') - df['y'].rank(method='max')": lambda f: f.x.rank(method="dense") + f.y.rank(method="min") - f.y.rank(method="max"),
+    "df['z'] = np.polyval([2, 0, 1], df['x'])": lambda f: 2 * f.x**2 + 1,
+    "df['z'] = df['g'].str.len() + df['g'].str.contains('a')": lambda f: f.g.str.len() + f.g.str.contains("a"),
+    "df[['x', 'y']] = StandardScaler().fit_transform(df[['y', 'x']])\n    df['z'] = df['x']": lambda f: (f.y - f.y.mean()) / f.y.std(ddof=0),
+    "counts = df['g'].value_counts()\n    df['z'] = df['g'].map(counts) / len(df)": lambda f: f.g.map(f.g.value_counts()) / len(f),
+    "df['z'] = np.select([df['x'] > 4, df['y'] > 2], [1, 2], default=3)": lambda f: f.x.gt(4).map({True: 1, False: 0}).where(f.x > 4, f.y.gt(2).map({True: 2, False: 3})),
+    "df = df.assign(z=lambda d: d['x'] + 1)": lambda f: f.x + 1,
+    "if 'x' in df.columns and 'q' not in df.columns:\n        df['z'] = df['x'].replace({1.0: 7.0})\n    else:\n        df['z'] = 0": lambda f: f.x.replace({1.0: 7.0}),
+}
+
+
+@pytest.mark.parametrize("lines", SHAPES)
+def test_shapes_of_programs(spark, lines):
+    import pandas as pd
+
+    rng = random.Random(5)
+    frame = pd.DataFrame([(float(rng.randrange(1, 8)), float(rng.randrange(1, 6)), rng.random(), rng.random() * 3, rng.choice("abcd")) for _ in range(40)], columns=["x", "y", "w", "v", "g"])
+    frame["i"] = range(40)
+    df = spark.createDataFrame(frame)
+    out = FeatureProgram(HEAD + f"    {lines}\n    return df\n").apply(df).orderBy("i").toPandas()["z"].astype(float)
+    want = SHAPES[lines](frame).astype(float)
+    assert all((math.isnan(a) and math.isnan(b)) or a == pytest.approx(b, abs=1e-9) for a, b in zip(out, want))
+    assert FeatureProgram(HEAD + f"    {lines}\n    return df\n").refusal(df) is None
+
+
 def test_program_on_missing_values(spark):
     out = made(spark, ["df['a'] = df['x'] / df['y']", "df['b'] = (df['x'] > 1).astype(int)", "df['c'] = df[['x', 'y']].mean(axis=1)", "df = df.fillna(0)"], [(1.0, 0.0), (None, 2.0), (float("nan"), None)])
     assert sorted((r.a, r.b, r.c) for r in out.collect()) == [(0.0, 0.0, 0.0), (0.0, 0.0, 0.5), (0.0, 0.0, 2.0)]
 
 
-@pytest.mark.parametrize("line", ["df['z'] = df['missing'] + 1", "df['z'] = open('f')", "df['z'] = df['x'].apply(eval)", "import os\n    os.remove('f')", "df['X'] = df['x']", "df['z'] = df['x'].rank(method='ordinal')", "while True: pass"])
+@pytest.mark.parametrize("line", ["df['z'] = df['missing'] + 1", "df['z'] = open('f')", "df['z'] = df['x'].apply(eval)", "import os\n    os.remove('f')", "df['X'] = df['x']", "for v in df['x']:\n        df['z'] = v", "for i in range(10**9):\n        df['z'] = i", "df['z'] = f\"{df['x']}\"", "df['z'] = df['x'].rank(method='ordinal')", "while True: pass"])
 def test_programs_outside_the_language_are_refused(spark, line):
     df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     program = FeatureProgram(HEAD + f"    {line}\n    return df\n")
@@ -51,6 +99,20 @@ def test_answers_are_cut_to_a_body():
     assert canonical("def modify_features(d):\n    'doc'\n    x=1 # c\n    return d") == canonical("def modify_features(d):\n    x = 1\n    return d\n")
 
 
+def test_answers_of_many_kinds():
+    assert strip_to_body("```\ndef f(df):\ndf['a'] = 1\nreturn df") == "    df['a'] = 1\n    return df"
+    assert strip_to_body("def f(df):\n  # note\n  return df\nprint(1)") == "    # note\n    return df"
+    assert strip_to_body("def f(df): return df") == "    return df"
+    assert strip_to_body("text\n```\nno function\n```\n```python\ndef f(df):\n    x = (1,\n```") == "    x = (1,"
+    assert called_names("def f(d):\n    return g(d.h(1))") == {"g", "h"}
+    assert "new(1)" in rename_calls("def old(x):\n    return old(1)\n", "old", "new")
+    text = "@evaluate.run\ndef judge(x):\n    return 1\n\n@equation.evolve\ndef f(df):\n    return df\n"
+    assert spec_of(text) == Spec("f", "judge", "def f(df):\n    return df\n")
+    for bad in ("def f(: pass", text + text, "def f(x): return x"):
+        with pytest.raises(ValueError):
+            spec_of(bad)
+
+
 def test_lexical_features_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, "What's  É?  12€"), (5, "europe"), (6, "x" * 100_000)], "i int, s string")
     out = {r.i: r for r in df.select("i", *[c.alias(n) for n, c in lexical_columns(F.col("s")).items()]).collect()}
@@ -75,6 +137,31 @@ def test_order_over_partitions(spark):
         assert q == own[math.floor(m)] + (own[math.ceil(m)] - own[math.floor(m)]) * (m % 1)
 
 
+def test_running_over_parts_of_a_group(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i, rng.random() if rng.random() < 0.8 else None) for i in range(400)] + [(None, 1, 0.5)]
+    df = spark.createDataFrame(rows, "g string, i long, x double")
+    out = running(df, "g", "i", {"m": ("max", F.col("x")), "n": ("sum", F.col("x").isNotNull().cast("long"))})
+    assert out.columns == ["g", "i", "x", "m", "n"]
+    got = {(r.g, r.i): (r.m, r.n) for r in out.collect()}
+    for g in {r[0] for r in rows}:
+        best, n = None, 0
+        for _, i, x in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            if x is not None:
+                best, n = max(x, best or 0.0), n + 1
+            assert got[g, i] == (best, n)
+    assert running(df.limit(0), "g", "i", {"n": ("sum", F.lit(1))}).count() == 0
+
+
+def test_cut_points(spark):
+    rng = random.Random(3)
+    values = [rng.randrange(30) for _ in range(200)] + [10**9]
+    df = spark.createDataFrame([(float(v), 1.0) for v in values], "a double, b double")
+    cuts = cut_points(df, {"a": F.col("a"), "b": F.col("b")}, 8)
+    values.sort()
+    assert cuts == {"a": sorted({float(values[k * len(values) // 8]) for k in range(1, 8)}), "b": [1.0]}
+
+
 def test_order_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert running_total(empty, ["k"]).count() == 0 and grouped_quantile(empty, F.col("k"), F.col("v")).count() == 0
@@ -89,6 +176,15 @@ def toy(spark):
     return spark.createDataFrame(rows, "row_id long, y int, " + ", ".join(f"f{k} double" for k in range(12))), [f"f{k}" for k in range(12)]
 
 
+@pytest.mark.parametrize("name", sorted(select.REGRESSION_SELECTORS))
+def test_selectors_of_numeric_targets(spark, name):
+    df, names = toy(spark)
+    df = df.withColumn("t", F.col("f0") * 3 - F.col("f1"))
+    options = {"trees": 5, "depth": 3} if name == "importance" else {"max_iter": 5} if name == "lasso_l1" else {}
+    kept = select.REGRESSION_SELECTORS[name](df, names, "t", 3, **options)
+    assert kept and (len(kept) == 3 or name == "variance_thresh") and "f0" in kept
+
+
 @pytest.mark.parametrize("name", sorted(select.SELECTORS))
 def test_selectors_keep_columns(spark, name):
     df, names = toy(spark)
@@ -139,6 +235,25 @@ def test_paired_comparisons():
         stats.paired([1.0], [1.0, 2.0])
 
 
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 10])
+def test_bootstrap_keeps_every_key(spark, n):
+    rng = random.Random(n)
+    ds = {k: [rng.gauss(0, 1) for _ in range(n)] for k in "ab"} | {"c": [0.5, 1.5, 1.0]}
+    df = spark.createDataFrame([(k, i, x) for k, xs in ds.items() for i, x in enumerate(xs)] + [("a", 99, None)], "key string, ord int, d double")
+    got = {r.key: (r.ci_low, r.ci_high) for r in stats.exact_bootstrap(df).collect()}
+    assert got.keys() == ds.keys()
+    for k, xs in ds.items():
+        assert got[k] == pytest.approx(stats.bootstrap_bounds(xs), abs=1e-9)
+    if n == 10:  # the spread of resampled means is that of independent draws
+        mean, dev = sum(ds["a"]) / n, (sum((x - sum(ds["a"]) / n) ** 2 for x in ds["a"]) / n / n) ** 0.5
+        assert got["a"] == pytest.approx((mean - 1.96 * dev, mean + 1.96 * dev), abs=0.25 * dev)
+
+
+def test_pairs_in_a_given_order(spark):
+    df = spark.createDataFrame([(m, k, v + k, p) for m, v, p in (("z", 1.0, 0), ("a", 2.0, 1), ("m", 4.0, 1)) for k in range(3)], "method string, fold int, value double, p int")
+    assert {(r.method_a, r.method_b, r.delta) for r in stats.all_pairs(df, order="p").collect()} == {("z", "a", -1.0), ("z", "m", -3.0), ("a", "m", -2.0)}
+
+
 def test_methods_are_compared(spark):
     scores = {"base": [0.80, 0.81, 0.79, 0.82, 0.80], "mi": [0.83, 0.82, 0.83, 0.84, 0.82], "llm": [0.88, 0.87, 0.89, 0.88, 0.87]}
     df = spark.createDataFrame([(m, k, v) for m, vs in scores.items() for k, v in enumerate(vs)], "method string, fold int, value double")
@@ -177,6 +292,83 @@ def test_search_finds_a_better_program(spark):
     assert mutated.run().score > 2 and mutated.table().count() == len(mutated.log)
 
 
+def test_search_over_several_inputs_resets_and_draws(spark):
+    a, b = spark.createDataFrame([(1.0, 2.0)], "x double, y double"), spark.createDataFrame([(1.0,)], "x double")
+    ticks = iter(range(0, 10_000, 10))
+    search = Search({"a": a, "b": b}, lambda frame: float(len(frame.columns)), Mutation(["x", "y"]), HEAD + "    return df\n", islands=4, max_samples=9, config=buffer.BufferConfig(islands=4, reset_period_s=15), frames=[prompt.Frame("Columns: {columns}", "Rows: {rows}")], columns="x, y", rows="1", clock=lambda: next(ticks))
+    seen = []
+    given = search.source.sample
+    search.source.sample = lambda text, parents, n: seen.append((text, len(parents))) or given(text, parents, n)
+    best = search.run()
+    assert best.score >= 2 and len(best.signature) in (1, 2) and {i for i, _ in search.members} == {0, 1, 2, 3}
+    assert seen[0][0].startswith("Columns: x, y\n\ndef modify_features_v0(df_input)") and seen[0][0].rstrip().endswith("Rows: 1")
+    assert search.population().count() == len(search.members)
+    alone = Search({"b": b}, lambda frame: 1.0, Replay(iter([HEAD + "    df['z'] = df['y']\n    return df\n"])), HEAD + "    return df\n", max_samples=2)
+    assert alone.run().order == 0 and alone.log[1].score is None
+
+
+def test_parents_are_drawn_by_cluster_and_length(spark):
+    rows = [(i, 10 * i + k, [float(k // 2)], 10 if k % 2 else 500, float(k // 2)) for i in range(60) for k in range(4)]
+    df = spark.createDataFrame(rows, "island long, candidate long, signature array<double>, length long, score double")
+    drawn = buffer.draw_parents(df, buffer.BufferConfig(functions_per_prompt=3, t_init=1.0)).collect()
+    assert len(drawn) == 120 and {r.turn for r in drawn} == {1, 2}  # no more draws than clusters
+    assert sum(r.score == 1.0 for r in drawn) > 70 and sum(r.candidate % 2 for r in drawn) > 70
+
+
+def test_prompts(tmp_path):
+    (tmp_path / "head").write_text("Do {columns}")
+    assert prompt.read_part(str(tmp_path / "head")) == "Do {columns}" and prompt.read_part(str(tmp_path / "none")) == ""
+    text = prompt.versions([HEAD + "    return df\n", "broken(", "def modify_features(d):\n    'old text'\n    return d\n"])
+    assert "old text" not in text and text.count("def ") == 3 and text.rstrip().endswith('"""Version 2, which is to score higher than modify_features_v1."""')
+    assert prompt.versions([]) == 'def modify_features_v0(df_input):\n    """The first version."""'
+    rng = random.Random(1)
+    both = {prompt.render([], "c", "r", [prompt.Frame("plain"), prompt.Frame("guided {rows}")], rng).split("\n")[0] for _ in range(20)}
+    assert both == {"plain", "guided r"} and prompt.render([], "", "", [], rng).startswith("def ")
+    with pytest.raises(ValueError):
+        make_source("none")
+    assert make_source("mutation", columns=["a"], key="dropped").columns == ["a"]
+
+
+def test_work_has_a_budget(spark):
+    import time
+
+    began = time.time()
+    slow = spark.range(0, 8, 1, 8).select(F.udf(lambda i: __import__("time").sleep(60) or i, "long")("id").alias("x"))
+    assert budget.within_budget(spark, 2, slow.count if False else lambda: slow.agg(F.sum("x")).first())[0] is None and time.time() - began < 30
+    assert budget.within_budget(spark, 60, lambda: spark.range(5).count()) == (5, None)
+    assert budget.within_budget(spark, 60, lambda: 1 / 0)[1].startswith("ZeroDivisionError")
+
+
+def test_tables_are_released(spark):
+    import os
+
+    from featherloom import session
+
+    with session.release(spark):
+        path = session.materialize(spark.range(3)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_configs_and_indexes(spark, tmp_path):
+    import numpy as np
+
+    (tmp_path / "run.yaml").write_text("islands: 3\nname: a\n")
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    assert io.read_config(str(tmp_path / "run.yaml")) == {"islands": 3, "name": "a"}
+    with pytest.raises(ValueError):
+        io.read_config(str(tmp_path / "list.yaml"))
+    np.savez(tmp_path / "s.npz", fold_0_train=[1, 2], fold_0_test=[0], fold_1_train=[0], fold_1_test=[1, 2])
+    found = io.with_split_indexes(spark.range(4), "id", io.read_split_indexes(spark, str(tmp_path / "s.npz")))
+    assert {tuple(r) for r in found.collect()} == {(0, 0), (1, 1), (2, 1), (3, None)}
+
+
+def test_install_check(capsys):
+    from featherloom import installed
+
+    assert installed.main() == 0 and "ok       pyspark" in capsys.readouterr().out
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 0.4), (2, 0.9), (3, 0.9)], "c int, g double")
     assert {tuple(r) for r in report.frontier(df, "c", "g").collect()} == {(1, 0.5), (2, 0.9)}
@@ -223,6 +415,54 @@ def test_streams(spark, sf_dir, tmp_path):
     assert spark.table("once_stream").count() == rows.select("run_id", "step").distinct().count()
 
 
+def test_booster_gives_probabilities(spark):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+
+    from featherloom.operators import evaluate
+
+    rng = random.Random(1)
+    rows = [(i, k := i % 3, k + rng.gauss(0, 0.3), rng.gauss(0, 1), (i // 3) % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, y int, a double, b double, fold int")
+    small = {"gbt": lambda rows=None: OneVsRest(classifier=GBTClassifier(maxIter=3, maxDepth=2, seed=1))}
+    found = {(r.metric, r.fold): r.value for r in evaluate.cross_validate(df, ["a", "b"], "y", "row_id", small).collect()}
+    assert set(found) == {(m, f) for m in ("accuracy", "macro_f1", "auc", "log_loss") for f in (0, 1)}
+    assert all(found["auc", f] > 0.9 and 0 < found["log_loss", f] < 1 for f in (0, 1))
+    assert evaluate.proxy_score(df.drop("fold"), ["a", "b"], "y", "row_id", trees=5, depth=3) > 0.8
+    assert evaluate.proxy_score(df.drop("fold"), ["b"], "a", "row_id", task="regression", trees=5, depth=3) < 0
+
+
+def test_values_are_dealt(spark):
+    from featherloom.operators import evaluate
+
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 5)) for i in range(400)], "row_id long, y double, other double").withColumn("x", F.col("y"))
+    found = {r.feature: r["drop"] for r in evaluate.permutation_importance(lambda f: f.withColumn("predicted", F.col("x")), df, ["x", "other"], "y", "row_id").collect()}
+    assert found["other"] == 0 and 0.3 < found["x"] < 0.7
+
+
+def test_blocks_and_examples(spark):
+    df = spark.createDataFrame([(1, "b", 2.0, None), (2, "a", 5.0, None), (3, "b", None, None)], "i long, kind string, x double, gone string")
+    assert [r.line for r in report.feature_block(df, "i", {"x": "a size"}).orderBy("place").collect()] == ["kind (kind): one of b / a", "x (a size): from 2.0 to 5.0", "gone (gone): one of "]
+    assert {r.text for r in report.example_rows(df, "i", "kind").collect()} == {"x = 2.0 -> b", "x = 5.0 -> a", " -> b"}
+    wide = spark.createDataFrame([(1, *range(30)), (2, *[k * k for k in range(30)])], "i long, " + ", ".join(f"{'tfidf_' if k < 5 else ''}c{k} int" for k in range(30)))
+    assert report.telling_columns(wide, ["i"]) == [f"c{k}" for k in range(29, 9, -1)]
+    merged = report.merged_scores(*[spark.createDataFrame(x, "method string, fold int, value double") for x in ([("a", 0, 1.0), ("b", 0, 1.0)], [("a", 0, 2.0), ("a", 1, 3.0)])])
+    assert {tuple(r) for r in merged.collect()} == {("a", 0, 2.0), ("a", 1, 3.0), ("b", 0, 1.0)}
+
+
+def test_tfidf_by_row_and_by_join(spark, monkeypatch):
+    from featherloom.operators import tfidf
+
+    df = spark.createDataFrame([(1, "red card red"), (2, "blue card"), (3, None), (4, "the the")], "i long, t string")
+    model = tfidf.fit_tfidf(df, "i", "t", 3, ["the"])
+    assert model.n == 4 and model.terms == [("card", 2, 2), ("red", 2, 1), ("blue", 1, 1)]
+    here = {(r.id, r.term): r.weight for r in model.weights(df, "i", "t").collect()}
+    assert sum(w * w for (i, _), w in here.items() if i == 1) == pytest.approx(1) and set(here) == {(1, "red"), (1, "card"), (2, "blue"), (2, "card")}
+    monkeypatch.setattr(tfidf, "LOCAL_TERMS", 0)
+    assert {(r.id, r.term): r.weight for r in model.weights(df, "i", "t").collect()} == pytest.approx(here)
+    assert model.wide(df, "i", "t").columns == ["id", "tfidf_blue", "tfidf_card", "tfidf_red"] and model.wide(df, "i", "t").count() == 4
+    assert tfidf.fit_tfidf(df.limit(0), "i", "t").weights(df, "i", "t").count() == 0
+
+
 def test_each_classifier_has_its_own_size(spark):
     from featherloom.operators import evaluate
 
