@@ -71,7 +71,7 @@ def row_product(cs: list[Column]) -> Column:
 
 def row_median(cs: list[Column]) -> Column:
     """The median of what isn't null."""
-    held = F.array_sort(F.array_compact(F.array(*[c.cast("double") for c in cs])))
+    held = F.sort_array(F.array_compact(F.array(*[c.cast("double") for c in cs])))
     n = F.size(held)
     low, high = (F.get(held, F.floor((n + k) / 2 - 1).cast("int")) for k in (1, 2))
     return (low + high) / 2

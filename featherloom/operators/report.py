@@ -88,7 +88,7 @@ def feature_block(df: DataFrame, row_id: str, descriptions: dict[str, str] | Non
     if texts := [(k, c) for k, c in enumerate(columns) if kinds[c]]:
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("feature"), F.lit(named(c)).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for k, c in texts]))
         seen = df.select(F.col(f"`{row_id}`").alias("_row"), each.alias("x")).select("_row", "x.*").filter("value IS NOT NULL").groupBy("place", "feature", "name", "value").agg(F.min("_row").alias("first"))
-        some = top_per_group(seen, "place", ["first", "value"], values).groupBy("place", "feature", "name").agg(F.array_sort(F.collect_list(F.struct("first", "value"))).alias("found"))  # a few values
+        some = top_per_group(seen, "place", ["first", "value"], values).groupBy("place", "feature", "name").agg(F.sort_array(F.collect_list(F.struct("first", "value"))).alias("found"))  # a few values
         known = df.sparkSession.createDataFrame([(k, c, named(c)) for k, c in texts], "place int, feature string, name string")
         listed = F.concat_ws(" / ", F.transform(F.coalesce("found", F.array()), lambda x: x["value"]))
         parts.append(known.join(some.select("place", "found"), "place", "left").select("place", "feature", F.concat("name", F.lit(": one of "), listed).alias("line")))

@@ -168,7 +168,7 @@ def exact_bootstrap(differences: DataFrame, resamples: int = 5000, seed: int = 4
     Up to EXACT differences all n^n resamples are enumerated, by the digits of a range; of more, ``resamples`` are drawn by resampled, the same as in bootstrap_bounds. ord gives
     the order of a key's differences. A key has as many differences as there are folds, few. Every key with a difference has a row; null differences are left out.
     """
-    sized = differences.filter("d IS NOT NULL").groupBy("key").agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "d"))), lambda x: x["d"]).alias("ds"))
+    sized = differences.filter("d IS NOT NULL").groupBy("key").agg(F.count("*").cast("int").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("ord", "d"))), lambda x: x["d"]).alias("ds"))
     all_of_them = F.col("n") <= EXACT
     count = F.when(all_of_them, F.pow("n", F.least("n", F.lit(EXACT))).cast("long")).otherwise(F.lit(resamples).cast("long"))
     each = sized.select("key", "n", "ds", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("r"))

@@ -112,7 +112,7 @@ def append_summary(spark: SparkSession, summary: dict, path: str) -> None:
 def write_results(folds: DataFrame, path: str) -> None:
     """The JSON that folds_from_results reads, from (method, model, fold, metric, value): one text, as methods, models and folds are few."""
     by_fold = folds.groupBy("method", "model", "fold").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
-    by_model = by_fold.groupBy("method", "model").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", F.to_json("metrics").alias("m")))), lambda x: F.from_json(x["m"], "map<string,double>")).alias("folds"))
+    by_model = by_fold.groupBy("method", "model").agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", F.to_json("metrics").alias("m")))), lambda x: F.from_json(x["m"], "map<string,double>")).alias("folds"))
     by_method = by_model.groupBy("method").agg(F.struct(F.map_from_entries(F.collect_list(F.struct("model", "folds"))).alias("per_fold")).alias("r"))
     by_method.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("method", "r")))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
