@@ -327,7 +327,7 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
     read = candidates.join(second, "y").join(first, "x").filter("form = form_x").select("form", "a", "b")
     wording = F.unhex(F.md5(F.concat(F.col("form").cast("string"), F.col("words"))))
     found = materialize(read.mapInArrow(_verify(2), "form boolean, a string, b string").select(*(F.unhex(F.md5(F.concat(F.col("form").cast("string"), F.col(c)))).alias(t) for c, t in (("a", "train"), ("b", "held")))))
-    fields_of = F.array_join(F.array_sort(F.split(F.translate("words", " ", ""), "\n")), "\n")
+    fields_of = F.array_join(F.sort_array(F.split(F.translate("words", " ", ""), "\n")), "\n")
     content = F.unhex(F.md5(F.concat(F.col("form").cast("string"), fields_of)))
     keyed = records.select("id", "held", wording.alias("wording"), content.alias("content"))
     trained, tested = keyed.filter("NOT held"), keyed.filter("held")
@@ -369,7 +369,7 @@ def split_coverage(df: DataFrame, id_col: str, text: str, split: str, source: st
     suffixes = lambda side: of.wordings.filter(side).select("words", "text").mapInArrow(_suffixes(least), "start long, text long, place int")
     shared = suffixes("tested").join(suffixes("trained").select("start").distinct(), "start", "left_semi")
     # at most one place a word of a text
-    places = shared.groupBy("text").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    places = shared.groupBy("text").agg(F.sort_array(F.collect_list("place")).alias("places"))
     empty = F.struct(F.lit(0).alias("covered"), F.lit(-1).alias("begin"), F.lit(-1).alias("end"), F.lit(0).alias("longest"))
 
     def merge(s: Column, place: Column) -> Column:
