@@ -57,7 +57,8 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir).report.withColumn("intent_id", F.col("category").cast("int")).select("intent_id", "available", "wanted", "least", "quota", "short")
+    report = _sample(spark, sf_dir).report.withColumn("intent_id", F.col("category").cast("int"))
+    return report.select("intent_id", "available", "wanted", "least", "quota", "short", F.round("missing", 6).alias("missing"), F.round("extra", 6).alias("extra"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,6 +154,14 @@ _INTENTS = r"""
   total AS (SELECT count(*) AS r FROM rows_of)"""
 
 
+_SHARED = r"""texts AS (SELECT program_id, function AS text FROM sample UNION ALL SELECT program_id, best_program FROM best),
+  split AS (SELECT program_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM texts WHERE text IS NOT NULL),
+  content AS (SELECT DISTINCT program_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS run FROM split WHERE len(w) >= 3),
+  sizes AS (SELECT program_id, count(*) AS n FROM content GROUP BY program_id),
+  common AS (SELECT a.program_id AS a, b.program_id AS b, count(*) AS n FROM content a JOIN content b ON a.run = b.run AND a.program_id < b.program_id GROUP BY 1, 2),
+  near AS (SELECT a, b, c.n = x.n AND c.n = y.n AS same FROM common c JOIN sizes x ON x.program_id = a JOIN sizes y ON y.program_id = b WHERE c.n * 10 >= 6 * (x.n + y.n - c.n))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": f"WITH {_TERMS} SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size",
@@ -170,12 +179,13 @@ FROM (SELECT row_id, sum(len(w)) AS words FROM placed WHERE NOT train GROUP BY r
         "p3_found": f"WITH {_INTENTS} SELECT t.intent_id FROM intent_targets t LEFT JOIN counted c USING (intent_id), total WHERE coalesce(c.available, 0) * 100000 < t.target_bp * r OR coalesce(c.available, 0) < t.min_rows",
         "p4_found": f"WITH {_CONTENT} SELECT first_row_id, row_id FROM contents c JOIN firsts f ON c.content = f.content AND c.intent_id IS NOT DISTINCT FROM f.intent_id WHERE row_id <> first_row_id",
         "p4_collapsed": f"WITH {_CONTENT} SELECT first_row_id AS row_id, copies FROM firsts",
-        "p5_found": r"""WITH texts AS (SELECT program_id, function AS text FROM sample UNION ALL SELECT program_id, best_program FROM best),
-  split AS (SELECT program_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM texts WHERE text IS NOT NULL),
-  content AS (SELECT DISTINCT program_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS run FROM split WHERE len(w) >= 3),
-  sizes AS (SELECT program_id, count(*) AS n FROM content GROUP BY program_id),
-  common AS (SELECT a.program_id AS a, b.program_id AS b, count(*) AS n FROM content a JOIN content b ON a.run = b.run AND a.program_id < b.program_id GROUP BY 1, 2)
-SELECT a AS program_id_a, b AS program_id_b FROM common c JOIN sizes x ON x.program_id = a JOIN sizes y ON y.program_id = b WHERE c.n * 10 >= 6 * (x.n + y.n - c.n)""",
+        "p5_found": f"WITH {_SHARED} SELECT a AS program_id_a, b AS program_id_b FROM near",
+        "p5_groups": f"""WITH RECURSIVE {_SHARED},
+  firsts AS (SELECT program_id, coalesce(min(a), program_id) AS class FROM sizes LEFT JOIN near ON b = program_id AND same GROUP BY program_id),
+  links AS (SELECT DISTINCT x.class AS a, y.class AS b FROM near JOIN firsts x ON x.program_id = near.a JOIN firsts y ON y.program_id = near.b WHERE x.class <> y.class),
+  ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach AS (SELECT class AS a, class AS b FROM firsts UNION SELECT reach.a, ends.b FROM reach JOIN ends ON ends.a = reach.b)
+SELECT program_id, (SELECT min(b) FROM reach WHERE reach.a = class) AS group_id, (SELECT count(*) FROM ends WHERE ends.a = class)::BIGINT AS links FROM firsts""",
         "p6_found": f"""WITH {_TERMS},
   weights AS (SELECT row_id, term, c * ln((1 + n) / (1 + records)::DOUBLE) AS w FROM pairs JOIN counts USING (term), size),
   top AS (SELECT row_id, arg_max(term, w) AS term, list_sort(list(w), 'DESC') AS ws FROM weights GROUP BY row_id HAVING count(*) >= 2)

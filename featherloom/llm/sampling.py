@@ -88,7 +88,8 @@ def sample_by_targets(df: DataFrame, targets: DataFrame, id_col: str, key: str,
     ranked. Prefixes are so fine that about cut_rows rows of the largest category share one, whatever its size.
 
     rows: (id, category). report: one row per target with available, wanted (its share of the sample, not rounded, as
-    weight x rows / (one_in x sum of weights)), quota, and short: available is under wanted or under least.
+    weight x rows / (one_in x sum of weights)), quota, short: available is under wanted or under least, missing: how far the quota stays under wanted, as floors of others or too few rows leave no more,
+    and extra: how far it goes over, for the floor's sake or in place of others. Where the floors alone exceed the sample, the quotas are the floors and their sum is more than one in one_in.
     Rows without a category, with null names or keys, are left out. Repeated ids have equal keys and are ranked in any
     order. An empty table gives no rows and a report in which every target of a positive share is short.
     """
@@ -106,7 +107,7 @@ def sample_by_targets(df: DataFrame, targets: DataFrame, id_col: str, key: str,
     report = spark.createDataFrame(
         [(k, counts.get(k, 0), w * rows / (total * one_in), m, quota[k], counts.get(k, 0) * total * one_in < w * rows or counts.get(k, 0) < m) for k, w, m in listed],
         "category long, available long, wanted double, least long, quota long, short boolean",
-    )
+    ).withColumns({"missing": F.greatest(F.col("wanted") - F.col("quota"), F.lit(0.0)), "extra": F.greatest(F.col("quota") - F.col("wanted"), F.lit(0.0))})
     digits = 1
     while max(counts.values(), default=0) > cut_rows * 16**digits:
         digits += 1

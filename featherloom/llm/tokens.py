@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featherloom.llm.texts import ident
+
 #: Fixed value: the pattern that splits a text before the merges, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -124,7 +126,7 @@ class Codec:
         return b"".join(buffer[offsets[k] : offsets[k + 1]] for k in ids).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
 
 
 def _codec(file) -> Codec:
@@ -138,11 +140,9 @@ class _File:
     """The rank file in a broadcast, under a key of its content."""
 
     def __init__(self, spark, path: str):
-        import zlib
-
         with open(path, "rb") as f:
             raw = f.read()
-        self.id, self._sent = zlib.crc32(raw), spark.sparkContext.broadcast(raw)
+        self.id, self._sent = ident(raw), spark.sparkContext.broadcast(raw)
 
     @property
     def value(self) -> bytes:

@@ -97,6 +97,13 @@ def test_quotas():
         assert sum(q.values()) == max(low, min(size, high))
 
 
+def test_report_says_what_is_missing(spark):
+    df = spark.createDataFrame([(i, 1 if i < 20 else 2, None) for i in range(1000)], "id long, category int, name string")
+    targets = spark.createDataFrame([(1, "one", 5000, 2), (2, "two", 5000, 1), (3, "three", 0, 4)], "category int, name string, weight int, least int")
+    report = {r.category: (r.quota, r.short, r.missing, r.extra) for r in sampling.sample_by_targets(df, targets, "id", "category", "name", "weight", "least").report.collect()}
+    assert report == {1: (20, True, 30.0, 0.0), 2: (80, False, 0.0, 30.0), 3: (0, True, 0.0, 0.0)}
+
+
 def test_sample_takes_the_smallest_keys(spark):
     import hashlib
 
