@@ -115,10 +115,10 @@ def proxy_score(df: DataFrame, features: list[str], label: str, row_id: str, tas
         codes = ordinal_codes(rows, label).select(F.col("value").alias("_value"), F.col("code").cast("double").alias("target"))
         rows = rows.join(codes, F.col(f"`{label}`") == F.col("_value")).drop("_value")
         dealt = stratified_folds(rows, "target", row_id, folds, seed)
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     else:
         dealt = rows.withColumn("target", F.col(f"`{label}`").cast("double")).join(kfold(rows.select(row_id), row_id, folds, seed), row_id)
-        model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
+        model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     found = cross_validate(dealt, features, "target", row_id, {"rf": lambda rows=None: model}, task=task, folds=list(range(folds)))
     return metrics.primary_score(found, "rf", task).first()["score"] if dealt.limit(1).count() else None
 

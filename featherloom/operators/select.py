@@ -192,7 +192,7 @@ def importance_scores(df: DataFrame, features: list[str], label: str, task: str
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
-    model = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(numTrees=trees, maxDepth=depth, seed=seed)
+    model = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     return _scored(df, features, model.fit(_vector(df, features, label)).featureImportances.toArray())
 
 

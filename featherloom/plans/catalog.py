@@ -699,6 +699,15 @@ def _cross_validated(model: str):
 _Q |= {"cv_logreg": _cross_validated("logreg"), "cv_forest": _cross_validated("rf")}
 
 
+@query()
+def candidate_score(spark, d):
+    """What a search does with one candidate: its program is compiled and judged by the proxy score, two folds and 60 trees, of the intents."""
+    source = "def modify_features(df_input):\n    df = df_input.copy()\n    df['per_token'] = df['n_chars'] / (df['n_tokens'] + 1)\n    df['scaled'] = StandardScaler().fit_transform(df[['avg_word_len']])\n    df['by_source'] = df.groupby('source')['n_tokens'].transform('mean')\n    return df\n"
+    made = FeatureProgram(source).apply(features(spark, d).select("row_id", "source", "intent_id", *LEX))
+    score = evaluate.proxy_score(made, [*LEX, "per_token", "scaled", "by_source"], "intent_id", "row_id")
+    return spark.createDataFrame([(score,)], "score double")
+
+
 @query()
 def cv_ridge(spark, d):
     rows = split.kfold(table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.datediff("o_orderdate", F.lit("1992-01-01")).alias("day"), F.col("o_custkey").alias("customer")), "o_orderkey", FOLDS)
