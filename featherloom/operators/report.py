@@ -164,3 +164,10 @@ def call_stats(calls: DataFrame, by: list[str]) -> DataFrame:
     both = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
     done = F.coalesce("ok", F.lit(False))
     return calls.groupBy(*by).agg(zero("prompt_tokens").alias("prompt_tokens"), zero("completion_tokens").alias("completion_tokens"), F.sum(both).alias("total_tokens"), F.count_if(done).alias("requests"), F.count_if(~done).alias("failures"), zero("latency_s").alias("latency_s"))
+
+
+def attribution(scores: DataFrame, k: int = 20) -> DataFrame:
+    """(rank, feature, score, share, kind) of the k features of the highest importance, from (feature, score): what each adds to the whole, and what its name says of it. Ties by name; there is one row a feature."""
+    total = scores.agg(F.sum("score").alias("_total"))
+    best = scores.crossJoin(F.broadcast(total)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "feature"))).filter(F.col("rank") <= k)
+    return best.select("rank", "feature", "score", F.try_divide("score", "_total").alias("share"), rationale_kind(F.col("feature")).alias("kind"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from featherloom.operators.budget import within_budget
 from featherloom.operators.buffer import BufferConfig, draw_parents, reset
 from featherloom.operators.prompt import Frame, render
+from featherloom.operators.chat import Chat
 from featherloom.operators.program import FeatureProgram, UnsupportedProgram, calls_ancestor, canonical, program_of, strip_to_body, trim_body
 
 
@@ -55,7 +56,7 @@ class Mutation:
 
 
 #: Kinds of sources by name.
-SOURCES = {"replay": Replay, "mutation": Mutation}
+SOURCES = {"replay": Replay, "mutation": Mutation, "chat": Chat}
 
 
 def make_source(kind: str, **options) -> CandidateSource:

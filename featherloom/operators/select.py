@@ -187,13 +187,25 @@ def lasso_scores(df: DataFrame, features: list[str], label: str, task: str = "cl
     return _scored(df, features, weights)
 
 
-def importance_scores(df: DataFrame, features: list[str], label: str, task: str = "classification", trees: int = 80, depth: int = 6, seed: int = 42) -> DataFrame:
-    """(feature, score): importances of one fit of a forest; nothing is eliminated step by step."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.regression import RandomForestRegressor
+def importance_scores(df: DataFrame, features: list[str], label: str, task: str = "classification", trees: int = 80, depth: int = 6, seed: int = 42, model: str = "forest") -> DataFrame:
+    """(feature, score): importances of one fit of a forest or a booster; nothing is eliminated step by step.
 
-    model = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
-    return _scored(df, features, model.fit(_vector(df, features, label)).featureImportances.toArray())
+    Of a booster for more than two classes, the mean of those of each class against the rest.
+    """
+    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    rows, size = _vector(df, features, label), {"maxDepth": depth, "seed": seed, "maxMemoryInMB": 1024}
+    if model == "forest":
+        fitted = (RandomForestClassifier if task == "classification" else RandomForestRegressor)(numTrees=trees, **size).fit(rows)
+        return _scored(df, features, fitted.featureImportances.toArray())
+    if task == "regression":
+        return _scored(df, features, GBTRegressor(maxIter=trees, stepSize=0.1, **size).fit(rows).featureImportances.toArray())
+    booster = GBTClassifier(maxIter=trees, stepSize=0.1, **size)
+    if (rows.agg(F.max("label")).first()[0] or 0) <= 1:
+        return _scored(df, features, booster.fit(rows).featureImportances.toArray())
+    each = [m.featureImportances.toArray() for m in OneVsRest(classifier=booster, parallelism=4).fit(rows).models]
+    return _scored(df, features, sum(each) / len(each))
 
 
 def lasso_l1(df: DataFrame, features: list[str], label: str, k: int = 30, **options) -> list[str]:

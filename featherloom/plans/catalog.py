@@ -599,6 +599,14 @@ def call_stats(spark, d):
     return report.call_stats(calls, ["family"]).withColumn("latency_s", F.round("latency_s", 4))
 
 
+@query("""WITH s AS (SELECT p_name AS feature, avg(p_retailprice) AS score FROM part GROUP BY p_name)
+SELECT rank, feature, round(score, 6) AS score, round(score / (SELECT sum(score) FROM s), 6) AS share, CASE WHEN starts_with(lower(feature), 'tfidf_') THEN 'term weight' WHEN lower(feature) LIKE '%ratio%' THEN 'ratio' WHEN lower(feature) LIKE '%log%' THEN 'log scale' WHEN regexp_matches(lower(feature), 'times|_x_|_mul_') THEN 'interaction' WHEN lower(feature) LIKE '%diff%' THEN 'difference' WHEN regexp_matches(lower(feature), 'ner|entity') THEN 'entities' WHEN regexp_matches(lower(feature), 'question|qword') THEN 'question' WHEN regexp_matches(lower(feature), 'length|n_tokens|n_chars') THEN 'length' ELSE 'other' END AS kind
+FROM (SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature)::INTEGER AS rank FROM s) WHERE rank <= 20""")
+def attribution(spark, d):
+    scores = table(spark, d, "part").groupBy(F.col("p_name").alias("feature")).agg(F.avg("p_retailprice").alias("score"))
+    return r6(report.attribution(scores), "score", "share")
+
+
 # -- sources and sinks: what is written is read again -----------------------------------------------------------------
 @query("SELECT n_nationkey, n_name, n_regionkey, (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS row_id FROM nation")
 def source_csv(spark, d):

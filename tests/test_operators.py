@@ -195,6 +195,20 @@ def test_selectors_keep_columns(spark, name):
         assert len(set(kept) & {"f0", "f1", "f2", "f3"}) == 4
 
 
+def test_importance_of_boosters(spark):
+    df, names = toy(spark)
+    df = df.withColumn("three", (F.col("f0") > 0).cast("int") + (F.col("f1") > 0).cast("int"))
+    for label, task in (("y", "classification"), ("three", "classification"), ("f0", "regression")):
+        scores = select.importance_scores(df, names, label, task, trees=3, depth=2, model="booster")
+        assert scores.count() == 12 and scores.agg(F.sum("score")).first()[0] == pytest.approx(1)
+    assert report.attribution(scores, 3).orderBy("rank").first().feature == "f0" and report.attribution(scores.limit(0)).count() == 0
+
+
+def test_columns_of_both(spark):
+    a, b = spark.createDataFrame([(1, 2, 3)], "x int, y int, z int"), spark.createDataFrame([(1, 2)], "z int, x int")
+    assert encode.aligned_columns(a, b) == ["x", "z"]
+
+
 def test_variance_falls_back_to_all(spark):
     df = spark.createDataFrame([(1.0, 2.0)] * 3, "a double, b double")
     assert select.variance_threshold(df, ["a", "b"]) == ["a", "b"]
@@ -329,6 +343,38 @@ def test_prompts(tmp_path):
     assert make_source("mutation", columns=["a"], key="dropped").columns == ["a"]
 
 
+def test_chat_tries_again(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    turns, seen, waits = iter([429, 503, 200, 400, 200, 500, 500, 500]), [], []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            code = next(turns)
+            self.send_response(code)
+            if code == 429:
+                self.send_header("Retry-After", "7")
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "def f(df): return df"}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2}}).encode() if code == 200 else b"no")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    chat = make_source("chat", url=f"http://127.0.0.1:{server.server_port}/", model_id="m", system="s", attempts=3, sleep=waits.append, other=1)
+    assert chat.sample("p", [], 4) == ["def f(df): return df"] * 2 and waits == [7.0, 2.0, 1.0, 2.0]
+    assert seen[0]["messages"] == [{"role": "system", "content": "s"}, {"role": "user", "content": "p"}]
+    row = report.call_stats(chat.table(spark), ["model_id"]).first()
+    assert (row.prompt_tokens, row.completion_tokens, row.total_tokens, row.requests, row.failures) == (10, 4, 14, 2, 2)
+    server.shutdown()
+    gone = make_source("chat", url=f"http://127.0.0.1:{server.server_port}/", model_id="m", attempts=2, sleep=waits.append, timeout_s=1)
+    server.server_close()
+    assert gone.sample("p", [], 1) == [] and not gone.calls[0]["ok"]
+
+
 def test_work_has_a_budget(spark):
     import time
 
