@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featherloom.operators.order import running_total
+from featherloom.session import materialize
+
 #: Encodings of one byte a character that a text may have been read with, or written in. Each also reads the bytes it
 #: leaves open, and each reads C1 controls, as control characters, as lenient readers do.
 SINGLE = ("cp1252", "cp1250", "cp1251", "cp1254", "iso8859_15", "iso8859_2", "mac_roman", "cp437", "cp850", "cp866", "koi8_r")
@@ -176,6 +179,53 @@ def _count_pairs(sent):
     return run
 
 
+def weights(codes: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, total: int) -> np.ndarray:
+    """The share of each pair in the corpus's mutual information, 0 at least. What is seen once or twice says nothing and weighs nothing."""
+    some = counts >= 3
+    n, sides = counts[some].astype(float), (left[codes[some] >> 21], right[codes[some] & 0x1FFFFF])
+    out = np.zeros(len(codes))
+    out[some] = np.maximum(0.0, n / total * np.log2(n / sides[0] * (total / sides[1])))
+    return out
+
+
+@dataclass(frozen=True)
+class Sums:
+    """What is known of all pairs together: how often each code point is the left and the right one of a pair, the number of pairs, and the weight under which a pair is improbable.
+
+    That weight is measured: the pairs beyond ASCII of smaller weights make up a given part of all such pairs, at any size and in any scripts. Pairs that weigh nothing are always improbable.
+    """
+
+    left: np.ndarray
+    right: np.ndarray
+    total: int
+    least: float
+
+
+def corpus_sums(pairs: DataFrame, doubted: float = 0.115) -> Sums:
+    """Sums of (code, n). At most one number a code point, twice, reaches the driver."""
+
+    def side(number: str) -> np.ndarray:
+        table = pairs.groupBy(F.expr(number).alias("char")).agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(0x110000, np.int64)
+        out[table["char"].to_numpy()] = table["n"].to_numpy()
+        return out
+
+    left, right = side("shiftright(code, 21)"), side("code & 2097151L")
+    total = max(1, int(left.sum()))
+    sent = pairs.sparkSession.sparkContext.broadcast((left, right))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, counts = (batch.column(k).to_numpy() for k in range(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights(codes, counts, *sent.value, total))], names=["code", "n", "weight"])
+
+    beyond = pairs.select("code", "n").filter("shiftright(code, 21) >= 128 OR code & 2097151L >= 128").mapInArrow(weigh, "code long, n long, weight double")
+    placed = running_total(beyond, ["weight", "code"], "n")
+    n, lightest = placed.agg(F.sum("n"), F.min(F.when(F.col("weight") > 0, F.col("weight")))).first()
+    cut = placed.filter(F.col("before") + F.col("n") >= F.lit(doubted * (n or 0))).agg(F.min("weight")).first()[0]
+    return Sums(left, right, total, max(cut or 0.0, lightest or 1e-4))
+
+
 class PairModel:
     """What the corpus says of two neighbouring characters.
 
@@ -184,33 +234,14 @@ class PairModel:
     do: a letter that always stands for another is bound to the neighbours of that other just as firmly.)
     """
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, doubted: float = 0.115):
-        """codes are the sorted numbers of the pairs (see _count_pairs): 16 bytes a pair in all, so that every pair is kept.
-
-        A pair is improbable under a weight that is measured: the pairs beyond ASCII of smaller weights make up the part ``doubted`` of all such pairs, at any size and in any scripts. Pairs seen once or twice weigh nothing and are always improbable.
-        """
-        self.codes, self.counts, self.total = codes, counts, max(1, int(counts.sum()))
-        self.left, self.right = (self._sums(part) for part in (codes >> 21, codes & 0x1FFFFF))
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, sums: Sums):
+        """codes and counts are those of all pairs that are asked for; a pair that isn't there counts as never seen."""
+        order = np.argsort(codes)
+        self.codes, self.counts, self.sums, self.total, self.least = codes[order], counts[order], sums, sums.total, sums.least
         self.n: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.utf8: dict[tuple[str, str, str], str | None] = {}
         self.single: dict[tuple[str, str, str], list[tuple[tuple[str, str], float, str]]] = {}
-        self.least = 1e-4  # of a corpus without such pairs
-        beyond = np.flatnonzero((codes >> 21 >= 128) | (codes & 0x1FFFFF >= 128))
-        if len(beyond):
-            sums = [np.array([of[chr(c)] for c in part[beyond]]) for of, part in ((self.left, codes >> 21), (self.right, codes & 0x1FFFFF))]
-            n = counts[beyond]
-            weights = np.where(n >= 3, np.maximum(0.0, n / self.total * np.log2(n * self.total / (sums[0] * sums[1]))), 0.0)
-            order = np.argsort(weights)
-            upto = np.cumsum(n[order])
-            some = weights[weights > 0]
-            self.least = max(float(weights[order][np.searchsorted(upto, doubted * upto[-1])]), float(some.min()) if len(some) else 1e-4)
-
-    def _sums(self, chars: np.ndarray) -> Counter[str]:
-        found, at = np.unique(chars, return_inverse=True)
-        sums = np.zeros(len(found), np.int64)
-        np.add.at(sums, at, self.counts)
-        return Counter(dict(zip(map(chr, found.tolist()), sums.tolist())))
 
     def count(self, pair: str) -> int:
         found = self.n.get(pair)
@@ -228,10 +259,8 @@ class PairModel:
             return -1.0
         found = self.scores.get(pair)
         if found is None:
-            n = self.count(pair)
-            weight = 0.0
-            if n >= 3:  # what is seen once or twice says nothing
-                weight = max(0.0, n / self.total * math.log2(n * self.total / (self.left[pair[0]] * self.right[pair[1]])))
+            code = np.array([ord(pair[0]) << 21 | ord(pair[1])], np.int64)
+            weight = float(weights(code, np.array([self.count(pair)], np.int64), self.sums.left, self.sums.right, self.total)[0])
             if len(self.scores) >= 300_000:
                 self.scores.clear()
             found = self.scores[pair] = max(-8.0, min(8.0, math.log2(self.least / max(weight, 1e-12))))
@@ -242,7 +271,8 @@ class PairModel:
         return sum(math.log2(self.total / (self.count(a + b) + 0.5)) for a, b in zip(text, text[1:]))
 
     def known(self, text: str, least: int = 3) -> bool:
-        return all(self.left[c] + self.right[c] >= least for c in text)
+        left, right = self.sums.left, self.sums.right
+        return all(left[ord(c)] + right[ord(c)] >= least for c in text)
 
 
 def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
@@ -333,16 +363,39 @@ def _best_utf8(before: str, stretch: str, after: str, model: PairModel, depth: i
     return next((x for x in (best, told, many) if x is not None), None)
 
 
-def _rereadings(before: str, stretch: str, after: str, model: PairModel) -> list[tuple[tuple[str, str], float, str]]:
-    """((read as, written in), bits gained, stretch) of each other reading that gains any."""
-    found, now_bits = [], model.bits(before + stretch + after)
+def reread(stretch: str) -> Iterator[tuple[tuple[str, str], str]]:
+    """((read as, written in), stretch) of each two encodings of one byte a character."""
     for wrong in SINGLE:
         table = BYTES[wrong]
         for right in SINGLE:
             chars = CHARS[right]
-            now = "".join(chars.get(table[c], c) if c in table else c for c in stretch)
-            if now != stretch and model.known(now) and (more := now_bits - model.bits(before + now + after)) > 0:
-                found.append(((wrong, right), more, now))
+            yield (wrong, right), "".join(chars.get(table[c], c) if c in table else c for c in stretch)
+
+
+def _codes_of(texts: set[str]) -> frozenset[int]:
+    return frozenset(ord(a) << 21 | ord(b) for t in texts for a, b in zip(t, t[1:]))
+
+
+@lru_cache(maxsize=100_000)
+def _reading_codes(before: str, stretch: str, after: str, depth: int = 3) -> frozenset[int]:
+    """The numbers of all pairs that any reading of a stretch has."""
+    readings = {stretch, *(now for _, now in reread(stretch))}
+    for encoding in (*READ_AS, *DOUBLE):
+        now = stretch
+        for _ in range(depth):
+            now, found = undo_utf8(now, encoding)
+            if not found:
+                break
+            readings.add(now)
+    return _codes_of({before + r + after for r in readings})
+
+
+def _rereadings(before: str, stretch: str, after: str, model: PairModel) -> list[tuple[tuple[str, str], float, str]]:
+    """((read as, written in), bits gained, stretch) of each other reading that gains any."""
+    found, now_bits = [], model.bits(before + stretch + after)
+    for pair, now in reread(stretch):
+        if now != stretch and model.known(now) and (more := now_bits - model.bits(before + now + after)) > 0:
+            found.append((pair, more, now))
     return found
 
 
@@ -401,31 +454,75 @@ def restore(text: str, model: PairModel, chars: Chars, enough: float = 10.0, cle
 _OUT = pa.schema([("id", pa.int64()), ("restored", pa.string()), ("stretches", pa.int64()), ("lost", pa.int64())])
 
 
-def _restore(sent, sent_chars):
+def _judged(ids: list, texts: list, model: PairModel, chars: Chars) -> list[pa.Array]:
+    out: list[list] = [[], [], [], []]
+    for row, text in zip(ids, texts):
+        now, fixed, lost = restore(text, model, chars)
+        if fixed or lost:
+            for column, value in zip(out, (row, now, fixed, lost)):
+                column.append(value)
+    return [pa.array(x, f.type) for x, f in zip(out, _OUT)]
+
+
+def _restore(sent, sent_sums, sent_chars):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, chars = PairModel(*sent.value, sent_sums.value), Chars(sent_chars.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_judged(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model, chars), schema=_OUT)
+
+    return run
+
+
+def _needed(readings: bool):
+    """(code, chunk) of the pairs beyond ASCII of the texts of a chunk, with ``readings`` also of those that any reading of their stretches has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, chars = PairModel(*sent.value), Chars(sent_chars.value)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                now, fixed, lost = restore(text, model, chars)
-                if fixed or lost:
-                    for column, value in zip(out, (row, now, fixed, lost)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _OUT)], schema=_OUT)
+            found: dict[int, set[int]] = {}
+            for text, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = found.setdefault(chunk, set())
+                for m in STRETCH.finditer(text):
+                    key = text[max(0, m.start() - 1) : m.start()], m[0], text[m.end() : m.end() + 1]
+                    own |= _reading_codes(*key) if readings else _codes_of({"".join(key)})
+            codes = [c for own in found.values() for c in own]
+            chunks = [k for k, own in found.items() for _ in own]
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(chunks, pa.int64())], names=["code", "chunk"])
 
     return run
 
 
-def pair_table(texts: DataFrame, sent_chars=None) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted numbers, counts) of all pairs of neighbouring characters, however many; what the driver can't hold is an error."""
+def _in_chunks(rows: DataFrame, pairs: DataFrame, sent_sums, sent_chars, chunk_rows: int) -> DataFrame:
+    """garbled without the table of all pairs in any task: each chunk of texts gets the counts of the pairs that it asks for, by a join.
+
+    First those of its own pairs, which tell the texts with improbable runs; then, of these alone, those of all readings.
+    """
+    docs = materialize(rows.withColumn("chunk", F.floor(F.monotonically_increasing_id() / chunk_rows).cast("long")))
+
+    def with_counts(docs: DataFrame, readings: bool):
+        wanted = docs.select("text", "chunk").mapInArrow(_needed(readings), "code long, chunk long").distinct()
+        return docs.groupBy("chunk").cogroup(wanted.join(pairs, "code").select("chunk", "code", "n").groupBy("chunk"))
+
+    def model_of(table: pa.Table) -> PairModel:
+        return PairModel(table["code"].to_numpy(), table["n"].to_numpy(), sent_sums.value)
+
+    def touched(texts: pa.Table, table: pa.Table) -> pa.Table:
+        model = model_of(table)
+        return texts.filter(pa.array([LOST in t or bool(_within(t, model)) for t in texts["text"].to_pylist()], pa.bool_()))
+
+    def judged(texts: pa.Table, table: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(_judged(texts["id"].to_pylist(), texts["text"].to_pylist(), model_of(table), Chars(sent_chars.value)), schema=_OUT)
+
+    some = materialize(with_counts(docs, False).applyInArrow(touched, "id long, text string, chunk long"))
+    return with_counts(some, True).applyInArrow(judged, "id long, restored string, stretches long, lost long")
+
+
+def pair_table(texts: DataFrame, sent_chars=None) -> DataFrame:
+    """(code, n) of all pairs of neighbouring characters, however many."""
     sent_chars = sent_chars or texts.sparkSession.sparkContext.broadcast(char_counts(texts))
-    table = texts.mapInArrow(_count_pairs(sent_chars), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    codes, counts = (table[c].to_numpy() for c in ("code", "n"))
-    order = np.argsort(codes)
-    return codes[order], counts[order]
+    return materialize(texts.mapInArrow(_count_pairs(sent_chars), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
 
 
-def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def garbled(df: DataFrame, id_col: str, text: str, table_pairs: int = 4_000_000, chunk_rows: int = 2_000) -> DataFrame:
     """(id, restored, stretches, lost) of each text that has a stretch of wrongly decoded characters.
 
     The characters of all texts are counted, then neighbouring ones, without stretches that some inverse reading finds UTF-8 in (see Chars), so that
@@ -433,13 +530,19 @@ def garbled(df: DataFrame, id_col: str, text: str) -> DataFrame:
     them (see PairModel, runs and restore). restored has what could be read back, stretches says how many were; lost
     counts replacement characters, whose originals are gone and which stay as they are.
 
-    The counts of all code points (9 MB) and the table of all pairs, 16 bytes a pair, are sent to the tasks. Null and empty texts have no rows; rows of equal
-    ids are judged each by itself. Texts are whole in one task and nothing but counts is shuffled.
+    Every task gets three numbers for each code point there is (27 MB) and the counts of up to table_pairs pairs, 16 bytes each. Of more pairs, no task gets
+    all: texts in chunks are joined with the counts that they ask for, which gives the same rows. Null and empty texts have no rows; rows of
+    equal ids are judged each by itself. In the usual way texts are whole in one task and nothing but counts is shuffled.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     send = df.sparkSession.sparkContext.broadcast
     sent_chars = send(char_counts(rows.select("text")))
-    sent = send(pair_table(rows.select("text"), sent_chars))
+    pairs = pair_table(rows.select("text"), sent_chars)
+    sent_sums = send(corpus_sums(pairs))
     # ASCII reads the same in all encodings here
     beyond = rows.filter(F.octet_length("text") != F.length("text"))
-    return beyond.mapInArrow(_restore(sent, sent_chars), "id long, restored string, stretches long, lost long")
+    if pairs.count() > table_pairs:
+        return _in_chunks(beyond, pairs, sent_sums, sent_chars, chunk_rows)
+    table = pairs.toArrow()  # at most table_pairs rows
+    sent = send((table["code"].to_numpy(), table["n"].to_numpy()))
+    return beyond.mapInArrow(_restore(sent, sent_sums, sent_chars), "id long, restored string, stretches long, lost long")

@@ -146,7 +146,7 @@ _CONTENT = r"""
 
 _INTENTS = r"""
   named AS (SELECT intent_id, regexp_replace(lower(intent_name), '[\s\p{Z}_-]+', '', 'g') AS plain FROM intent_targets),
-  rows_of AS (SELECT coalesce(t.intent_id, n.intent_id) AS intent_id FROM features f
+  rows_of AS (SELECT f.row_id, coalesce(t.intent_id, n.intent_id) AS intent_id FROM features f
     LEFT JOIN intent_targets t ON f.intent_id = t.intent_id
     LEFT JOIN named n ON n.plain = regexp_replace(lower(f.intent_name), '[\s\p{Z}_-]+', '', 'g')
     WHERE coalesce(t.intent_id, n.intent_id) IS NOT NULL),
@@ -162,8 +162,24 @@ _SHARED = r"""texts AS (SELECT program_id, function AS text FROM sample UNION AL
   near AS (SELECT a, b, c.n = x.n AND c.n = y.n AS same FROM common c JOIN sizes x ON x.program_id = a JOIN sizes y ON y.program_id = b WHERE c.n * 10 >= 6 * (x.n + y.n - c.n))"""
 
 
+# the scale at which the quotas sum to the sample by bisection, then the largest remainders
+_QUOTAS = f"""{_INTENTS},
+  t AS (SELECT t.intent_id AS k, coalesce(target_bp, 0) AS w, coalesce(min_rows, 0)::BIGINT AS least_rows, coalesce(available, 0)::BIGINT AS high, least(coalesce(min_rows, 0), coalesce(available, 0)) AS low FROM intent_targets t LEFT JOIN counted c USING (intent_id)),
+  size AS (SELECT least((2 * r + 10) // 20, (SELECT sum(high) FROM t)) AS want, r FROM total),
+  scale AS (SELECT 0 AS step, 0.0::DOUBLE AS lo, (SELECT max(high) + 1 FROM t)::DOUBLE AS hi UNION ALL
+    SELECT step + 1, CASE WHEN (SELECT sum(least(greatest((lo + hi) / 2 * w, low), high)) FROM t) < (SELECT want FROM size) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN (SELECT sum(least(greatest((lo + hi) / 2 * w, low), high)) FROM t) < (SELECT want FROM size) THEN hi ELSE (lo + hi) / 2 END
+    FROM scale WHERE step < 100),
+  exact AS (SELECT t.*, least(greatest((SELECT hi FROM scale WHERE step = 100) * w, low), high) AS x FROM t),
+  whole AS (SELECT *, floor(x + 1e-9)::BIGINT AS q FROM exact),
+  quotas AS (SELECT k, w, least_rows, high, q + CASE WHEN q < high AND row_number() OVER (PARTITION BY q < high ORDER BY q - x, k) <= (SELECT want FROM size) - sum(q) OVER () THEN 1 ELSE 0 END AS quota FROM whole)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_sample": f"""WITH RECURSIVE {_QUOTAS}, placed AS (SELECT row_id, intent_id, row_number() OVER (PARTITION BY intent_id ORDER BY md5('42:' || row_id), row_id) AS place FROM rows_of)
+SELECT row_id, intent_id FROM placed JOIN quotas ON k = intent_id WHERE place <= quota""",
+        "p3_report": f"""WITH RECURSIVE {_QUOTAS}, wanted AS (SELECT *, w * (SELECT r FROM size) / ((SELECT sum(w) FROM t) * 10)::DOUBLE AS wanted FROM quotas)
+SELECT k AS intent_id, high AS available, wanted, least_rows AS least, quota::BIGINT AS quota, high * 100000 < w * (SELECT r FROM size) OR high < least_rows AS short, round(greatest(wanted - quota, 0), 6) AS missing, round(greatest(quota - wanted, 0), 6) AS extra FROM wanted""",
         "p1_terms": f"WITH {_TERMS} SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size",
         "p1_found": f"WITH {_TERMS} SELECT term, {_MARK} AS mark FROM counts, size WHERE {_MARK} IS NOT NULL",
         "p2_coverage": r"""WITH texts AS (SELECT row_id, trim(lower(source_split)) = 'train' AS train, CASE WHEN source = 'web_form' THEN regexp_split_to_array(lower(query), '[;|\n\r]') ELSE [lower(query)] END AS units

@@ -412,13 +412,25 @@ def test_misread_characters_that_the_corpus_never_has(spark):
 
 
 def test_every_pair_of_characters_is_kept(spark):
+    import numpy as np
     import pandas as pd
 
     texts = [chr(0x4E00 + k // 600) + chr(0x4E00 + k % 600) for k in range(320_000)] + ["né"] * 3
-    codes, counts = garbled.pair_table(spark.createDataFrame(pd.DataFrame({"text": texts})))
-    assert len(codes) == 320_001 and counts.sum() == 320_003
-    model = garbled.PairModel(codes, counts)
+    pairs = garbled.pair_table(spark.createDataFrame(pd.DataFrame({"text": texts})))
+    table, sums = pairs.toPandas(), garbled.corpus_sums(pairs)
+    assert len(table) == 320_001 and sums.total == table["n"].sum() == 320_003
+    model = garbled.PairModel(table["code"].to_numpy(), table["n"].to_numpy(), sums)
     assert model.count("né") == 3 and model.known("né") and model.count("én") == 0
+    order = np.argsort(w := garbled.weights(table["code"].to_numpy(), table["n"].to_numpy(), sums.left, sums.right, sums.total))
+    assert sums.least == max(w[order][np.searchsorted(np.cumsum(table["n"].to_numpy()[order]), 0.115 * sums.total)], w[w > 0].min())
+
+
+def test_garbled_text_without_the_table_of_pairs(spark, sf_dir):
+    odd = [(10**6 + k, t) for k, t in enumerate([None, "", "é", "Ã©", "lost \ufffd", "caf\u8305 x", "Â¡", "\U0001f680", "cafÃ© " * 200])]
+    df = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(odd, "i long, t string"))
+    want = {tuple(r) for r in garbled.garbled(df, "doc_id", "text").collect()}
+    got = [tuple(r) for r in garbled.garbled(df, "doc_id", "text", table_pairs=0, chunk_rows=7).collect()]
+    assert set(got) == want and len(got) == len(want) > 5
 
 
 def test_weights_and_scores_by_hand(spark):
