@@ -117,6 +117,18 @@ class Chars:
         return False
 
 
+def packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of code points without those that are 0: what is sent to the tasks."""
+    seen = np.flatnonzero(counts)
+    return seen, counts[seen]
+
+
+def unpacked(sent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(0x110000, np.int64)
+    out[sent[0]] = sent[1]
+    return out
+
+
 def char_counts(texts: DataFrame) -> np.ndarray:
     """Occurrences of each code point: at most one row for each that there is."""
 
@@ -139,7 +151,7 @@ def _count_pairs(sent):
     """Counts of neighbouring characters, numbered as left << 21 | right, without pairs that touch a suspect stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suspect = Chars(sent.value).suspect
+        suspect = Chars(unpacked(sent.value)).suspect
         plain = np.zeros(1 << 14, np.int64)  # both of ASCII
         others: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
@@ -200,6 +212,13 @@ class Sums:
     total: int
     least: float
 
+    def __reduce__(self):
+        return _sums, (packed(self.left), packed(self.right), self.total, self.least)
+
+
+def _sums(left: tuple, right: tuple, total: int, least: float) -> Sums:
+    return Sums(unpacked(left), unpacked(right), total, least)
+
 
 def corpus_sums(pairs: DataFrame, doubted: float = 0.115) -> Sums:
     """Sums of (code, n). At most one number a code point, twice, reaches the driver."""
@@ -212,12 +231,13 @@ def corpus_sums(pairs: DataFrame, doubted: float = 0.115) -> Sums:
 
     left, right = side("shiftright(code, 21)"), side("code & 2097151L")
     total = max(1, int(left.sum()))
-    sent = pairs.sparkSession.sparkContext.broadcast((left, right))
+    sent = pairs.sparkSession.sparkContext.broadcast((packed(left), packed(right)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = [unpacked(x) for x in sent.value]
         for batch in batches:
             codes, counts = (batch.column(k).to_numpy() for k in range(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights(codes, counts, *sent.value, total))], names=["code", "n", "weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights(codes, counts, *sides, total))], names=["code", "n", "weight"])
 
     beyond = pairs.select("code", "n").filter("shiftright(code, 21) >= 128 OR code & 2097151L >= 128").mapInArrow(weigh, "code long, n long, weight double")
     placed = running_total(beyond, ["weight", "code"], "n")
@@ -466,7 +486,7 @@ def _judged(ids: list, texts: list, model: PairModel, chars: Chars) -> list[pa.A
 
 def _restore(sent, sent_sums, sent_chars):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, chars = PairModel(*sent.value, sent_sums.value), Chars(sent_chars.value)
+        model, chars = PairModel(*sent.value, sent_sums.value), Chars(unpacked(sent_chars.value))
         for batch in batches:
             yield pa.RecordBatch.from_arrays(_judged(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model, chars), schema=_OUT)
 
@@ -510,7 +530,7 @@ def _in_chunks(rows: DataFrame, pairs: DataFrame, sent_sums, sent_chars, chunk_r
         return texts.filter(pa.array([LOST in t or bool(_within(t, model)) for t in texts["text"].to_pylist()], pa.bool_()))
 
     def judged(texts: pa.Table, table: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays(_judged(texts["id"].to_pylist(), texts["text"].to_pylist(), model_of(table), Chars(sent_chars.value)), schema=_OUT)
+        return pa.Table.from_arrays(_judged(texts["id"].to_pylist(), texts["text"].to_pylist(), model_of(table), Chars(unpacked(sent_chars.value))), schema=_OUT)
 
     some = materialize(with_counts(docs, False).applyInArrow(touched, "id long, text string, chunk long"))
     return with_counts(some, True).applyInArrow(judged, "id long, restored string, stretches long, lost long")
@@ -518,7 +538,7 @@ def _in_chunks(rows: DataFrame, pairs: DataFrame, sent_sums, sent_chars, chunk_r
 
 def pair_table(texts: DataFrame, sent_chars=None) -> DataFrame:
     """(code, n) of all pairs of neighbouring characters, however many."""
-    sent_chars = sent_chars or texts.sparkSession.sparkContext.broadcast(char_counts(texts))
+    sent_chars = sent_chars or texts.sparkSession.sparkContext.broadcast(packed(char_counts(texts)))
     return materialize(texts.mapInArrow(_count_pairs(sent_chars), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
 
 
@@ -530,13 +550,13 @@ def garbled(df: DataFrame, id_col: str, text: str, table_pairs: int = 4_000_000,
     them (see PairModel, runs and restore). restored has what could be read back, stretches says how many were; lost
     counts replacement characters, whose originals are gone and which stay as they are.
 
-    Every task gets three numbers for each code point there is (27 MB) and the counts of up to table_pairs pairs, 16 bytes each. Of more pairs, no task gets
+    Every task gets three numbers for each code point that the texts have (27 MB if they have all) and the counts of up to table_pairs pairs, 16 bytes each. Of more pairs, no task gets
     all: texts in chunks are joined with the counts that they ask for, which gives the same rows. Null and empty texts have no rows; rows of
     equal ids are judged each by itself. In the usual way texts are whole in one task and nothing but counts is shuffled.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     send = df.sparkSession.sparkContext.broadcast
-    sent_chars = send(char_counts(rows.select("text")))
+    sent_chars = send(packed(char_counts(rows.select("text"))))
     pairs = pair_table(rows.select("text"), sent_chars)
     sent_sums = send(corpus_sums(pairs))
     # ASCII reads the same in all encodings here
