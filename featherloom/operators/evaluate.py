@@ -65,7 +65,7 @@ def selecting(selector, k: int) -> Builder:
 def cross_validate(df: DataFrame, features: list[str], label: str, row_id: str, models: dict, builders: dict[str, Builder] | None = None, task: str = "classification", folds: list[int] | None = None, parallel: int = 3) -> DataFrame:
     """(method, model, fold, metric, value, n_in, n_out): every model on every fold of every feature builder.
 
-    df has a fold column and, for classification, labels 0 .. C - 1. Linear models get standardised features, fitted on the fold's
+    models: name -> function of the number of training rows (null but for the ridge) that makes a model. df has a fold column and, for classification, labels 0 .. C - 1. Linear models get standardised features, fitted on the fold's
     training rows. Fits run side by side from a few driver threads; predictions stay distributed and one aggregation gives the metrics of all.
     """
     builders = builders or {"base": identity}
