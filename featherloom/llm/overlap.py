@@ -325,11 +325,12 @@ def split_overlaps(df: DataFrame, id_col: str, text: str, split: str, source: st
     first = wordings.filter("trained").select(F.col("text").alias("x"), F.col("form").alias("form_x"), F.col("words").alias("a"))
     second = wordings.filter("tested").select(F.col("text").alias("y"), "form", F.col("words").alias("b"))
     read = candidates.join(second, "y").join(first, "x").filter("form = form_x").select("form", "a", "b")
-    wording = F.unhex(F.md5(F.concat(F.col("form").cast("string"), F.col("words"))))
-    found = materialize(read.mapInArrow(_verify(2), "form boolean, a string, b string").select(*(F.unhex(F.md5(F.concat(F.col("form").cast("string"), F.col(c)))).alias(t) for c, t in (("a", "train"), ("b", "held")))))
-    fields_of = F.array_join(F.sort_array(F.split(F.translate("words", " ", ""), "\n")), "\n")
-    content = F.unhex(F.md5(F.concat(F.col("form").cast("string"), fields_of)))
-    keyed = records.select("id", "held", wording.alias("wording"), content.alias("content"))
+    # 128 bits of a wording or content stand for it
+    wide = lambda c: F.struct(F.xxhash64(c, "form").alias("one"), F.xxhash64("form", c).alias("other"))
+    found = materialize(read.mapInArrow(_verify(2), "form boolean, a string, b string").select(wide(F.col("a")).alias("train"), wide(F.col("b")).alias("held")))
+    plain = F.translate("words", " ", "")
+    content = F.when(F.col("form"), F.array_join(F.sort_array(F.split(plain, "\n")), "\n")).otherwise(plain)
+    keyed = records.select("id", "held", wide(F.col("words")).alias("wording"), wide(content).alias("content"))
     trained, tested = keyed.filter("NOT held"), keyed.filter("held")
     near_rows = found.join(trained.select(F.col("wording").alias("train"), F.col("id").alias("train_id")), "train").join(tested.select(F.col("wording").alias("held"), F.col("id").alias("held_id")), "held")
     same_rows = trained.select("content", F.col("id").alias("train_id")).join(tested.select("content", F.col("id").alias("held_id")), "content")
