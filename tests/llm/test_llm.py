@@ -227,6 +227,28 @@ def test_programs_are_those_of_brute_force(spark):
     assert programs.aligned_share("a\nb\nc", "a\nc") == 0.8
 
 
+def test_hot_groups(spark):
+    rng = random.Random(9)
+    lines = [" ".join(f"w{rng.randrange(9_000)}" for _ in range(12)) for _ in range(12)]
+    other = lines[:-1] + ["another end of the same program"]
+    rows = [(i, "\n".join(lines) if i % 3 == 0 else "\n".join(other[::-1]) if i % 3 == 1 else " ".join(f"x{rng.randrange(9_000)}" for _ in range(60))) for i in range(300)]
+    near = programs.NearPrograms(spark.createDataFrame(rows, "id long, text string").repartition(6), "id", "text")
+    hot = [i for i in range(300) if i % 3 < 2]
+    assert {tuple(r) for r in near.row_pairs().collect()} == {(a, b) for a in hot for b in hot if a < b}
+    assert [tuple(r) for r in near.pairs.select("a", "b", "reordered").collect()] == [(0, 1, True)]
+    groups = {r.id: (r.group, r.links) for r in near.groups().collect()}
+    assert all(groups[i] == (0, 1) for i in hot) and all(groups[i] == (i, 0) for i in range(2, 300, 3))
+    item = " ".join(f"v{k}" for k in range(15))
+    docs = spark.createDataFrame([(i, f"{i} {item} {i}" if i % 3 == 0 else f"none {i}") for i in range(300)], "doc long, text string").repartition(6)
+    items = spark.createDataFrame([(1, item), (2, item + " more")], "item long, text string")
+    found = leaks.leaked_items(docs, "doc", "text", items, "item", "text").collect()
+    assert sorted((r.doc, r.item) for r in found) == [(i, k) for i in range(0, 300, 3) for k in (1, 2)] and {r.longest for r in found} == {15}
+    split = spark.createDataFrame([(i, "please raise the limit of my card for the trip to the sea next week" if i % 3 else f"please raise the limit of my card number {i} for the trip to the sea next week", "train" if i % 2 else "test", "chat") for i in range(200)], "id long, text string, split string, source string")
+    want = {(a, b) for a in range(1, 200, 2) for b in range(0, 200, 2)}
+    got = [(r.train_id, r.held_id) for r in overlap.split_overlaps(split, "id", "text", "split", "source", hot=3).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_sketch_of_long_and_short_texts():
     import numpy as np
 
