@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,19 @@ class CodeModel:
     """Codes of the values of each column, as fitted."""
 
     tables: dict[str, DataFrame]
+    small: dict[str, bool] = field(default_factory=dict)
+
+    def _is_small(self, column: str) -> bool:
+        """Whether a column has so few values that their codes are broadcast; counted once, up to that bound."""
+        if column not in self.small:
+            self.small[column] = self.tables[column].limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+        return self.small[column]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Each column as double codes; unseen values and null are -1."""
         for k, (column, table) in enumerate(self.tables.items()):
-            small = table.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
             codes = table.select(F.col("value").alias(f"_value{k}"), F.col("code").alias(f"_code{k}"))
-            df = df.join(F.broadcast(codes) if small else codes, F.col(f"`{column}`") == F.col(f"_value{k}"), "left")
+            df = df.join(F.broadcast(codes) if self._is_small(column) else codes, F.col(f"`{column}`") == F.col(f"_value{k}"), "left")
             df = df.withColumn(column, F.coalesce(F.col(f"_code{k}"), F.lit(-1)).cast("double")).drop(f"_value{k}", f"_code{k}")
         return df
 
