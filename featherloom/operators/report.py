@@ -93,7 +93,9 @@ def feature_block(df: DataFrame, row_id: str, descriptions: dict[str, str] | Non
         listed = F.concat_ws(" / ", F.transform(F.coalesce("found", F.array()), lambda x: x["value"]))
         parts.append(known.join(some.select("place", "found"), "place", "left").select("place", "feature", F.concat("name", F.lit(": one of "), listed).alias("line")))
     if numbers := [(k, c) for k, c in enumerate(columns) if not kinds[c]]:
-        ends = df.agg(*[x for k, c in numbers for x in (F.min(f"`{c}`").alias(f"a{k}"), F.max(f"`{c}`").alias(f"b{k}"))])
+        # neither NaN nor infinities are ends, and there is one zero
+        number = lambda c: finite(F.col(f"`{c}`")) + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")
+        ends = df.agg(*[x for k, c in numbers for x in (F.min(number(c)).alias(f"a{k}"), F.max(number(c)).alias(f"b{k}"))])
         shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
         rows = [F.struct(F.lit(k).alias("place"), F.lit(c).alias("feature"), F.concat(F.lit(f"{named(c)}: from "), shown(f"a{k}"), F.lit(" to "), shown(f"b{k}")).alias("line")) for k, c in numbers]
         parts.append(ends.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))

@@ -684,7 +684,19 @@ def encode_frames(spark, d):
     return encode.encode_categoricals(train, test)[1]
 
 
-@query()
+_FLAGS = ("source", "has_question_mark", "has_money_symbol", "has_number", "starts_with_qword")
+
+
+def _line_sql(place: int, c: str) -> str:
+    if c in _FLAGS:
+        values = f"(SELECT string_agg(v, ' / ' ORDER BY r, v) FROM (SELECT {c}::VARCHAR AS v, min(row_id) AS r FROM features WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY r, v LIMIT 8))"
+        return f"SELECT {place}::INTEGER AS place, '{c}' AS feature, '{c} ({c}): one of ' || coalesce({values}, '') AS line"
+    number = f"CASE WHEN NOT isnan({c}) AND NOT isinf({c}) THEN {c} + 0.0::DOUBLE END" if c in ("avg_word_len", "type_token_ratio") else c
+    low, high = (f"coalesce({f}({number})::VARCHAR, 'none')" for f in ("min", "max"))
+    return f"SELECT {place}::INTEGER, '{c}', '{c} ({c}): from ' || {low} || ' to ' || {high} FROM features"
+
+
+@query(" UNION ALL ".join(_line_sql(k, c) for k, c in enumerate(["source", *LEX])))
 def feature_block(spark, d):
     return report.feature_block(features(spark, d).select("row_id", "source", *LEX), "row_id")
 

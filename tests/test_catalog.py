@@ -19,7 +19,7 @@ def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["feature_block", "example_rows", "cv_ridge", "importance_topk"])
+@pytest.mark.parametrize("name", ["example_rows", "cv_ridge", "importance_topk"])
 def test_queries_without_sql_run(name, spark, sf_dir):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
 
