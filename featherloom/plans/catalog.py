@@ -635,7 +635,7 @@ def source_log(spark, d):
 def source_runs(spark, d):
     path = scratch(spark)
     rows = table(spark, d, "best")
-    rows.withColumn("run", F.col("run_id")).write.partitionBy("run").json(path)
+    io.write_runs(rows, "run_id", path)
     return io.read_runs(spark, f"{path}/*/*.json", rows.agg(F.min("dataset")).first()[0]).select("run_id", "backbone", "best_score")
 
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from featherloom.operators.order import running_total
+from featherloom.session import materialize
 
 #: Data sets by these names are regressions; all others are classifications.
 REGRESSIONS = frozenset({"bike", "crab", "forest-fires", "housing", "insurance", "wine"})
@@ -90,12 +95,39 @@ def read_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFr
 
 
 def read_runs(spark: SparkSession, pattern: str, dataset: str | None = None) -> DataFrame:
-    """The summaries of run folders: those of a data set with a program."""
-    df = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(pattern).withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    """The summaries of run folders: those of a data set with a program.
+
+    Spark's JSON source takes a task to list each folder and one for every few files, and reads all twice, as it infers fields. Here files are packed into few tasks and their texts kept; fields are inferred from those.
+    """
+    pairs = spark.sparkContext.wholeTextFiles(pattern, 4 * spark.sparkContext.defaultParallelism)
+    texts = materialize(spark.createDataFrame(pairs, "path string, value string", verifySchema=False).withColumn("value", F.ltrim("value", F.lit("\ufeff"))))
+    found = spark.read.json(texts.select("value").rdd.map(lambda r: r.value)).schema
+    kind = ArrayType(StructType([f for f in found if f.name != "_corrupt_record"]))  # a file holds one summary or an array of them
+    df = texts.select(F.element_at(F.split("path", "/"), -2).alias("folder"), F.explode(F.from_json("value", kind)).alias("r")).select("r.*", "folder")
     df = df.filter(F.length(F.trim(F.coalesce("best_program", F.lit("")))) > 0)
     return (df.filter(F.col("dataset") == dataset) if dataset else df).orderBy("folder")
 
 
+def write_runs(df: DataFrame, run_id: str, path: str) -> None:
+    """A folder a run with its summary, a file a row. On a mounted file system tasks write with plain Python: Hadoop without its native library starts several processes a file for the permissions."""
+    if not path.startswith("file:"):
+        df.withColumn("run", F.col(f"`{run_id}`")).write.partitionBy("run").json(path)
+        return
+    root = "/" + path.removeprefix("file:").lstrip("/")
+
+    def write(place: int, rows):
+        for n, (run, text) in enumerate(rows):
+            folder = f"{root}/run={quote(run, safe=' ') if run else '__HIVE_DEFAULT_PARTITION__'}"
+            os.makedirs(folder, exist_ok=True)
+            whole, part = f"{folder}/part-{place:05d}-{n}.json", f"{folder}/.{uuid.uuid4().hex}"
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(text)
+            os.replace(part, whole)  # an attempt that was cut off leaves no half a file
+        return ()
+
+    df.select(F.col(f"`{run_id}`").cast("string"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).rdd.mapPartitionsWithIndex(write).count()
+
+
 def folds_from_results(spark: SparkSession, path: str) -> DataFrame:
     """(method, model, metric, fold, value) from a JSON of method -> {per_fold: {model: [{metric: value}]}}."""
     kind = "MAP<STRING, STRUCT<per_fold: MAP<STRING, ARRAY<MAP<STRING, DOUBLE>>>>>"

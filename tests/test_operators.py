@@ -441,6 +441,22 @@ def test_sources(spark, tmp_path):
     assert kept.df.columns == ["row_id", "a", "price"]
 
 
+def test_run_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(k // 2 if k < 4 else k, "d", f"p{k}\n", k / 4) for k in range(120)] + [(None, "d", "null", 0.5), (900, "other", "q", 0.5), (901, "d", " ", 0.5)], "run long, dataset string, best_program string, best_score double").coalesce(2)
+    io.write_runs(rows.withColumnRenamed("run", "run_id"), "run_id", f"file://{tmp_path}/runs")
+    for name, text in (("array of two", '[{"dataset": "d",\n "best_program": "x"},\n {"dataset": "d", "best_program": "y"}]'), ("broken", '{"dataset": "d", "best_pro')):
+        (tmp_path / "runs" / name).mkdir()
+        (tmp_path / "runs" / name / "best.json").write_text(text)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("run folders", "")
+    found = io.read_runs(spark, f"{tmp_path}/runs/*/*.json", "d").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.best_program, r.best_score) for r in found if r.best_score is not None) == sorted([(f"p{k}\n", k / 4) for k in range(120)] + [("null", 0.5)])
+    assert sorted((r.best_program, r.folder) for r in found if r.best_score is None) == [("x", "array of two"), ("y", "array of two")]
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("run folders") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks for s in stages if s) < 120  # a folder to list isn't a task
+
+
 def test_streams(spark, sf_dir, tmp_path):
     from featherloom.streaming import curve
 
