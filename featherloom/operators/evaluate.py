@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featherloom.functions.numeric import cleaned
-from featherloom.operators import metrics
+from featherloom.operators import forest, metrics
 from featherloom.operators.encode import fit_scaler
 from featherloom.operators.order import ordinal_codes
 from featherloom.operators.split import kfold, stratified_folds
@@ -62,11 +62,11 @@ def selecting(selector, k: int) -> Builder:
     return lambda train, features, label: ((lambda df: df), selector(train, features, label, k))
 
 
-def cross_validate(df: DataFrame, features: list[str], label: str, row_id: str, models: dict, builders: dict[str, Builder] | None = None, task: str = "classification", folds: list[int] | None = None, parallel: int = 3) -> DataFrame:
+def cross_validate(df: DataFrame, features: list[str], label: str, row_id: str, models: dict, builders: dict[str, Builder] | None = None, task: str = "classification", folds: list[int] | None = None, parallel: int = 3, in_tasks: bool = True) -> DataFrame:
     """(method, model, fold, metric, value, n_in, n_out): every model on every fold of every feature builder.
 
     models: name -> function of the number of training rows (null but for the ridge) that makes a model. df has a fold column and, for classification, labels 0 .. C - 1. Linear models get standardised features, fitted on the fold's
-    training rows. Fits run side by side from a few driver threads; predictions stay distributed and one aggregation gives the metrics of all.
+    training rows. Forests of classes are grown in tasks (see forest) but where in_tasks is false. Fits run side by side from a few driver threads; predictions stay distributed and one aggregation gives the metrics of all.
     """
     builders = builders or {"base": identity}
     base = materialize(df.filter(F.col(label).isNotNull()).select(row_id, "fold", F.col(label).cast("double").alias(label), *[cleaned(F.col(f"`{c}`")).alias(c) for c in features]))
@@ -86,8 +86,13 @@ def cross_validate(df: DataFrame, features: list[str], label: str, row_id: str,
             return vector.transform(part.select(row_id, F.col(label).alias("label"), *[cleaned(F.col(f"`{c}`")).alias(n) for c, n in renamed.items()]))
 
         fitted = ready(train)
-        found = models[name](fitted.count() if name == "ridge" else None).fit(fitted).transform(ready(test))
-        probability = probabilities(found)
+        model = models[name](fitted.count() if name == "ridge" else None)
+        found = forest.predicted(model, fitted, ready(test), list(renamed.values())) if in_tasks and isinstance(model, RandomForestClassifier) else None
+        if found is None:
+            found = model.fit(fitted).transform(ready(test))
+            probability = probabilities(found)
+        else:
+            probability = F.col("probability")
         tags = (F.lit(method).alias("method"), F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.lit(len(features)).alias("n_in"), F.lit(len(kept)).alias("n_out"))
         return found.select(*tags, "label", F.col("prediction").alias("predicted"), probability.alias("probability"))
 
@@ -119,7 +124,7 @@ def proxy_score(df: DataFrame, features: list[str], label: str, row_id: str, tas
     else:
         dealt = rows.withColumn("target", F.col(f"`{label}`").cast("double")).join(kfold(rows.select(row_id), row_id, folds, seed), row_id)
         model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024)
-    found = cross_validate(dealt, features, "target", row_id, {"rf": lambda rows=None: model}, task=task, folds=list(range(folds)))
+    found = cross_validate(dealt, features, "target", row_id, {"rf": lambda rows=None: model}, task=task, folds=list(range(folds)), in_tasks=False)
     return metrics.primary_score(found, "rf", task).first()["score"] if dealt.limit(1).count() else None
 
 

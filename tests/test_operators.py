@@ -531,3 +531,32 @@ def test_each_classifier_has_its_own_size(spark):
     for classes, sizes in ((49, (200, 2000, 300)), (50, (120, 800, 150))):
         made = {name: make() for name, make in evaluate.classifiers(classes).items()}
         assert (made["gbt"].getClassifier().getMaxIter(), made["logreg"].getMaxIter(), made["rf"].getNumTrees()) == sizes
+
+
+def test_forest_in_tasks(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from featherloom.operators import evaluate, forest
+
+    df = spark.range(3000).selectExpr("id", "(id * 7919 % 1000) / 10.0 AS a", "cast(id * 31 % 17 AS double) AS b", "cast(id % 2 AS double) AS c", "cast(id % 5 AS int) AS fold").withColumn("y", F.expr("cast(CASE WHEN id % 19 = 0 THEN id % 3 WHEN a > 60 THEN 2 WHEN b > 8 THEN 1 ELSE 0 END AS double)"))
+    model = {"rf": lambda rows=None: RandomForestClassifier(numTrees=30, maxDepth=5, minInstancesPerNode=2, seed=1)}
+    score = lambda **given: {r.metric: r.value for r in evaluate.cross_validate(df, ["a", "b", "c"], "y", "id", model, **given).groupBy("metric").agg(F.avg("value").alias("value")).collect()}
+    own = score(in_tasks=False, folds=[0])
+    with monkeypatch.context() as m:
+        m.setattr(RandomForestClassifier, "fit", None)
+        found = score(folds=[0])
+    assert abs(found["accuracy"] - own["accuracy"]) < 0.03 and abs(found["log_loss"] - own["log_loss"]) < 0.05
+    monkeypatch.setattr(forest, "MOST_BYTES", 100)  # a larger table is MLlib's
+    assert score(folds=[0])["accuracy"] == own["accuracy"]
+
+
+def test_forest_trees():
+    import numpy as np
+
+    from featherloom.operators import forest
+
+    assert forest.cut_points(np.array([0.0, 0, 0, 1, 3]), 32).tolist() == [0.5, 2.0]
+    assert len(forest.cut_points(np.arange(1000.0), 32)) == 31
+    bins = np.array([[0, 0, 0, 0, 1, 1, 1, 1] * 50])
+    trees = [forest.grow((bins * 2 + bins).astype(np.uint8), [2], 2, 1, 3, 2, [42, k]) for k in range(3)]
+    assert forest.votes(np.array([[0, 1]]), trees).tolist() == [[1.0, 0.0], [0.0, 1.0]]
